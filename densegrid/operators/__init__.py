@@ -1,0 +1 @@
+"""Clustering operators."""
