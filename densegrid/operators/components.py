@@ -14,35 +14,40 @@ from densegrid.runtime import hot_join, stage
 EDGE = "src bigint, dst bigint"
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the edges of one partition by stars on the smallest id of each local component."""
-    chunks = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not chunks:
-        return
-    src = np.concatenate([c[0] for c in chunks])
-    dst = np.concatenate([c[1] for c in chunks])
-    ids, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    s, d = flat[: len(src)], flat[len(src):]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[s], label[d])
-        new = label.copy()
-        np.minimum.at(new, label[s], low)
-        np.minimum.at(new, label[d], low)
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    leaf = np.flatnonzero(label != np.arange(len(ids)))
-    for at in range(0, len(leaf), 65536):
-        part = leaf[at: at + 65536]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[label[part]]), pa.array(ids[part])], names=["src", "dst"])
+def _forest():
+    """Build the task function; a closure, so executors need no copy of this package."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Replace the edges of one partition by stars on the smallest id of each local component."""
+        chunks = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not chunks:
+            return
+        src = np.concatenate([c[0] for c in chunks])
+        dst = np.concatenate([c[1] for c in chunks])
+        ids, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        s, d = flat[: len(src)], flat[len(src):]
+        label = np.arange(len(ids))
+        while True:
+            low = np.minimum(label[s], label[d])
+            new = label.copy()
+            np.minimum.at(new, label[s], low)
+            np.minimum.at(new, label[d], low)
+            while not np.array_equal(new, new[new]):
+                new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+        leaf = np.flatnonzero(label != np.arange(len(ids)))
+        for at in range(0, len(leaf), 65536):
+            part = leaf[at: at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[label[part]]), pa.array(ids[part])], names=["src", "dst"])
+
+    return run
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
     """Shrink the edge set partition by partition; connectivity is unchanged."""
-    return edges.select("src", "dst").mapInArrow(_forest, EDGE)
+    return edges.select("src", "dst").mapInArrow(_forest(), EDGE)
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -79,8 +84,10 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
     ).filter("src < dst")
     oriented = stage(oriented, "edges")
-    stars = stage(local_forest(oriented.repartitionByRange("src")), "stars")
-    while not is_star(stars):
+    alone = oriented.rdd.getNumPartitions() <= 1
+    spread = oriented if alone else oriented.repartitionByRange("src")
+    stars = stage(local_forest(spread), "stars")
+    while not alone and not is_star(stars):
         hooked = stage(large_star(stars), "stars")
         stars = stage(small_star(hooked), "stars")
     found = stars.select(F.col("dst").alias("id"), F.col("src").alias("component"))

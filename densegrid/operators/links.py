@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from densegrid.functions.geometry import SLACK, box_distance, cell_index, coin, distance, prefixed
 from densegrid.operators.neighbors import binned_dims, search_side
-from densegrid.runtime import LEAF_PAIRS, hot_join, setting, stage
+from densegrid.runtime import HOT_ROWS, LEAF_PAIRS, hot_join, setting, stage
 
 SPLIT_DIMS = 4
 
@@ -96,7 +96,10 @@ def closest_between_cells(
             "gid", *[c.alias(n) for c, n in zip(_box_key(features, side, level), key_names)], *features
         )
 
-    boxes = stage(_boxes(at_level(0, key), features, key), "boxes")
+    crowded = pts.count() > setting(pts.sparkSession, HOT_ROWS)
+    boxes = _boxes(at_level(0, key), features, key)
+    if crowded:
+        boxes = stage(boxes, "boxes")
     pairs = stage(_first_pairs(boxes, features, key, side, radius, dims), "pairs")
     found: list[DataFrame] = []
     level = 0
@@ -114,7 +117,7 @@ def closest_between_cells(
             F.col("src").alias("a_gid"), F.col("dst").alias("b_gid"), *both[0][1:], *both[1][1:]
         )
         members = at_level(level, key)
-        if level > 0 or not boxes.filter(F.col("n") > leaf).isEmpty():
+        if level > 0 or crowded:
             members = hot_join(members, boxes.filter(F.col("n") <= leaf).select("gid", *key), ["gid", *key], "left_semi")
         direct = (
             small.join(_rename(members, "a_"), both[0])

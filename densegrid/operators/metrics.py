@@ -30,7 +30,7 @@ def _sizes(table: DataFrame, side: str) -> DataFrame:
     return table.groupBy(side).agg(F.sum("n").alias("n"))
 
 
-def _side_by_side(named: dict[str, DataFrame]) -> DataFrame:
+def side_by_side(named: dict[str, DataFrame]) -> DataFrame:
     """Put one-row, one-column tables next to one another without a join."""
     rows = [df.toDF("_value").select(F.lit(name).alias("_name"), "_value") for name, df in named.items()]
     table = reduce(DataFrame.union, rows)
@@ -40,7 +40,7 @@ def _side_by_side(named: dict[str, DataFrame]) -> DataFrame:
 def ari(table: DataFrame) -> DataFrame:
     """Adjusted Rand index of a contingency table, from sums of squared counts."""
     n = F.col("n").cast("double")
-    sums = _side_by_side(
+    sums = side_by_side(
         {
             "pairs": table.agg(F.sum(n * n)),
             "rows": _sizes(table, "label_true").agg(F.sum(n * n)),
@@ -97,7 +97,7 @@ def ami(table: DataFrame) -> DataFrame:
         return table.agg(F.lit(1.0).alias("ami"))
     n = F.col("n").cast("double")
     rows, cols = _sizes(table, "label_true"), _sizes(table, "label_pred")
-    sums = _side_by_side(
+    sums = side_by_side(
         {
             "pairs": table.agg(F.sum(n * F.log(n))),
             "rows": rows.agg(F.sum(n * F.log(n))),

@@ -50,6 +50,7 @@ def near(
     radius: float,
     dims: list[int],
     scope: list[tuple[str, str]] = [],
+    rows: int | None = None,
 ) -> DataFrame:
     """Rows of ``probe`` joined with the rows of ``data`` within ``radius``, plus ``dist``.
 
@@ -68,7 +69,7 @@ def near(
         probe = probe.withColumn(f"_s{i}", F.col(p))
         data = data.withColumnRenamed(q, f"_s{i}")
         keys.append(f"_s{i}")
-    hot = hot_keys(data, keys)
+    hot = hot_keys(data, keys, rows)
     if hot is not None:
         chunk = setting(data.sparkSession, HOT_ROWS)
         shares = hot.select(*keys, F.ceil(F.col("count") / chunk).cast("bigint").alias("_shares"))
@@ -111,10 +112,11 @@ def core_sites(
     side = search_side(eps, len(features))
 
     sites = stage(distinct_sites(points, features, scope), "sites")
+    rows = sites.count()
     keep = [*scope, *features, "uid", "mult"]
     celled = sites.select(*keep, *[cell_index(F.col(f), side).alias(c) for f, c in zip(features, fine)])
     counts = celled.groupBy(*scope, *fine).agg(F.sum("mult").alias("cell_n"))
-    counted = hot_join(celled, counts, [*scope, *fine]).withColumn("inside", F.col("cell_n") - own)
+    counted = hot_join(celled, counts, [*scope, *fine], rows=rows).withColumn("inside", F.col("cell_n") - own)
 
     dense = counted.filter(F.col("inside") >= enough).select(*keep, enough.alias("neighbors"))
 
@@ -122,7 +124,8 @@ def core_sites(
     data = sites.select(*scope, *[F.col(f).alias(q) for f, q in zip(features, seen)],
                         F.col("mult").alias("q_mult"))
     probes = counted.filter(F.col("inside") < enough).select(*keep)
-    pairs = near(probes, data, features, seen, eps, binned_dims(sites, features), [(s, s) for s in scope])
+    dims = binned_dims(sites, features)
+    pairs = near(probes, data, features, seen, eps, dims, [(s, s) for s in scope], rows)
     thin = (
         pairs.groupBy(*keep)
         .agg(F.sum("q_mult").alias("_around"))

@@ -49,6 +49,10 @@ class ApproxClustering:
         placed = self.grid.attach_gid(flags, "uid")
         return placed if self.grid.fits else stage(placed, "sites")
 
+    @cached_property
+    def n_sites(self) -> int:
+        return self.sites.count()
+
     @cached_property
     def core(self) -> DataFrame:
         return self.sites.filter("core_flag = 1")
@@ -66,7 +70,8 @@ class ApproxClustering:
     @cached_property
     def core_cell_sites(self) -> DataFrame:
         """All sites of core cells, core or not."""
-        return hot_join(self.sites, self.core_cells.select("gid"), ["gid"], "left_semi")
+        return hot_join(self.sites, self.core_cells.select("gid"), ["gid"], "left_semi",
+                        rows=self.n_sites)
 
     @cached_property
     def linked_points(self) -> DataFrame:
@@ -92,20 +97,20 @@ class ApproxClustering:
     @cached_property
     def cell_assigned(self) -> DataFrame:
         """Sites of core cells with the cluster of their cell."""
-        return hot_join(self.sites, self.components, ["gid"])
+        return hot_join(self.sites, self.components, ["gid"], rows=self.n_sites)
 
     @cached_property
     def border_assigned(self) -> DataFrame:
         """Sites that are not core, with the smallest cluster among the core points within ``eps``."""
         seen = prefixed("q_", self.features)
-        owners = hot_join(self.core, self.components, ["gid"]).select(
+        owners = hot_join(self.core, self.components, ["gid"], rows=self.n_sites).select(
             *[F.col(f).alias(q) for f, q in zip(self.features, seen)], "cluster_id"
         )
         owners = stage(owners, "owners")
         keep = ["uid", "mult", *self.features, "gid", "core_flag"]
         rest = self.sites.filter("core_flag = 0").select(*keep)
         dims = binned_dims(self.sites, self.features)
-        pairs = near(rest, owners, self.features, seen, self.eps, dims)
+        pairs = near(rest, owners, self.features, seen, self.eps, dims, rows=self.n_sites)
         return pairs.groupBy(*keep).agg(F.min("cluster_id").alias("cluster_id"))
 
     def clusters(self) -> DataFrame:

@@ -42,26 +42,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame | None:
     """Keys of ``df`` that would overload one task, with their row ``count``; None when there are none.
 
-    ``df`` should be cheap to scan twice (a staged table). At most ``HOT_SHARE`` keys qualify, so the
-    result is small enough to broadcast whatever the size of the data.
+    ``df`` should be cheap to scan twice (a staged table); ``rows`` is its row count, or an upper limit,
+    when known. At most ``HOT_SHARE`` keys qualify, so the result is small enough to broadcast whatever
+    the size of the data.
     """
     floor_rows = setting(df.sparkSession, HOT_ROWS)
-    total = df.count()
+    total = df.count() if rows is None else rows
     if total <= floor_rows:
         return None
     cut = max(floor_rows, -(-total // HOT_SHARE))
-    rows = df.groupBy(*keys).count().filter(F.col("count") >= cut).collect()
-    if not rows:
+    found = df.groupBy(*keys).count().filter(F.col("count") >= cut).collect()
+    if not found:
         return None
     schema = df.select(*keys).schema.add("count", "long")
-    return df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+    return df.sparkSession.createDataFrame([tuple(r) for r in found], schema)
 
 
 def hot_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot: DataFrame | None = None
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    hot: DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Equi-join of a possibly skewed ``left`` with a ``right`` that has few rows per key.
 
@@ -69,7 +75,7 @@ def hot_join(
     ``right``, which are broadcast (at most ``HOT_SHARE`` keys). All other rows take the shuffle join.
     """
     if hot is None:
-        hot = hot_keys(left, on)
+        hot = hot_keys(left, on, rows)
     if hot is None:
         return left.join(right, on, how)
     marks = F.broadcast(hot.select(*on))
