@@ -29,7 +29,7 @@ def spark(tmp_path_factory):
 def skewed(spark):
     """Settings under which the skew paths run on a few hundred rows."""
     spark.conf.set("densegrid.hotRows", "20")
-    spark.conf.set("densegrid.leafPairs", "4")
+    spark.conf.set("densegrid.leafPairs", "50")
     yield spark
     spark.conf.unset("densegrid.hotRows")
     spark.conf.unset("densegrid.leafPairs")
