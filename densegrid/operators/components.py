@@ -84,11 +84,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
     ).filter("src < dst")
     oriented = stage(oriented, "edges")
-    alone = oriented.rdd.getNumPartitions() <= 1
-    spread = oriented if alone else oriented.repartitionByRange("src")
-    stars = stage(local_forest(spread), "stars")
-    while not alone and not is_star(stars):
-        hooked = stage(large_star(stars), "stars")
-        stars = stage(small_star(hooked), "stars")
+    if oriented.rdd.getNumPartitions() <= 1:
+        stars = local_forest(oriented)
+    else:
+        stars = stage(local_forest(oriented.repartitionByRange("src")), "stars")
+        while not is_star(stars):
+            stars = stage(small_star(stage(large_star(stars), "stars")), "stars")
     found = stars.select(F.col("dst").alias("id"), F.col("src").alias("component"))
     return vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

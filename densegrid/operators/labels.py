@@ -43,4 +43,5 @@ def members(clusters: DataFrame) -> DataFrame:
 
 def lookup(points: DataFrame, wanted: DataFrame, features: list[str]) -> DataFrame:
     """First point id at the coordinates of each wanted row."""
-    return wanted.join(points.groupBy(*features).agg(F.min("point_id").alias("found_id")), features)
+    first = points.groupBy(*features).agg(F.min("point_id").alias("found_id"))
+    return hot_join(wanted, first, features)

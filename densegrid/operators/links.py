@@ -33,7 +33,7 @@ def _box_key(features: list[str], side: float, level: int) -> list:
 def _boxes(pts: DataFrame, features: list[str], key: list[str], extra: list[str] = []) -> DataFrame:
     return pts.groupBy("gid", *key, *extra).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(F.struct(*features)).alias("rep"),
+        *[F.min_by(f, "uid").alias(f"rep_{f}") for f in features],
         *[F.min(f).alias(f"lo_{f}") for f in features],
         *[F.max(f).alias(f"hi_{f}") for f in features],
     )
@@ -54,7 +54,7 @@ def _limits(pairs: DataFrame, features: list[str], key: list[str]) -> DataFrame:
         "a_n",
         "b_n",
         box_distance(side("a_", "lo"), side("a_", "hi"), side("b_", "lo"), side("b_", "hi")).alias("lb"),
-        distance([F.col(f"a_rep.{f}") for f in features], [F.col(f"b_rep.{f}") for f in features]).alias("ub"),
+        distance(side("a_", "rep"), side("b_", "rep")).alias("ub"),
         *([F.col("best")] if "best" in pairs.columns else [F.lit(None).cast("double").alias("best")]),
     )
 
@@ -81,7 +81,7 @@ def closest_between_cells(
 ) -> DataFrame:
     """``(src, dst, min_dist)`` for every pair ``src < dst`` of cells with points within ``radius``.
 
-    ``pts`` is a staged table of distinct points with their cell ``gid``; ``cell_scale`` is the ``eps`` of
+    ``pts`` is a staged table of distinct points with ``uid`` and their cell ``gid``; ``cell_scale`` is the ``eps`` of
     the grid. With ``settle``, a pair counts as decided as soon as some distance is at most ``settle``;
     ``min_dist`` is then only an upper limit for those pairs.
     """
@@ -93,7 +93,7 @@ def closest_between_cells(
 
     def at_level(level: int, key_names: list[str]) -> DataFrame:
         return pts.select(
-            "gid", *[c.alias(n) for c, n in zip(_box_key(features, side, level), key_names)], *features
+            "gid", *[c.alias(n) for c, n in zip(_box_key(features, side, level), key_names)], "uid", *features
         )
 
     crowded = pts.count() > setting(pts.sparkSession, HOT_ROWS)
@@ -146,7 +146,7 @@ def closest_between_cells(
         old = [c.alias(p) for c, p in zip(_box_key(features, side, level - 1), parents)]
         new = [c.alias(q) for c, q in zip(_box_key(features, side, level), key)]
         alive = stage(alive, "alive")
-        kept = hot_join(pts.select("gid", *features, *old, *new), alive, ["gid", *parents], "left_semi")
+        kept = hot_join(pts.select("gid", "uid", *features, *old, *new), alive, ["gid", *parents], "left_semi")
         boxes = stage(_boxes(kept, features, key, parents), "boxes")
         a, b = _rename(boxes, "a_"), _rename(boxes, "b_")
         up = deep.select(

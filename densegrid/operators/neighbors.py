@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densegrid.functions.geometry import SLACK, cell_index, distance, prefixed
-from densegrid.runtime import HOT_ROWS, hot_join, hot_keys, setting, stage
+from densegrid.runtime import HOT_ROWS, hot_cut, hot_join, hot_keys, setting, stage
 
 MAX_BINNED = 4
 
@@ -149,15 +149,16 @@ def to_points(
     keys = [*scope, *features]
     carried = [c for c in sites.columns if c not in ("uid", "mult", *keys)]
     alone = sites.filter("mult = 1").select(*keys, F.col("uid").alias("point_id"), *carried)
-    if base.filter("mult > 1").isEmpty():
+    largest, total = base.agg(F.max("mult"), F.sum("mult")).first()
+    if (largest or 1) == 1:
         return alone
     copies = sites.filter("mult > 1").select(*keys, *carried)
     mine = points.select(*keys, "point_id")
-    heavy = base.filter(F.col("mult") >= setting(points.sparkSession, HOT_ROWS)).select(*keys)
-    if heavy.isEmpty():
+    cut = hot_cut(setting(points.sparkSession, HOT_ROWS), total)
+    if largest < cut:
         joined = mine.join(copies, keys)
     else:
-        joined = hot_join(mine, copies, keys, hot=heavy)
+        joined = hot_join(mine, copies, keys, hot=base.filter(F.col("mult") >= cut).select(*keys))
     return alone.unionByName(joined)
 
 

@@ -76,7 +76,7 @@ class ApproxClustering:
     @cached_property
     def linked_points(self) -> DataFrame:
         source = self.core if self.cell_points == "core" else stage(self.core_cell_sites, "cell_sites")
-        return source.select("gid", *self.features)
+        return source.select("gid", "uid", *self.features)
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -86,12 +86,9 @@ class ApproxClustering:
     @cached_property
     def components(self) -> DataFrame:
         """``(gid, cluster_id)``; a cluster is named by its smallest cell."""
-        vertices = self.core_cells.select(F.col("gid").alias("id"))
-        return stage(
-            connected_components(vertices, self.edges).select(
-                F.col("id").alias("gid"), F.col("component").alias("cluster_id")
-            ),
-            "components",
+        vertices = self.core.select(F.col("gid").alias("id")).distinct()
+        return connected_components(vertices, self.edges).select(
+            F.col("id").alias("gid"), F.col("component").alias("cluster_id")
         )
 
     @cached_property

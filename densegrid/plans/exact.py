@@ -32,13 +32,13 @@ def exact_dbscan(points: DataFrame, features: list[str], eps: float, min_pts: in
     names = celled.groupBy(*fine).agg(F.min("uid").alias("gid"))
     core = stage(hot_join(celled, names, fine).drop(*fine), "core")
 
-    edges = closest_between_cells(core.select("gid", *features), features, eps, eps, settle=eps)
+    edges = closest_between_cells(core.select("gid", "uid", *features), features, eps, eps, settle=eps)
     vertices = core.select(F.col("gid").alias("id")).distinct()
     owners = connected_components(vertices, edges).select(
         F.col("id").alias("gid"), F.col("component").alias("cluster_id")
     )
     columns = ["uid", "mult", *features, "cluster_id", "core_flag"]
-    clustered = hot_join(core, stage(owners, "owners"), ["gid"]).withColumn("core_flag", F.lit(1)).select(*columns)
+    clustered = hot_join(core, owners, ["gid"]).withColumn("core_flag", F.lit(1)).select(*columns)
     clustered = stage(clustered, "clustered")
 
     seen = prefixed("q_", features)

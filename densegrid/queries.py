@@ -13,7 +13,7 @@ from densegrid.operators.links import closest_between_cells
 from densegrid.plans.approx import ApproxClustering
 from densegrid.plans.evaluate import compare_labels, evaluate
 from densegrid.plans.exact import exact_dbscan
-from densegrid.runtime import hot_join, stage
+from densegrid.runtime import stage
 from densegrid.sources import blobs as blob_source
 from densegrid.sources import points as source
 
@@ -182,7 +182,7 @@ def core_cell_points(spark, sf_dir):
 @query
 def eps_pairs(spark, sf_dir):
     job = run(spark, sf_dir, "part2")
-    places = job.sites.select("gid", *job.features)
+    places = job.sites.select("gid", "uid", *job.features)
     return closest_between_cells(places, job.features, job.eps, job.eps)
 
 
@@ -280,14 +280,20 @@ def labels_filled(spark, sf_dir):
 @query
 def distinct_counts(spark, sf_dir):
     job = run(spark, sf_dir)
-    flags = stage(job.flags, "flags")
-    full = hot_join(flags, job.components, ["gid"], "left")
-    return full.agg(
-        F.count(F.lit(1)).alias("n_points"),
-        F.countDistinct("gid").alias("n_cells"),
-        F.countDistinct(F.when(F.col("core_flag") == 1, F.col("gid"))).alias("n_core_cells"),
-        F.countDistinct("cluster_id").alias("n_clusters"),
-        F.sum("core_flag").alias("n_core"),
+    cells = job.flags.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.sum("core_flag").alias("n_core"))
+    per_cell = cells.join(job.components, "gid", "left")
+    per_cluster = per_cell.groupBy("cluster_id").agg(
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("cells"),
+        F.count(F.when(F.col("n_core") > 0, 1)).alias("core_cells"),
+        F.sum("n_core").alias("n_core"),
+    )
+    return per_cluster.agg(
+        F.sum("n").alias("n_points"),
+        F.sum("cells").alias("n_cells"),
+        F.sum("core_cells").alias("n_core_cells"),
+        F.count("cluster_id").alias("n_clusters"),
+        F.sum("n_core").alias("n_core"),
     )
 
 

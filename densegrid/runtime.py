@@ -12,8 +12,10 @@ HOT_ROWS = "densegrid.hotRows"
 LEAF_PAIRS = "densegrid.leafPairs"
 DEFAULTS = {HOT_ROWS: 2_000_000, LEAF_PAIRS: 4096}
 
-# A key is hot when it holds more than 1/1000 of the rows, so there are at most 1000 hot keys.
-HOT_SHARE = 1000
+# A key is hot when it holds at least 1/50000 of the rows, so there are at most 50000 hot keys.
+HOT_SHARE = 50_000
+
+_local_scratch: dict[str, str] = {}
 
 
 def setting(spark: SparkSession, name: str) -> int:
@@ -26,8 +28,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="densegrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _local_scratch.setdefault(app, "") or tempfile.mkdtemp(prefix="densegrid-")
+        _local_scratch[app] = base
     return f"{base.rstrip('/')}/densegrid-{spark.sparkContext.applicationId}"
 
 
@@ -53,12 +56,13 @@ def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFra
     total = df.count() if rows is None else rows
     if total <= floor_rows:
         return None
-    cut = max(floor_rows, -(-total // HOT_SHARE))
-    found = df.groupBy(*keys).count().filter(F.col("count") >= cut).collect()
-    if not found:
-        return None
-    schema = df.select(*keys).schema.add("count", "long")
-    return df.sparkSession.createDataFrame([tuple(r) for r in found], schema)
+    found = stage(df.groupBy(*keys).count().filter(F.col("count") >= hot_cut(floor_rows, total)), "hot")
+    return None if found.isEmpty() else found
+
+
+def hot_cut(floor_rows: int, total: int) -> int:
+    """Rows from which a key is hot."""
+    return max(floor_rows, -(-total // HOT_SHARE))
 
 
 def hot_join(

@@ -55,7 +55,8 @@ def test_skewed_data_against_brute_force(skewed, d, eps):
 def test_closest_points_of_cells(skewed, d, eps):
     points, names, x = points_of(skewed, np.unique(mixed(7, d), axis=0))
     grid = Grid.fit(points, names, eps)
-    placed = stage(grid.attach_gid(points, "point_id").select("gid", *names), "placed")
+    points = points.withColumnRenamed("point_id", "uid")
+    placed = stage(grid.attach_gid(points, "uid").select("gid", "uid", *names), "placed")
     gid, _ = brute.cells(x, eps)
     wanted = brute.closest(x, gid, np.ones(len(x), dtype=bool), eps)
     got = {(r["src"], r["dst"]): r["min_dist"] for r in closest_between_cells(placed, names, eps, eps).collect()}
