@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,25 +19,30 @@ def prefixed(prefix: str, names: list[str]) -> list[str]:
     return [prefix + n for n in names]
 
 
-def total(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, parts)
+def number(x: float) -> str:
+    """SQL text of a double."""
+    return f"{float(x)!r}D"
 
 
-def distance(a: list[Column], b: list[Column]) -> Column:
-    """Euclidean distance, squares summed in dimension order."""
-    return F.sqrt(total([(p - q) * (p - q) for p, q in zip(a, b)]))
+def distance(a: list[str], b: list[str]) -> Column:
+    """Euclidean distance of two lists of columns, squares summed in dimension order."""
+    return F.expr("sqrt(" + " + ".join(f"({p} - {q}) * ({p} - {q})" for p, q in zip(a, b)) + ")")
 
 
-def box_distance(alo: list[Column], ahi: list[Column], blo: list[Column], bhi: list[Column]) -> Column:
+def box_distance(alo: list[str], ahi: list[str], blo: list[str], bhi: list[str]) -> Column:
     """Smallest possible distance between two boxes; never above the computed distance of their points."""
-    gaps = [
-        F.greatest(F.lit(0.0), bl - ah, al - bh) for al, ah, bl, bh in zip(alo, ahi, blo, bhi)
-    ]
-    return F.sqrt(total([g * g for g in gaps]))
+    gaps = [f"greatest(0D, {bl} - {ah}, {al} - {bh})" for al, ah, bl, bh in zip(alo, ahi, blo, bhi)]
+    return F.expr("sqrt(" + " + ".join(f"{g} * {g}" for g in gaps) + ")")
+
+
+def cell_index(x: str, width: float) -> str:
+    """SQL text of the index of the cell that holds ``x``."""
+    return f"floor(({x}) / {number(width)})"
 
 
-def cell_index(x: Column, width: float) -> Column:
-    return F.floor(x / F.lit(width)).cast("bigint")
+def touched_cells(low: str, high: str, width: float) -> Column:
+    """One row per cell between two coordinates."""
+    return F.expr(f"explode(sequence({cell_index(low, width)}, {cell_index(high, width)}))")
 
 
 def coin(src: Column, dst: Column, seed: int) -> Column:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from densegrid.functions.geometry import total
 
 # ln(n!) for n below 12, and the Stirling series used from there on.
 SMALL_LN_FACTORIAL = [math.log(math.factorial(n)) for n in range(12)]
@@ -18,9 +18,8 @@ def ln_factorial(n: Column) -> Column:
     """ln(n!) of a non-negative whole number, good to double precision."""
     x = n.cast("double")
     safe = F.greatest(x, F.lit(12.0))
-    series = total(
-        [F.lit(c) / F.pow(safe, F.lit(float(2 * k + 1))) for k, c in enumerate(STIRLING)]
-    )
+    terms = [F.lit(c) / F.pow(safe, F.lit(float(2 * k + 1))) for k, c in enumerate(STIRLING)]
+    series = reduce(lambda a, b: a + b, terms)
     large = (safe + 0.5) * F.log(safe) - safe + F.lit(0.5 * math.log(2 * math.pi)) + series
     small = F.element_at(
         F.array(*[F.lit(v) for v in SMALL_LN_FACTORIAL]),

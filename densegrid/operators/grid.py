@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from densegrid.functions.geometry import number
 from densegrid.runtime import hot_join, stage
 
 MAX_ID = 1 << 62
@@ -23,6 +24,14 @@ def bounds(points: DataFrame, features: list[str]) -> DataFrame:
     return row.select(F.explode(dims).alias("b")).select("b.dim", "b.lo", "b.hi")
 
 
+def linear(indexes: list[str], sizes) -> str:
+    """SQL text of a row-major linear id."""
+    out = indexes[0]
+    for index, size in zip(indexes[1:], sizes[1:]):
+        out = f"({out}) * {size}L + {index}"
+    return out
+
+
 def cell_side(eps: float, n_features: int) -> float:
     return eps / math.sqrt(n_features)
 
@@ -72,19 +81,16 @@ class Grid:
     def fits(self) -> bool:
         return math.prod(self.n) < MAX_ID
 
-    def cell(self, k: int, x: Column) -> Column:
-        """Cell index in dimension ``k``: left-closed bins, clamped to the first and last."""
+    def cell(self, k: int, x: str) -> str:
+        """SQL text of the cell index in dimension ``k``: left-closed bins, clamped to the first and last."""
         if self.width[k] == 0:
-            return F.lit(0).cast("bigint")
-        raw = F.floor((x - F.lit(self.lo[k])) / F.lit(self.width[k])).cast("bigint")
-        return F.least(F.lit(self.n[k] - 1).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), raw))
+            return "0L"
+        raw = f"floor(({x} - {number(self.lo[k])}) / {number(self.width[k])})"
+        return f"least({self.n[k] - 1}L, greatest(0L, {raw}))"
 
-    def gid(self, cells: list[Column]) -> Column:
-        """Row-major linear id of a cell, last dimension fastest."""
-        out = cells[0]
-        for k in range(1, len(cells)):
-            out = out * F.lit(self.n[k]).cast("bigint") + cells[k]
-        return out
+    def gid(self, cells: list[str]) -> str:
+        """SQL text of the row-major linear id of a cell, last dimension fastest."""
+        return linear(cells, self.n)
 
     def unlinear(self, gid: Column) -> list[Column]:
         """Cell position of a linear id."""
@@ -99,15 +105,14 @@ class Grid:
 
     def locate(self, df: DataFrame) -> DataFrame:
         """Add the cell position ``c0..`` of every row."""
-        for k, f in enumerate(self.features):
-            df = df.withColumn(f"c{k}", self.cell(k, F.col(f)))
-        return df
+        found = [F.expr(self.cell(k, f)).alias(c) for k, (f, c) in enumerate(zip(self.features, self.cells))]
+        return df.select("*", *found)
 
     def attach_gid(self, df: DataFrame, key: str) -> DataFrame:
         """Add ``gid``. When the linear id would not fit in 62 bits, a cell is named by its smallest ``key``."""
-        df = self.locate(df)
         if self.fits:
-            return df.withColumn("gid", self.gid([F.col(c) for c in self.cells])).drop(*self.cells)
+            return df.select("*", F.expr(self.gid([self.cell(k, f) for k, f in enumerate(self.features)])).alias("gid"))
+        df = self.locate(df)
         df = stage(df, "located")
         names = df.groupBy(*self.cells).agg(F.min(key).alias("gid"))
         return hot_join(df, names, self.cells).drop(*self.cells)

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densegrid.operators.grid import Grid
+from densegrid.functions.geometry import number
+from densegrid.operators.grid import Grid, linear
 
 
 def halo_radius(n_features: int, rho: float = 0.0) -> int:
@@ -33,49 +34,39 @@ def partition_edges(spark: SparkSession, grid: Grid, parts: list[int]) -> DataFr
     ).select("dim", "i", (F.col("i") * (F.col("top").cast("double") / F.col("parts"))).alias("edge"))
 
 
-def home_index(grid: Grid, parts: list[int], k: int, cell: Column) -> Column:
-    """Partition of a cell in dimension ``k``."""
+def home_index(grid: Grid, parts: list[int], k: int, cell: str) -> str:
+    """SQL text of the partition of a cell in dimension ``k``."""
     if grid.n[k] == 1:
-        return F.lit(0).cast("bigint")
-    raw = F.floor(cell / F.lit(_step(grid, parts, k))).cast("bigint")
-    return F.least(F.lit(parts[k] - 1).cast("bigint"), F.greatest(F.lit(0).cast("bigint"), raw))
-
-
-def linear(indexes: list[Column], sizes: list[int]) -> Column:
-    out = indexes[0]
-    for k in range(1, len(indexes)):
-        out = out * F.lit(sizes[k]).cast("bigint") + indexes[k]
-    return out
+        return "0L"
+    return f"least({parts[k] - 1}L, greatest(0L, floor({cell} / {number(_step(grid, parts, k))})))"
 
 
 def home_partition(located: DataFrame, grid: Grid, parts: list[int]) -> DataFrame:
     """Add ``home``, the partition whose own range holds the cell."""
-    own = [home_index(grid, parts, k, F.col(c)) for k, c in enumerate(grid.cells)]
-    return located.withColumn("home", linear(own, parts))
+    own = [home_index(grid, parts, k, c) for k, c in enumerate(grid.cells)]
+    return located.select("*", F.expr(linear(own, parts)).alias("home"))
 
 
 def replicate(located: DataFrame, grid: Grid, parts: list[int], rho: float = 0.0) -> DataFrame:
     """One row per partition that holds the cell within its range plus the overlap: ``paid``, ``is_home``."""
     reach = halo_radius(len(grid.n), rho)
     df = home_partition(located, grid, parts)
-    for k, c in enumerate(grid.cells):
-        x, last = F.col(c), F.lit(parts[k] - 1).cast("bigint")
-        zero, name = F.lit(0).cast("bigint"), f"_p{k}"
+    names = [f"_p{k}" for k in range(len(parts))]
+    for k, (c, p) in enumerate(zip(grid.cells, names)):
+        last = f"{parts[k] - 1}L"
         if grid.n[k] == 1:
-            df = df.withColumn(name, F.explode(F.sequence(zero, last)))
+            df = df.select("*", F.expr(f"explode(sequence(0L, {last}))").alias(p))
             continue
-        step = _step(grid, parts, k)
-        low = F.floor((x - reach) / F.lit(step)).cast("bigint") - 2
-        high = F.floor((x + reach) / F.lit(step)).cast("bigint") + 1
-        df = df.withColumn(name, F.explode(F.sequence(F.greatest(zero, low), F.least(last, high))))
-        p = F.col(name)
-        df = df.filter((x >= p * F.lit(step) - reach) & (x <= (p + 1) * F.lit(step) + reach))
-    names = [f"_p{k}" for k in range(len(parts))]
-    return (
-        df.withColumn("paid", linear([F.col(n) for n in names], parts))
-        .withColumn("is_home", F.when(F.col("paid") == F.col("home"), 1).otherwise(0).cast("int"))
-        .drop("home", *names)
-    )
+        step = number(_step(grid, parts, k))
+        low = f"greatest(0L, floor(({c} - {reach}) / {step}) - 2)"
+        high = f"least({last}, floor(({c} + {reach}) / {step}) + 1)"
+        df = df.select("*", F.expr(f"explode(sequence({low}, {high}))").alias(p)).filter(
+            f"{c} >= {p} * {step} - {reach} AND {c} <= ({p} + 1) * {step} + {reach}"
+        )
+    paid = linear(names, parts)
+    return df.select(
+        "*", F.expr(paid).alias("paid"), F.expr(f"CASE WHEN {paid} = home THEN 1 ELSE 0 END").alias("is_home")
+    ).drop("home", *names)
 
 
 def partition_load(copies: DataFrame) -> DataFrame:

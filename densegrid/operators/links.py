@@ -10,23 +10,32 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densegrid.functions.geometry import SLACK, box_distance, cell_index, coin, distance, prefixed
+from densegrid.functions.geometry import (
+    SLACK,
+    box_distance,
+    cell_index,
+    coin,
+    distance,
+    number,
+    prefixed,
+    touched_cells,
+)
 from densegrid.operators.neighbors import binned_dims, search_side
 from densegrid.runtime import HOT_ROWS, LEAF_PAIRS, hot_join, setting, stage
 
 SPLIT_DIMS = 4
 
 
-def _box_key(features: list[str], side: float, level: int) -> list:
+def box_key(features: list[str], side: float, level: int) -> list[Column]:
     """Box index per dimension; up to four dimensions are halved per level, in turn."""
     groups = -(-len(features) // SPLIT_DIMS)
     out = []
     for k, f in enumerate(features):
         halvings = level // groups + (1 if k // SPLIT_DIMS < level % groups else 0)
-        out.append(cell_index(F.col(f), side / 2.0**halvings))
+        out.append(F.expr(cell_index(f, side / 2.0**halvings)))
     return out
 
 
@@ -40,12 +49,14 @@ def _boxes(pts: DataFrame, features: list[str], key: list[str], extra: list[str]
 
 
 def _rename(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
+    return df.toDF(*prefixed(prefix, df.columns))
 
 
 def _limits(pairs: DataFrame, features: list[str], key: list[str]) -> DataFrame:
     """Reduce a pair of boxes to its keys, sizes and distance limits."""
-    side = lambda p, what: [F.col(f"{p}{what}_{f}") for f in features]
+    def side(p: str, what: str) -> list[str]:
+        return [f"{p}{what}_{f}" for f in features]
+
     return pairs.select(
         F.col("a_gid").alias("src"),
         F.col("b_gid").alias("dst"),
@@ -67,11 +78,11 @@ def _first_pairs(boxes: DataFrame, features: list[str], key: list[str], side: fl
     width = 2 * reach
     a, b = _rename(boxes, "a_"), _rename(boxes, "b_")
     near_keys = [f"_k{k}" for k in dims]
+    a = a.select("*", *[F.expr(cell_index(f"a_lo_{features[k]}", width)).alias(f"_k{k}") for k in dims])
     for k in dims:
-        f = features[k]
-        low, high = F.col(f"b_lo_{f}") - (reach + extent), F.col(f"b_hi_{f}") + reach
-        a = a.withColumn(f"_k{k}", cell_index(F.col(f"a_lo_{f}"), width))
-        b = b.withColumn(f"_k{k}", F.explode(F.sequence(cell_index(low, width), cell_index(high, width))))
+        low = f"b_lo_{features[k]} - {number(reach + extent)}"
+        high = f"b_hi_{features[k]} + {number(reach)}"
+        b = b.select("*", touched_cells(low, high, width).alias(f"_k{k}"))
     pairs = a.join(b, near_keys).filter(F.col("a_gid") < F.col("b_gid"))
     return _limits(pairs, features, key).filter(F.col("lb") <= radius)
 
@@ -93,7 +104,7 @@ def closest_between_cells(
 
     def at_level(level: int, key_names: list[str]) -> DataFrame:
         return pts.select(
-            "gid", *[c.alias(n) for c, n in zip(_box_key(features, side, level), key_names)], "uid", *features
+            "gid", *[c.alias(n) for c, n in zip(box_key(features, side, level), key_names)], "uid", *features
         )
 
     crowded = pts.count() > setting(pts.sparkSession, HOT_ROWS)
@@ -106,7 +117,8 @@ def closest_between_cells(
     while True:
         best = pairs.groupBy("src", "dst").agg(F.least(F.min("ub"), F.min("best")).alias("best"))
         found.append(best.filter(F.col("best") <= radius).select("src", "dst", F.col("best").alias("min_dist")))
-        open_pairs = hot_join(pairs.drop("best"), best, ["src", "dst"]).filter(
+        n_pairs, largest = pairs.agg(F.count(F.lit(1)), F.max(F.col("a_n") * F.col("b_n"))).first()
+        open_pairs = hot_join(pairs.drop("best"), best, ["src", "dst"], rows=n_pairs).filter(
             (F.col("lb") < F.col("best")) & (F.col("lb") <= radius)
         )
         if settle is not None:
@@ -123,13 +135,13 @@ def closest_between_cells(
             small.join(_rename(members, "a_"), both[0])
             .join(_rename(members, "b_"), both[1])
             .groupBy("a_gid", "b_gid")
-            .agg(F.min(distance([F.col(f"a_{f}") for f in features], [F.col(f"b_{f}") for f in features])).alias("min_dist"))
+            .agg(F.min(distance(prefixed("a_", features), prefixed("b_", features))).alias("min_dist"))
             .filter(F.col("min_dist") <= radius)
             .select(F.col("a_gid").alias("src"), F.col("b_gid").alias("dst"), "min_dist")
         )
         found.append(direct)
 
-        if pairs.filter(size > leaf).isEmpty():
+        if (largest or 0) <= leaf:
             break
         deep = stage(open_pairs.filter(size > leaf), "deep")
         if deep.isEmpty():
@@ -143,8 +155,8 @@ def closest_between_cells(
             .union(deep.select(F.col("dst").alias("gid"), *[F.col(b).alias(p) for b, p in zip(both[1][1:], parents)]))
             .distinct()
         )
-        old = [c.alias(p) for c, p in zip(_box_key(features, side, level - 1), parents)]
-        new = [c.alias(q) for c, q in zip(_box_key(features, side, level), key)]
+        old = [c.alias(p) for c, p in zip(box_key(features, side, level - 1), parents)]
+        new = [c.alias(q) for c, q in zip(box_key(features, side, level), key)]
         alive = stage(alive, "alive")
         kept = hot_join(pts.select("gid", "uid", *features, *old, *new), alive, ["gid", *parents], "left_semi")
         boxes = stage(_boxes(kept, features, key, parents), "boxes")

@@ -1,5 +1,4 @@
-"""Agreement and quality of labelings: contingency, adjusted Rand index, adjusted mutual information,
-silhouette. Sums leave Spark as one-row tables."""
+"""Agreement of two labelings: contingency, adjusted Rand index, adjusted mutual information."""
 
 from __future__ import annotations
 
@@ -7,15 +6,12 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densegrid.functions.special import ln_factorial
-from densegrid.runtime import stage
 
 BLOCKS = 64
-BLOCK_ROWS = 4096
 CHUNK = 65536
 
 
@@ -117,62 +113,3 @@ def ami(table: DataFrame) -> DataFrame:
         (mi - F.col("emi")) / below
     )
     return sums.select(value.alias("ami"))
-
-
-def _distance_sums(features: list[str]):
-    """Sum of distances from every target of a block to the sources of a block, per source label."""
-
-    def run(targets: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
-        labels, codes = np.unique(sources["s_label"].to_numpy(), return_inverse=True)
-        squares = np.zeros((len(targets), len(sources)))
-        for f in features:
-            gap = targets[f].to_numpy()[:, None] - sources["s_" + f].to_numpy()[None, :]
-            squares += gap * gap
-        far = np.sqrt(squares)
-        order = np.argsort(codes, kind="stable")
-        starts = np.searchsorted(codes[order], np.arange(len(labels)))
-        sums = np.add.reduceat(far[:, order], starts, axis=1) if len(labels) else far
-        return pd.DataFrame(
-            {
-                "point_id": np.repeat(targets["point_id"].to_numpy(), len(labels)),
-                "label": np.repeat(targets["label"].to_numpy(), len(labels)),
-                "other": np.tile(labels, len(targets)),
-                "far": sums.ravel(),
-            }
-        )
-
-    return run
-
-
-def silhouette(df: DataFrame, features: list[str], label: str) -> DataFrame:
-    """Mean silhouette with Euclidean distances; null when there are fewer than two labels."""
-    points = stage(
-        df.select("point_id", F.col(label).cast("bigint").alias("label"), *features), "silhouette"
-    )
-    blocks = -(-points.count() // BLOCK_ROWS) or 1
-    spot = F.pmod(F.xxhash64("point_id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    targets = points.withColumn("_t", spot).withColumn("_s", every)
-    sources = points.select(
-        *[F.col(f).alias("s_" + f) for f in features], F.col("label").alias("s_label"), spot.alias("_s")
-    ).withColumn("_t", every)
-    sums = targets.groupBy("_t", "_s").cogroup(sources.groupBy("_t", "_s")).applyInPandas(
-        _distance_sums(features), "point_id bigint, label bigint, other bigint, far double"
-    )
-    per_label = sums.groupBy("point_id", "label", "other").agg(F.sum("far").alias("far"))
-    sizes = points.groupBy(F.col("label").alias("other")).agg(F.count(F.lit(1)).alias("size"))
-    own = F.col("other") == F.col("label")
-    per_point = (
-        per_label.join(sizes, "other")
-        .groupBy("point_id")
-        .agg(
-            F.max(F.when(own, F.col("size"))).alias("size"),
-            F.max(F.when(own & (F.col("size") > 1), F.col("far") / (F.col("size") - 1))).alias("a"),
-            F.min(F.when(~own, F.col("far") / F.col("size"))).alias("b"),
-        )
-    )
-    widest = F.greatest("a", "b")
-    score = F.when(F.col("b").isNull(), F.lit(None)).when(
-        (F.col("size") == 1) | (widest == 0), F.lit(0.0)
-    ).otherwise((F.col("b") - F.col("a")) / widest)
-    return per_point.agg(F.avg(score).alias("silhouette"))

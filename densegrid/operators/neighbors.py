@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densegrid.functions.geometry import SLACK, cell_index, distance, prefixed
+from densegrid.functions.geometry import SLACK, cell_index, distance, number, prefixed, touched_cells
 from densegrid.runtime import HOT_ROWS, hot_cut, hot_join, hot_keys, setting, stage
 
 MAX_BINNED = 4
@@ -61,10 +61,9 @@ def near(
     width = 2 * reach
     keys = [f"_k{k}" for k in dims]
     for k in dims:
-        x = F.col(probe_features[k])
-        span = F.sequence(cell_index(x - reach, width), cell_index(x + reach, width))
-        probe = probe.withColumn(f"_k{k}", F.explode(span))
-        data = data.withColumn(f"_k{k}", cell_index(F.col(data_features[k]), width))
+        x, r = probe_features[k], number(reach)
+        probe = probe.select("*", touched_cells(f"{x} - {r}", f"{x} + {r}", width).alias(f"_k{k}"))
+    data = data.select("*", *[F.expr(cell_index(data_features[k], width)).alias(f"_k{k}") for k in dims])
     for i, (p, q) in enumerate(scope):
         probe = probe.withColumn(f"_s{i}", F.col(p))
         data = data.withColumnRenamed(q, f"_s{i}")
@@ -85,7 +84,7 @@ def near(
             .drop("_shares")
         )
         keys = keys + ["_salt"]
-    gap = distance([F.col(c) for c in probe_features], [F.col(c) for c in data_features])
+    gap = distance(probe_features, data_features)
     return probe.join(data, keys).withColumn("dist", gap).filter(F.col("dist") <= radius).drop(*keys)
 
 
@@ -114,7 +113,7 @@ def core_sites(
     sites = stage(distinct_sites(points, features, scope), "sites")
     rows = sites.count()
     keep = [*scope, *features, "uid", "mult"]
-    celled = sites.select(*keep, *[cell_index(F.col(f), side).alias(c) for f, c in zip(features, fine)])
+    celled = sites.select(*keep, *[F.expr(cell_index(f, side)).alias(c) for f, c in zip(features, fine)])
     counts = celled.groupBy(*scope, *fine).agg(F.sum("mult").alias("cell_n"))
     counted = hot_join(celled, counts, [*scope, *fine], rows=rows).withColumn("inside", F.col("cell_n") - own)
 

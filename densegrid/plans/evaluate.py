@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from densegrid.operators import metrics
 from densegrid.operators.labels import fill_labels
+from densegrid.operators.silhouette import silhouette
 from densegrid.plans.approx import approx_dbscan
 from densegrid.plans.exact import exact_dbscan
 from densegrid.runtime import stage
@@ -30,6 +31,6 @@ def evaluate(df: DataFrame, features: list[str], true_col: str, pred_col: str) -
         {
             "ari": metrics.ari(table),
             "ami": metrics.ami(table),
-            "silhouette": metrics.silhouette(df, features, pred_col),
+            "silhouette": silhouette(df, features, pred_col),
         }
     )

@@ -27,7 +27,7 @@ def exact_dbscan(points: DataFrame, features: list[str], eps: float, min_pts: in
     fine = [f"_f{k}" for k in range(len(features))]
     side = search_side(eps, len(features))
     celled = sites.filter("core_flag = 1").select(
-        "uid", "mult", *features, *[cell_index(F.col(f), side).alias(c) for f, c in zip(features, fine)]
+        "uid", "mult", *features, *[F.expr(cell_index(f, side)).alias(c) for f, c in zip(features, fine)]
     )
     names = celled.groupBy(*fine).agg(F.min("uid").alias("gid"))
     core = stage(hot_join(celled, names, fine).drop(*fine), "core")

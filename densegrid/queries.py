@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densegrid.operators import halo, labels, metrics, neighbors
+from densegrid.operators import silhouette as silhouettes
 from densegrid.operators.grid import bin_edges, bounds, cell_box
 from densegrid.operators.links import closest_between_cells
 from densegrid.plans.approx import ApproxClustering
@@ -303,7 +304,7 @@ def distinct_counts(spark, sf_dir):
 def _located(spark, sf_dir, name: str = "emb3"):
     job = run(spark, sf_dir, name)
     grid = job.grid
-    placed = grid.locate(job.points).withColumn("gid", grid.gid([F.col(c) for c in grid.cells]))
+    placed = grid.locate(job.points).select("*", F.expr(grid.gid(grid.cells)).alias("gid"))
     return job, placed, [PARTS] * len(job.features)
 
 
@@ -404,7 +405,7 @@ def ami(spark, sf_dir):
 @query
 def silhouette(spark, sf_dir):
     df, features = _compared(spark, sf_dir)
-    return metrics.silhouette(df, features, "cluster_id").select(F.round("silhouette", 6).alias("silhouette"))
+    return silhouettes.silhouette(df, features, "cluster_id").select(F.round("silhouette", 6).alias("silhouette"))
 
 
 @query

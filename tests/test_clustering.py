@@ -81,7 +81,7 @@ def test_edge_across_a_partition_bound(spark):
 def test_flags_do_not_depend_on_the_partitions(spark, parts):
     points, names, x = points_of(spark, mixed(3, 2))
     grid = Grid.fit(points, names, 0.1)
-    placed = grid.locate(points).withColumn("gid", grid.gid([F.col(c) for c in grid.cells]))
+    placed = grid.locate(points).select("*", F.expr(grid.gid(grid.cells)).alias("gid"))
     copies = halo.replicate(placed, grid, [parts] * 2)
     assert copies.filter("is_home = 1").count() == len(x)
     seen = core_sites(copies, names, 0.1, 5, scope=["paid"])
