@@ -88,12 +88,17 @@ def _first_pairs(boxes: DataFrame, features: list[str], key: list[str], side: fl
 
 
 def closest_between_cells(
-    pts: DataFrame, features: list[str], radius: float, cell_scale: float, settle: float | None = None
+    pts: DataFrame,
+    features: list[str],
+    radius: float,
+    cell_scale: float,
+    settle: float | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """``(src, dst, min_dist)`` for every pair ``src < dst`` of cells with points within ``radius``.
 
     ``pts`` is a staged table of distinct points with ``uid`` and their cell ``gid``; ``cell_scale`` is the ``eps`` of
-    the grid. With ``settle``, a pair counts as decided as soon as some distance is at most ``settle``;
+    the grid; ``rows`` is an upper limit of the row count, when known. With ``settle``, a pair counts as decided as soon as some distance is at most ``settle``;
     ``min_dist`` is then only an upper limit for those pairs.
     """
     leaf = setting(pts.sparkSession, LEAF_PAIRS)
@@ -107,7 +112,7 @@ def closest_between_cells(
             "gid", *[c.alias(n) for c, n in zip(box_key(features, side, level), key_names)], "uid", *features
         )
 
-    crowded = pts.count() > setting(pts.sparkSession, HOT_ROWS)
+    crowded = (pts.count() if rows is None else rows) > setting(pts.sparkSession, HOT_ROWS)
     boxes = _boxes(at_level(0, key), features, key)
     if crowded:
         boxes = stage(boxes, "boxes")
@@ -174,14 +179,21 @@ def closest_between_cells(
 
 
 def link_cells(
-    pts: DataFrame, features: list[str], eps: float, rho: float = 0.0, policy: str = "never", seed: int = 0
+    pts: DataFrame,
+    features: list[str],
+    eps: float,
+    rho: float = 0.0,
+    policy: str = "never",
+    seed: int = 0,
+    rows: int | None = None,
 ) -> DataFrame:
     """Neighbour cells ``(src, dst)``: closest points within ``eps``, or in the band up to
     ``eps * (1 + rho)`` when ``policy`` is ``always`` or the seeded coin says so."""
     if policy not in ("never", "always", "seeded"):
         raise ValueError(f"unknown rho policy {policy!r}")
     outer = eps if policy == "never" else eps * (1 + rho)
-    found = closest_between_cells(pts, features, outer, eps, settle=outer if policy == "always" else eps)
+    settle = outer if policy == "always" else eps
+    found = closest_between_cells(pts, features, outer, eps, settle, rows)
     if policy == "seeded":
         found = found.filter((F.col("min_dist") <= eps) | coin(F.col("src"), F.col("dst"), seed))
     return found.select("src", "dst")

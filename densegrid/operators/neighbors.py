@@ -96,7 +96,7 @@ def core_sites(
     rule: str = "strict",
     scope: list[str] = [],
 ) -> DataFrame:
-    """Sites with ``neighbors`` (counted up to ``min_pts``) and ``core_flag``, as a staged table.
+    """Sites with ``neighbors`` (counted up to ``min_pts``) and ``core_flag``, read from staged tables.
 
     ``rule="strict"`` counts points at other coordinates; ``rule="standard"`` counts every point, itself
     included. ``scope`` columns confine neighbours to equal values (the overlapping partitions).
@@ -116,24 +116,22 @@ def core_sites(
     celled = sites.select(*keep, *[F.expr(cell_index(f, side)).alias(c) for f, c in zip(features, fine)])
     counts = celled.groupBy(*scope, *fine).agg(F.sum("mult").alias("cell_n"))
     counted = hot_join(celled, counts, [*scope, *fine], rows=rows).withColumn("inside", F.col("cell_n") - own)
-
-    dense = counted.filter(F.col("inside") >= enough).select(*keep, enough.alias("neighbors"))
+    counted = stage(counted.select(*keep, "inside"), "counted")
 
     seen = prefixed("q_", features)
-    data = sites.select(*scope, *[F.col(f).alias(q) for f, q in zip(features, seen)],
-                        F.col("mult").alias("q_mult"))
+    data = sites.select(
+        *scope, *[F.col(f).alias(q) for f, q in zip(features, seen)], F.col("mult").alias("q_mult")
+    )
     probes = counted.filter(F.col("inside") < enough).select(*keep)
     dims = binned_dims(sites, features)
     pairs = near(probes, data, features, seen, eps, dims, [(s, s) for s in scope], rows)
-    thin = (
-        pairs.groupBy(*keep)
-        .agg(F.sum("q_mult").alias("_around"))
-        .select(*keep, F.least(F.col("_around") - own, enough).alias("neighbors"))
-    )
-    flagged = dense.unionByName(thin).withColumn(
+    around = stage(pairs.groupBy(*keep).agg(F.sum("q_mult").alias("around")), "around")
+    thin = around.select(*keep, F.least(F.col("around") - own, enough).alias("neighbors"))
+
+    dense = counted.filter(F.col("inside") >= enough).select(*keep, enough.alias("neighbors"))
+    return dense.unionByName(thin).withColumn(
         "core_flag", F.when(F.col("neighbors") >= enough, 1).otherwise(0).cast("int")
     )
-    return stage(flagged, "flags")
 
 
 def to_points(

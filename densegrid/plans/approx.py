@@ -81,7 +81,9 @@ class ApproxClustering:
     @cached_property
     def edges(self) -> DataFrame:
         """Neighbouring core cells ``(src, dst)`` with ``src < dst``."""
-        return link_cells(self.linked_points, self.features, self.eps, self.rho, self.rho_policy, self.seed)
+        return link_cells(
+            self.linked_points, self.features, self.eps, self.rho, self.rho_policy, self.seed, self.n_sites
+        )
 
     @cached_property
     def components(self) -> DataFrame:
