@@ -5,11 +5,11 @@ Comparing every point with every other is avoided in two steps.
 1. Space is split into boxes of at most ``BOX_ROWS`` distinct points. For a box, the mean distance to a
    label is at least the distance to the centroid of the label, and at most that plus the radius of the
    label. Labels that cannot be among the nearest two of a box are dropped, which loses nothing.
-2. For the labels left, points of a label are taken in groups. Groups of few points are compared point by
-   point. In large data, a group of more than ``NEAR_ROWS`` points that is small against its distance
-   (radius below ``theta`` times the distance) enters as weight, centroid and covariance: the second-order
-   expansion of the distance sum, whose relative error is of the order ``theta ** 3``. All other groups
-   are split further.
+2. For the labels left, points of a label are taken in groups. In large data, a group of more than
+   ``FEW_ROWS`` points that is small against its distance (radius below ``theta`` times the distance) enters
+   as weight, centroid and covariance: the second-order expansion of the distance sum, whose relative error
+   is of the order ``theta ** 3``. Other groups of up to ``NEAR_ROWS`` points are compared point by point,
+   and all larger ones are split further.
 
 Data sets of up to ``EXACT_ROWS`` distinct points are compared point by point throughout, so the result
 is exact there; ``theta=0`` asks for that at any size.
@@ -28,14 +28,17 @@ from densegrid.runtime import hot_join, stage
 EXACT_ROWS = 20_000
 BOX_ROWS = 1024
 NEAR_ROWS = 128
+FEW_ROWS = 8
 GROUPS = 8
+HALVINGS = 2
 SAFE = 1 - 1e-9
 
 
 def _keyed(df: DataFrame, features: list[str], side: float, level: int) -> DataFrame:
-    """Add the box key of a level and of the level above; level 0 is one box."""
+    """Add the box key of a level and of the level above; level 0 is one box, each next one is a quarter wide."""
+
     def key(at: int) -> list:
-        return [F.lit(0).cast("bigint")] * len(features) if at <= 0 else box_key(features, side, at - 1)
+        return [F.lit(0).cast("bigint")] * len(features) if at <= 0 else box_key(features, side, HALVINGS * (at - 1))
 
     names = range(len(features))
     return df.select(
@@ -155,7 +158,9 @@ def _target_boxes(sites: DataFrame, n_sites: int, space: _Space) -> tuple[DataFr
     return all_members, stage(offered.unionByName(own).distinct(), "label_pairs")
 
 
-def _sources(sites: DataFrame, pairs: DataFrame, space: _Space, theta: float, near_rows: int) -> DataFrame:
+def _sources(
+    sites: DataFrame, pairs: DataFrame, space: _Space, theta: float, few_rows: int, near_rows: int
+) -> DataFrame:
     """What each box is compared with: single points, or groups as weight, centroid and covariance."""
     zero = [F.lit(0.0).alias(v) for v in space.cov]
     radius = _root_of_squares([f"greatest(hi_{f} - c_{f}, c_{f} - lo_{f})" for f in space.features])
@@ -173,8 +178,8 @@ def _sources(sites: DataFrame, pairs: DataFrame, space: _Space, theta: float, ne
         )
         met = hot_join(open_pairs, groups, ["label", *space.up])
         state = (
-            f"CASE WHEN rows <= {near_rows} THEN 0 "
-            f"WHEN {radius} <= {theta} * {space.gap_to_centroid()} THEN 1 ELSE 2 END"
+            f"CASE WHEN rows > {few_rows} AND {radius} <= {theta} * {space.gap_to_centroid()} THEN 1 "
+            f"WHEN rows <= {near_rows} THEN 0 ELSE 2 END"
         )
         met = stage(met.select(*carried, *space.key, "w", *space.names("c_"), *space.cov, F.expr(state).alias("state")), "met")
         out.append(met.filter("state = 1").select(*columns))
@@ -213,11 +218,12 @@ def silhouette(df: DataFrame, features: list[str], label: str, theta: float = 0.
     if row["n"] == 0 or row["first"] == row["last"]:
         return sites.agg(F.lit(None).cast("double").alias("silhouette"))
     exact = theta <= 0 or row["n"] <= EXACT_ROWS
-    near_rows = max(row["n"], 1) if exact else NEAR_ROWS
+    few_rows, near_rows = (row["n"], row["n"]) if exact else (FEW_ROWS, NEAR_ROWS)
     space = _Space(features, max(row[f] for f in features) or 1.0)
 
     members, pairs = _target_boxes(sites, row["n"], space)
-    sources = _sources(sites, pairs, space, theta, near_rows).withColumnRenamed("label", "other")
+    # Few bytes, many comparisons: spread the sources before they meet the points of their box.
+    sources = _sources(sites, pairs, space, theta, few_rows, near_rows).withColumnRenamed("label", "other").repartition("tid")
 
     gaps = [f"({f} - c_{f})" for f in features]
     squared = " + ".join(f"{g} * {g}" for g in gaps)

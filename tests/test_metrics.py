@@ -59,6 +59,7 @@ def test_silhouette_with_grouped_sources(skewed, monkeypatch, d, k):
     monkeypatch.setattr(sil, "EXACT_ROWS", 0)
     monkeypatch.setattr(sil, "BOX_ROWS", 60)
     monkeypatch.setattr(sil, "NEAR_ROWS", 10)
+    monkeypatch.setattr(sil, "FEW_ROWS", 2)
     x, labels = groups(d, d, k)
     df, names = table_of(skewed, x, labels)
     wanted = direct_silhouette(x, labels)
