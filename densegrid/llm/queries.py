@@ -3,15 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from densegrid.llm import exact_dedup
+from densegrid.llm import exact_dedup, sentencepiece_codec, topk, warc
 from densegrid.llm.text import table
 
+#: Model file of the public tokenizer; read on the driver only.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids, and whether decoding gives the text back (U+2581 reads back as a blank)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = sentencepiece_codec.encode(docs, PIECES)
+    back = sentencepiece_codec.decode(tokens, PIECES)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
+    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantize(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=1000)
+    return warc.read_records(index).drop("payload")
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_topk_search": op7_topk_search,
+    "op9_warc": op9_warc,
 }
