@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 BLANK = "▁"
 NORMAL, BYTE, UNKNOWN, OTHER = range(4)
 #: Entries of a task's segment cache, and the longest segment it takes. Neither changes a result.
-CACHE, CACHED_CHARS = 500_000, 48
+CACHE, CACHED_CHARS = 400_000, 48
 
 
 def load_pieces(path: str) -> list[tuple[str, float, int]]:
@@ -48,17 +48,48 @@ def load_pieces(path: str) -> list[tuple[str, float, int]]:
     return [(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(model.get_piece_size())]
 
 
+def _segments(pieces: set[str]) -> re.Pattern:
+    """Pattern of the parts of a text that no piece reaches across, read off the pieces.
+
+    Borders are: before a blank after another character; around line breaks and tabs that are in no piece; between
+    marks and other characters. Marks are the comma and all characters that pieces join to it, directly or in steps.
+    """
+    if any(BLANK in p.lstrip(BLANK) for p in pieces):
+        return re.compile("(?s:.+)")
+    joined: dict[str, set[str]] = {}
+    for piece in pieces:
+        for x, y in zip(piece, piece[1:]):
+            if x != BLANK:
+                joined.setdefault(x, set()).add(y)
+                joined.setdefault(y, set()).add(x)
+    marks, ahead = {","}, [","]
+    while ahead:
+        new = joined.get(ahead.pop(), set()) - marks
+        marks |= new
+        ahead += new
+    if any(c.isalpha() for c in marks):
+        marks = set()
+    used = set(chain.from_iterable(pieces))
+    breaks = re.escape("".join(c for c in "\n\t\r" if c not in used))
+    mark = re.escape("".join(sorted(marks)))
+    ways = [rf"{BLANK}*[^{BLANK}{breaks}{mark}]+", rf"{BLANK}*[{mark}]+" if marks else "", rf"{BLANK}+", rf"[{breaks}]" if breaks else ""]
+    return re.compile("|".join(filter(None, ways)))
+
+
 class _Segments(dict):
-    """Ids by segment; emptied when full."""
+    """Ids by segment. When full, its entries become the older half; those used again move back."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, text: str) -> tuple[int, ...]:
-        found = tuple(self.codec.viterbi(text))
+        found = self.older.get(text)
+        if found is None:
+            found = tuple(self.codec.viterbi(text))
         if len(text) <= CACHED_CHARS:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
                 self.clear()
             self[text] = found
         return found
@@ -77,18 +108,8 @@ class Codec:
         self.piece = [p for p, _, _ in pieces]
         self.byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
-        self.raw = [
-            bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(BLANK, " ").encode() if k == NORMAL
-            else " ⁇ ".encode() if k == UNKNOWN else b""
-            for p, _, k in pieces
-        ]
         self.unknown_score = min(self.score[i] for i in self.ids.values()) - 10
-        crossing = any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        used = set(chain.from_iterable(self.ids))
-        breaks = re.escape("".join(c for c in "\n\t\r" if c not in used))
-        self.segment = re.compile(
-            rf"(?s:.+)" if crossing else rf"{BLANK}*[^{BLANK}{breaks}]+|{BLANK}+" + (rf"|[{breaks}]" if breaks else "")
-        )
+        self.segment = _segments(set(self.ids))
         self.open: dict[int, bool] = {}
         self.cache = _Segments(self)
         # The two parts that the last merge of a piece joins, and its rank; characters have none and rank first.
@@ -226,9 +247,18 @@ class Codec:
         segments = self.segment.findall(BLANK + text.replace(" ", BLANK))
         return list(chain.from_iterable(map(self.cache.__getitem__, segments)))
 
-    def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+
+def raw_pieces(pieces: list[tuple[str, float, int]]) -> list[bytes]:
+    """What each id stands for in a text, as bytes."""
+    return [
+        bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(BLANK, " ").encode() if k == NORMAL
+        else " ⁇ ".encode() if k == UNKNOWN else b""
+        for p, _, k in pieces
+    ]
+
+
+def decode_ids(ids: list[int], raw: list[bytes]) -> str:
+    return b"".join(map(raw.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
 def _codec(shared, kind: str) -> Codec:
@@ -277,15 +307,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``tokens`` with the string column ``out``: the text of ``ids``; null ids give an empty text."""
-    shared = _share(tokens.sparkSession, path)
+    raw = raw_pieces(load_pieces(path))
+    shared = tokens.sparkSession.sparkContext.broadcast(raw)
     rest = tokens.drop(out)
     rows = rest.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"), F.coalesce(F.col(f"`{ids}`"), F.array()).cast("array<int>").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, "bpe")
+        raw = shared.value
         for batch in batches:
             lists = batch.column(1)
-            texts = pa.array([codec.decode(lists[i].values.to_pylist()) for i in range(batch.num_rows)], pa.string())
+            texts = pa.array([decode_ids(lists[i].values.to_pylist(), raw) for i in range(batch.num_rows)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], names=["row", "text"])
 
     schema = rows.select("row").schema.add("text", StringType())
