@@ -1,5 +1,7 @@
 """The same results as SQL, where SQL can express them."""
 
+from densegrid.llm import licenses
+
 AZ = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP4 = f"""
@@ -8,6 +10,41 @@ WITH d AS (SELECT doc_id, sha256({AZ.format('text')}) AS text_sha256 FROM docume
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+
+def _rows(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+_HEADS, _PLACES = licenses._postings(licenses.BASE, licenses.TEMPLATES)
+
+OP6 = f"""
+WITH head(template, label, is_base) AS (VALUES {_rows(_HEADS)}),
+place(template, o, word, is_key) AS (VALUES {_rows(_PLACES)}),
+d AS (SELECT doc_id, regexp_extract_all({AZ.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT doc_id, i - 1 AS pos, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) u(i) WHERE w[i] IN (SELECT word FROM place)),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM t GROUP BY word),
+r AS (
+  SELECT place.*, row_number() OVER (PARTITION BY template ORDER BY coalesce(ln(((SELECT count(*) FROM d) + 1) / n), 1000) DESC, o) AS rank
+  FROM place LEFT JOIN df USING (word)),
+x AS (
+  SELECT *, count(*) OVER (PARTITION BY template) AS words, sum(is_key::INT) OVER (PARTITION BY template) AS key_words
+  FROM r JOIN head USING (template) WHERE rank <= {licenses.RARE_WORDS} OR is_key),
+s AS (
+  SELECT doc_id, template, pos - o AS start, any_value(label) AS label, any_value(is_base) AS is_base, count(*) / any_value(words) AS coverage
+  FROM t JOIN x USING (word) GROUP BY doc_id, template, pos - o
+  HAVING pos - o >= 0 AND bool_or(rank = 1) AND sum(is_key::INT) = any_value(key_words)
+    AND count(*) / any_value(words) >= CASE WHEN any_value(is_base) THEN 1 ELSE {licenses.LEAST_COVERAGE} END),
+g AS (
+  SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 OP7 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -29,8 +66,25 @@ SELECT page_id, url, payload_bytes, payload_digest,
 FROM d JOIN g USING (payload_digest)
 """
 
+OP10 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({AZ.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before FROM d, unnest(range(1, len(w) + 1)) u(i)),
+uni AS (SELECT word, count(*) AS n FROM t GROUP BY word),
+bi AS (SELECT before, word, count(*) AS n FROM t WHERE before IS NOT NULL GROUP BY before, word),
+s AS (
+  SELECT t.doc_id, CASE
+    WHEN t.before IS NULL THEN ln(o.n / (SELECT sum(n) FROM uni))
+    WHEN b.n IS NOT NULL THEN ln(b.n / c.n)
+    ELSE ln(0.4 * o.n / (SELECT sum(n) FROM uni)) END AS v
+  FROM t JOIN uni o ON o.word = t.word LEFT JOIN bi b ON b.before = t.before AND b.word = t.word LEFT JOIN uni c ON c.word = t.before)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(x.score, 0), 6) AS score
+FROM d LEFT JOIN (SELECT doc_id, sum(v) AS score FROM s GROUP BY doc_id) x USING (doc_id)
+"""
+
 ORACLES = {
     "op4_exact_dedup": OP4,
+    "op6_license_scan": OP6,
     "op7_topk_search": OP7,
     "op9_warc": OP9,
+    "op10_stupid_backoff": OP10,
 }
