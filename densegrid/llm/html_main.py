@@ -63,23 +63,34 @@ ROLES = {"navigation": "menu", "banner": "header", "contentinfo": "footer", "com
          "alert": "notice", "dialog": "notice", "form": "form", "article": "article"}
 
 
+TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
 @cache
-def _token_groups() -> dict[str, tuple[int, ...]]:
-    out: dict[str, list[int]] = {}
+def _token_groups() -> dict[str, int]:
+    """Mask of groups by token; roles as ``role:name``."""
+    out: dict[str, int] = {}
     for i, words in enumerate(TOKENS.values()):
         for w in words.split():
-            out.setdefault(w, []).append(i)
-    return {w: tuple(g) for w, g in out.items()}
+            out[w] = out.get(w, 0) | 1 << i
+    names = list(TOKENS)
+    return out | {f"role:{role}": 1 << names.index(group) for role, group in ROLES.items()}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "groups", "parts", "children", "link", "hidden", "truth")
+    """A block element. Masks have a bit per token group: of its own tokens, with its ancestors', of its children."""
 
-    def __init__(self, tag: str, parent: int, depth: int, groups: tuple[int, ...], hidden: bool, truth: str | None):
-        self.tag, self.parent, self.depth, self.groups, self.hidden, self.truth = tag, parent, depth, groups, hidden, truth
+    __slots__ = ("tag", "parent", "depth", "own", "up", "below", "inside", "place", "parts", "children", "link", "hidden", "truth")
+
+    def __init__(self, tag: str, parent: int, depth: int, own: int, up: int, inside: int, place: int, hidden: bool, truth: str | None):
+        self.tag, self.parent, self.depth, self.own, self.up, self.inside = tag, parent, depth, own, up, inside
+        self.place, self.hidden, self.truth, self.below, self.link = place, hidden, truth, 0, 0
         self.parts: list[tuple[int, str]] = []
         self.children: list[int] = []
-        self.link = 0
+
+
+# Bits of ``inside``: kinds of elements among the node and its ancestors.
+INSIDE = {"article": 1, "main": 2, "nav": 4, "footer": 4, "aside": 4, "dialog": 4, "form": 8, "ul": 16, "ol": 16, "dl": 16}
 
 
 class Tree(HTMLParser):
@@ -87,22 +98,23 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes = [Node("#root", -1, 0, (), False, None)]
+        self.nodes = [Node("#root", 0, 0, 0, 0, 0, 0, False, None)]
         self.open = [0]
         self.links = 0
+        self.body = False
 
-    def _groups(self, attrs) -> tuple[int, ...]:
-        found: set[int] = set()
+    def _tokens(self, attrs) -> int:
+        mask = 0
         known = _token_groups()
         for name, value in attrs:
             if not value:
                 continue
             if name in ("class", "id"):
-                for token in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value):
-                    found.update(known.get(token.lower(), ()))
-            elif name == "role" and value.lower() in ROLES:
-                found.add(list(TOKENS).index(ROLES[value.lower()]))
-        return tuple(sorted(found))
+                for token in TOKEN.findall(value):
+                    mask |= known.get(token.lower(), 0)
+            elif name == "role":
+                mask |= known.get("role:" + value.lower(), 0)
+        return mask
 
     def _close(self, tags: set[str], stop: set[str]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -123,17 +135,22 @@ class Tree(HTMLParser):
             self._close({"p"}, {"table", "td", "th", "button", "body"})
         if tag in SELF_ENDING:
             self._close(SELF_ENDING[tag], SCOPES.get(tag, set()))
-        if tag == "html" or tag == "body" and any(n.tag == "body" for n in self.nodes):
+        if tag == "html" or tag == "body" and self.body:
             return
         if tag in VOID:
             self._break()
             return
         parent = self.open[-1]
         up = self.nodes[parent]
-        truth = dict(attrs).get("data-truth", up.truth)
-        self.nodes.append(Node(tag, parent, up.depth + 1, self._groups(attrs), up.hidden or tag in HIDDEN, truth))
-        up.children.append(len(self.nodes) - 1)
-        self.open.append(len(self.nodes) - 1)
+        truth = next((v for k, v in attrs if k == "data-truth"), up.truth)
+        own = self._tokens(attrs) if attrs else 0
+        up.below |= own
+        up.children.append(len(self.nodes))
+        self.open.append(len(self.nodes))
+        self.nodes.append(Node(
+            tag, parent, up.depth + 1, own, up.up | own, up.inside | INSIDE.get(tag, 0), len(up.children) - 1, up.hidden or tag in HIDDEN, truth
+        ))
+        self.body |= tag == "body"
         self.links = 0
 
     def handle_endtag(self, tag):
@@ -175,72 +192,64 @@ def parse(html: str) -> list[Node]:
     return tree.nodes
 
 
-WIDTH = len(TAGS) + 3 * len(TOKENS) + 22
+SHAPES = 17
+WIDTH = len(TAGS) + 3 * len(TOKENS) + SHAPES + 5
+_TAG_NUMBER = {t: k for k, t in enumerate(TAGS)}
 
 
-def node_features(nodes: list[Node]) -> np.ndarray:
-    """One row per node."""
+def node_features(pages: list[list[Node]]) -> np.ndarray:
+    """A row per node of all pages, in order. Subtree sums are differences of running sums, as nodes are in preorder."""
+    nodes = [x for page in pages for x in page]
     n = len(nodes)
-    own = np.zeros(n)
-    link = np.zeros(n)
-    stops = np.zeros(n)
-    for i, node in enumerate(nodes):
-        text = "".join(t for _, t in node.parts)
-        own[i] = len(" ".join(text.split()))
-        link[i] = min(node.link, own[i])
-        stops[i] = sum(map(text.count, ".,;!?"))
-    parent = np.array([max(0, x.parent) for x in nodes])
-    text, links, ends, blocks = own.copy(), link.copy(), stops.copy(), (own > 0).astype(float)
-    size = np.ones(n)
-    paragraphs = np.array([x.tag == "p" and o > 0 for x, o in zip(nodes, own)], float)
+    base = np.repeat(np.cumsum([0] + [len(p) for p in pages[:-1]]), [len(p) for p in pages])
+    column = {k: np.fromiter((getattr(x, k) for x in nodes), np.int64, n) for k in ("parent", "depth", "own", "up", "below", "inside", "place", "link")}
+    parent = column["parent"] + base
+    tag = np.fromiter((_TAG_NUMBER.get(x.tag, -1) for x in nodes), np.int64, n)
+    fan = np.fromiter((len(x.children) for x in nodes), np.int64, n)
+    own, stops = np.zeros(n), np.zeros(n)
+    for i, x in enumerate(nodes):
+        if x.parts:
+            text = "".join(t for _, t in x.parts).strip()
+            own[i], stops[i] = len(text), text.count(".") + text.count(",")
+    root = np.arange(n) == base
+    end = np.arange(1, n + 1)
     for i in range(n - 1, 0, -1):
-        for total in (text, links, ends, blocks, size, paragraphs):
-            total[parent[i]] += total[i]
-    tags = {t: k for k, t in enumerate(TAGS)}
-    out = np.zeros((n, WIDTH), np.float32)
-    groups = len(TOKENS)
-    base = len(TAGS)
-    up = np.zeros((n, groups), np.float32)  # tokens of the node and its ancestors
-    inside = np.zeros((n, 5), np.float32)  # article, main, boilerplate tag, form, list among the node and its ancestors
-    sibling = np.zeros((n, 3))
-    for i, node in enumerate(nodes):
-        if node.tag in tags:
-            out[i, tags[node.tag]] = 1
-        for g in node.groups:
-            out[i, base + g] = 1
-        if i:
-            up[i], inside[i] = up[node.parent], inside[node.parent]
-        for g in node.groups:
-            up[i, g] = 1
-        inside[i, 0] = max(inside[i, 0], node.tag == "article")
-        inside[i, 1] = max(inside[i, 1], node.tag == "main")
-        inside[i, 2] = max(inside[i, 2], node.tag in ("nav", "footer", "aside", "dialog"))
-        inside[i, 3] = max(inside[i, 3], node.tag == "form")
-        inside[i, 4] = max(inside[i, 4], node.tag in ("ul", "ol", "dl"))
-        for place, child in enumerate(node.children):
-            sibling[child] = (place, len(node.children), sum(nodes[c].tag == nodes[child].tag for c in node.children[:50]) / min(50, len(node.children)))
-        below = {g for c in node.children for g in nodes[c].groups}
-        for g in below:
-            out[i, base + groups + g] = 1
-    out[:, base + 2 * groups: base + 3 * groups] = up
-    at = base + 3 * groups
-    whole = max(1.0, text[0])
-    depth = np.array([x.depth for x in nodes])
+        if not root[i] and end[i] > end[parent[i]]:
+            end[parent[i]] = end[i]
+    link = np.minimum(column["link"], own)
+
+    def below(values: np.ndarray) -> np.ndarray:
+        total = np.r_[0.0, np.cumsum(values)]
+        return total[end] - total[:-1]
+
+    filled = (own > 0).astype(float)
+    is_p = filled * (tag == _TAG_NUMBER["p"])
+    text, links, ends, blocks, size, paragraphs = map(below, (own, link, stops, filled, np.ones(n), is_p))
+    _, kin, same = np.unique(parent * 64 + tag + 1, return_inverse=True, return_counts=True)
+    siblings = np.where(root, 1, fan[parent])
+    whole = np.maximum(text[base], 1)
     values = [
         own / (own + 40), text / (text + 200), links / np.maximum(text, 1), link / np.maximum(own, 1), text / whole, ends / np.maximum(text, 1) * 20,
-        np.log1p(text / size) / 6, np.log1p(blocks) / 4, paragraphs / np.maximum(blocks, 1), np.log1p(paragraphs) / 4, depth / 10,
-        sibling[:, 0] / np.maximum(sibling[:, 1], 1), np.log1p(sibling[:, 1]) / 4, sibling[:, 2], text[parent] / whole, paragraphs[parent] / np.maximum(blocks[parent], 1),
-        links[parent] / np.maximum(text[parent], 1),
+        np.log1p(text / size) / 6, np.log1p(blocks) / 4, paragraphs / np.maximum(blocks, 1), np.log1p(paragraphs) / 4, column["depth"] / 10,
+        column["place"] / np.maximum(siblings, 1), np.log1p(siblings) / 4, same[kin] / np.maximum(siblings, 1), text[parent] / whole,
+        paragraphs[parent] / np.maximum(blocks[parent], 1), links[parent] / np.maximum(text[parent], 1),
     ]
-    out[:, at: at + 17] = np.stack(values, 1)
-    out[:, at + 17: at + 22] = inside
+    groups, at = np.arange(len(TOKENS)), len(TAGS) + 3 * len(TOKENS)
+    out = np.zeros((n, WIDTH), np.float32)
+    known = np.flatnonzero(tag >= 0)
+    out[known, tag[known]] = 1
+    for k, mask in enumerate(("own", "below", "up")):
+        start = len(TAGS) + k * len(TOKENS)
+        out[:, start: start + len(TOKENS)] = column[mask][:, None] >> groups & 1
+    out[:, at: at + SHAPES] = np.stack(values, 1)
+    out[:, at + SHAPES:] = column["inside"][:, None] >> np.arange(5) & 1
     return out
 
 
 # --- boosted trees --------------------------------------------------------------------------------------------------
 
 
-def train_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 5, rate: float = 0.2, bins: int = 24) -> list[tuple]:
+def train_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 5, rate: float = 0.2, bins: int = 24) -> list[tuple]:
     """Trees as (feature, cut, value) arrays in heap order; second-order gain on binned features, logistic loss."""
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T)], 1)
@@ -279,17 +288,16 @@ def train_trees(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 5,
 
 
 def predict(trees: list[tuple], x: np.ndarray) -> np.ndarray:
-    """Log-odds."""
+    """Log-odds; all rows go down each tree together."""
     out = np.zeros(len(x))
     for feature, cut, value in trees:
         at = np.zeros(len(x), int)
-        while True:
-            f = np.where(at < len(feature), feature[np.minimum(at, len(feature) - 1)], -1)
-            go = f >= 0
-            if not go.any():
-                break
-            right = x[go, f[go]] > cut[at[go]]
-            at[go] = 2 * at[go] + 1 + right
+        live = np.arange(len(x))
+        while len(live):
+            f = feature[at[live]]
+            live, f = live[f >= 0], f[f >= 0]
+            at[live] = 2 * at[live] + 1 + (x[live, f] > cut[at[live]])
+            live = live[at[live] < len(feature)]
         out += value[at]
     return out
 
@@ -297,19 +305,25 @@ def predict(trees: list[tuple], x: np.ndarray) -> np.ndarray:
 # --- decoding -------------------------------------------------------------------------------------------------------
 
 
-def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
+def odds_weight(node: Node) -> float:
+    return min(4.0, sum(len(t) for _, t in node.parts) / 40)
+
+
+def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
     """Which nodes are kept: the best choice in which every kept node has a kept parent. Text weighs more than frames."""
-    weight = np.array([1 + min(4.0, sum(len(t) for _, t in x.parts) / 40) if x.parts else 1.0 for x in nodes])
-    best = np.clip(odds, -6, 6) * weight
+    best = [min(6.0, max(-6.0, v)) for v in odds]
     best[0] = 0.0
-    for i, x in enumerate(nodes):
+    for i in range(len(nodes) - 1, 0, -1):
+        x = nodes[i]
         if x.hidden:
             best[i] = -1e9
+            continue
+        if x.parts:
+            best[i] += odds_weight(x) * min(6.0, max(-6.0, odds[i]))
     for i in range(len(nodes) - 1, 0, -1):
         if best[i] > 0:
             best[nodes[i].parent] += best[i]
-    keep = np.zeros(len(nodes), bool)
-    keep[0] = True
+    keep = [True] * len(nodes)
     for i in range(1, len(nodes)):
         keep[i] = keep[nodes[i].parent] and best[i] > 0
     return keep
@@ -347,7 +361,7 @@ def blocks(nodes: list[Node], keep) -> list[str]:
 # --- training pages -------------------------------------------------------------------------------------------------
 
 #: Number of training pages, a fixed bound.
-PAGES = 700
+PAGES = 500
 
 
 def training_page(rng: random.Random) -> str:
@@ -466,15 +480,15 @@ def train(pages: int = PAGES, seed: int = 5) -> list[tuple]:
     """Trees from ``pages`` training pages."""
     rng = random.Random(seed)
     parts = [_labelled(training_page(rng)) for _ in range(pages)]
-    x = np.concatenate([node_features(nodes)[1:] for nodes, _ in parts])
-    y = np.concatenate([y[1:] for _, y in parts])
-    seen = np.concatenate([[not n.hidden for n in nodes[1:]] for nodes, _ in parts])
+    x = node_features([nodes for nodes, _ in parts])
+    y = np.concatenate([y for _, y in parts])
+    seen = np.array([n.depth > 0 and not n.hidden for nodes, _ in parts for n in nodes])
     return train_trees(x[seen], y[seen])
 
 
 def main_text(html: str, trees: list[tuple]) -> str:
     nodes = parse(html)
-    return "\n".join(blocks(nodes, decode(nodes, predict(trees, node_features(nodes)))))
+    return "\n".join(blocks(nodes, decode(nodes, predict(trees, node_features([nodes])))))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", trees: list[tuple] | None = None) -> DataFrame:
@@ -485,27 +499,18 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts: list[str] = []
-            pending: list[tuple[list[Node], np.ndarray]] = []
+            pending: list[list[Node]] = []
             size = 0
-
-            def settle():
-                if pending:
-                    odds = predict(shared.value, np.concatenate([x for _, x in pending]))
-                    start = 0
-                    for nodes, x in pending:
-                        texts.append("\n".join(blocks(nodes, decode(nodes, odds[start: start + len(x)]))))
-                        start += len(x)
-                    pending.clear()
-
             htmls = batch.column(2)
             for i in range(batch.num_rows):
-                nodes = parse(htmls[i].as_py())
-                pending.append((nodes, node_features(nodes)))
-                size += len(nodes)
-                if size > 20_000:
-                    settle()
-                    size = 0
-            settle()
+                pending.append(parse(htmls[i].as_py()))
+                size += len(pending[-1])
+                if size > 20_000 or i + 1 == batch.num_rows:
+                    odds = predict(shared.value, node_features(pending)).tolist()
+                    for nodes in pending:
+                        texts.append("\n".join(blocks(nodes, decode(nodes, odds[: len(nodes)]))))
+                        del odds[: len(nodes)]
+                    pending, size = [], 0
             lengths = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), lengths], names=["page_id", "url", "text", "n_chars"])
 
