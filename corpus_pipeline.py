@@ -38,10 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, token_ids, and whether decoding gives the text back."""
-    tokens = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), PIECES)
-    back = sentencepiece_codec.decode(tokens, PIECES)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
-    return back.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+    tokens = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), PIECES, check="round_trip")
+    return tokens.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 STAGES = [

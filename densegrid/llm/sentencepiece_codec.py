@@ -24,12 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 BLANK = "▁"
 NORMAL, BYTE, UNKNOWN, OTHER = range(4)
 #: Entries of a task's segment cache, and the longest segment it takes. Neither changes a result.
-CACHE, CACHED_CHARS = 400_000, 48
+CACHE, CACHED_CHARS = 300_000, 48
+#: Texts that are encoded together: at most so many, or so many characters and one text more.
+TEXTS, CHARS = 500, 2_000_000
 
 
 def load_pieces(path: str) -> list[tuple[str, float, int]]:
@@ -112,6 +114,8 @@ class Codec:
         self.segment = _segments(set(self.ids))
         self.open: dict[int, bool] = {}
         self.cache = _Segments(self)
+        # The last segment, and per position its best last piece, score and automaton node.
+        self.text, self.last, self.best, self.nodes = "", [-1], [0.0], [0]
         # The two parts that the last merge of a piece joins, and its rank; characters have none and rank first.
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank = [-1.0] * len(pieces)
@@ -196,14 +200,23 @@ class Codec:
         n = len(text)
         step, fail, ends, score, opened = self.step, self.fail, self.ends, self.score, self.open
         bpe, size = self.bpe, len(self.piece)
-        last, best = [-2] * (n + 1), [0.0] * (n + 1)
-        last[0] = -1
-        node = end = 0
-        for c in text:
+        # A position depends on what is before it only: go on where the segment before differs from this one.
+        end = 0
+        for c, before in zip(text, self.text):
+            if c != before:
+                break
+            end += 1
+        last, best, nodes = self.last, self.best, self.nodes
+        del last[end + 1:], best[end + 1:], nodes[end + 1:]
+        last += [-2] * (n - end)
+        best += [0.0] * (n - end)
+        self.text, node = text, nodes[end]
+        for c in text[end:]:
             end += 1
             while node and c not in step[node]:
                 node = fail[node]
             node = step[node].get(c, 0)
+            nodes.append(node)
             long = 0
             for t, long in ends[node]:
                 start = end - long
@@ -229,6 +242,7 @@ class Codec:
         if last[n] == -2:
             raise ValueError(f"no way through {text[:40]!r}")
         out: list[int] = []
+        end = n
         while end:
             t = last[end]
             if t >= 0:
@@ -242,10 +256,15 @@ class Codec:
         return out
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        segments = self.segment.findall(BLANK + text.replace(" ", BLANK))
-        return list(chain.from_iterable(map(self.cache.__getitem__, segments)))
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text. New segments are taken in order, as neighbours share the way to where they part."""
+        cut = [self.segment.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        cache = self.cache
+        for segment in sorted(s for s in set().union(*cut) if len(s) <= CACHED_CHARS and s not in cache):
+            cache[segment]
+        return [np.fromiter(chain.from_iterable(map(cache.__getitem__, c)), np.int32) for c in cut]
 
 
 def raw_pieces(pieces: list[tuple[str, float, int]]) -> list[bytes]:
@@ -269,40 +288,45 @@ def _codec(shared, kind: str) -> Codec:
     return held[kind]
 
 
-def _share(spark: SparkSession, path: str, most: int = 1_000_000):
+def _share(spark: SparkSession, pieces: list, most: int = 1_000_000):
     """Broadcast the pieces; a vocabulary has a fixed size, which is checked."""
-    pieces = load_pieces(path)
     if len(pieces) > most:
         raise ValueError(f"{len(pieces)} pieces; at most {most} are broadcast")
     return spark.sparkContext.broadcast({"pieces": pieces})
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids", kind: str = "bpe") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids", kind: str = "bpe", check: str | None = None) -> DataFrame:
     """``docs`` with the array column ``out``: the ids of ``text``. A column of that name is replaced.
 
-    Long texts are handled one at a time; a batch of results is cut off at about four million ids.
+    ``check`` names a boolean column: whether decoding the ids gives the text back (U+2581 reads back as a blank).
+    Texts are taken a few at a time, long ones alone, and results leave in pieces of the same size.
     """
-    shared = _share(docs.sparkSession, path)
-    rest = docs.drop(out)
-    rows = rest.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    pieces = load_pieces(path)
+    shared = _share(docs.sparkSession, pieces)
+    rest = docs.drop(out, *filter(None, [check]))
+    rows = rest.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, kind)
+        raw = raw_pieces(shared.value["pieces"])
         for batch in batches:
-            start, ids, sizes = 0, [], []
-            texts = batch.column(1)
+            column = batch.column(0).field(text)
+            start, texts, size = 0, [], 0
             for i in range(batch.num_rows):
-                found = np.array(codec.encode(texts[i].as_py()), np.int32)
-                ids.append(found)
-                sizes.append(len(found))
-                if i + 1 == batch.num_rows or sum(sizes) > 4_000_000:
-                    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                texts.append(column[i].as_py() or "")
+                size += len(texts[-1])
+                if i + 1 == batch.num_rows or len(texts) >= TEXTS or size >= CHARS:
+                    ids = codec.encode_all(texts)
+                    good = [check is None or decode_ids(x.tolist(), raw) == t.replace(BLANK, " ") for x, t in zip(ids, texts)]
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, i + 1 - start), lists], names=["row", "ids"])
-                    start, ids, sizes = i + 1, [], []
+                    part = batch.column(0).slice(start, len(texts))
+                    yield pa.RecordBatch.from_arrays([part, lists, pa.array(good, pa.bool_())], names=["row", "ids", "good"])
+                    start, texts, size = i + 1, [], 0
 
-    schema = rows.select("row").schema.add("ids", ArrayType(IntegerType()))
-    return rows.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in rest.columns], F.col("ids").alias(out))
+    schema = rows.schema.add("ids", ArrayType(IntegerType())).add("good", BooleanType())
+    added = [F.col("ids").alias(out)] + ([F.col("good").alias(check)] if check else [])
+    return rows.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in rest.columns], *added)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
