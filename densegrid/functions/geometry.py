@@ -46,6 +46,7 @@ def touched_cells(low: str, high: str, width: float) -> Column:
 
 
 def coin(src: Column, dst: Column, seed: int) -> Column:
-    """Repeatable yes/no decision for a pair inside the tolerance band."""
-    mixed = src * F.lit(COIN_SRC) + dst * F.lit(COIN_DST) + F.lit(seed)
+    """Repeatable yes/no decision for a pair inside the tolerance band; ids are reduced first, so any id fits."""
+    small_src, small_dst = F.pmod(src, F.lit(COIN_MOD)), F.pmod(dst, F.lit(COIN_MOD))
+    mixed = small_src * F.lit(COIN_SRC) + small_dst * F.lit(COIN_DST) + F.lit(seed)
     return F.pmod(F.pmod(mixed, F.lit(COIN_MOD)), F.lit(2)) == 1

@@ -12,18 +12,28 @@ from pyspark.sql import functions as F
 from densegrid.runtime import hot_join, stage
 
 EDGE = "src bigint, dst bigint"
+#: Edges that a task holds at a time.
+CHUNK_EDGES = 1_000_000
 
 
-def _forest():
+def _forest(chunk: int):
     """Build the task function; a closure, so executors need no copy of this package."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Replace the edges of one partition by stars on the smallest id of each local component."""
-        chunks = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not chunks:
-            return
-        src = np.concatenate([c[0] for c in chunks])
-        dst = np.concatenate([c[1] for c in chunks])
+        """Replace chunks of edges by stars on the smallest id of each component inside the chunk."""
+        held, n = [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, chunk):
+                part = b.slice(at, chunk)
+                held.append((part.column(0).to_numpy(), part.column(1).to_numpy()))
+                n += part.num_rows
+                if n >= chunk:
+                    yield from stars(*map(np.concatenate, zip(*held)))
+                    held, n = [], 0
+        if held:
+            yield from stars(*map(np.concatenate, zip(*held)))
+
+    def stars(src: np.ndarray, dst: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, flat = np.unique(np.concatenate([src, dst]), return_inverse=True)
         s, d = flat[: len(src)], flat[len(src):]
         label = np.arange(len(ids))
@@ -45,9 +55,9 @@ def _forest():
     return run
 
 
-def local_forest(edges: DataFrame) -> DataFrame:
-    """Shrink the edge set partition by partition; connectivity is unchanged."""
-    return edges.select("src", "dst").mapInArrow(_forest(), EDGE)
+def local_forest(edges: DataFrame, chunk: int = CHUNK_EDGES) -> DataFrame:
+    """Shrink the edge set, ``chunk`` edges at a time, so memory is bounded; connectivity is unchanged."""
+    return edges.select("src", "dst").mapInArrow(_forest(chunk), EDGE)
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -78,17 +88,18 @@ def is_star(edges: DataFrame) -> bool:
     return degree.filter((F.col("down") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id, component)`` for every vertex; the component is named by its smallest id."""
+def connected_components(vertices: DataFrame, edges: DataFrame, chunk: int = CHUNK_EDGES) -> DataFrame:
+    """``(id, component)`` for every vertex; the component is named by its smallest id.
+
+    Partitions follow from the number of edges; the star rounds run until the edges are stars, at every size.
+    """
     oriented = edges.select(
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
     ).filter("src < dst")
     oriented = stage(oriented, "edges")
-    if oriented.rdd.getNumPartitions() <= 1:
-        stars = local_forest(oriented)
-    else:
-        stars = stage(local_forest(oriented.repartitionByRange("src")), "stars")
-        while not is_star(stars):
-            stars = stage(small_star(stage(large_star(stars), "stars")), "stars")
+    parts = max(1, -(-oriented.count() // chunk))
+    stars = stage(local_forest(oriented.repartitionByRange(parts, "src"), chunk), "stars")
+    while not is_star(stars):
+        stars = stage(small_star(stage(large_star(stars), "stars")), "stars")
     found = stars.select(F.col("dst").alias("id"), F.col("src").alias("component"))
     return vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,6 +144,28 @@ def cell_box(df: DataFrame, grid: Grid) -> DataFrame:
     return df
 
 
+def checked_points(
+    points: DataFrame, features: list[str], invalid: str = "raise", scope: list[str] = []
+) -> tuple[DataFrame, list[str]]:
+    """``point_id`` and the features, with the contract of all public calls: features are present and finite.
+
+    A row that breaks it stops the job (``invalid="raise"``, checked where the row is read, at no extra pass) or is
+    left out (``"drop"``). Features whose names are no plain identifiers get plain ones.
+    """
+    if invalid not in ("raise", "drop"):
+        raise ValueError(f"unknown invalid {invalid!r}")
+    if len(set(features)) < len(features) or not features:
+        raise ValueError("features must be distinct columns, at least one")
+    plain = [f if re.fullmatch(r"[A-Za-z]\w*", f) else f"feature_{k}" for k, f in enumerate(features)]
+    columns = [F.col(f"`{f}`").cast("double").alias(p) for f, p in zip(features, plain)]
+    points = points.select(*scope, "point_id", *columns)
+    if invalid == "drop":
+        return valid_points(points, plain), plain
+    fine = reduce(lambda a, b: a & b, [F.col(p).isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf")) for p in plain])
+    wrong = F.raise_error(F.concat(F.lit("features must be finite; point "), F.coalesce(F.col("point_id").cast("string"), F.lit("without id"))))
+    return points.filter(F.when(fine, F.lit(True)).otherwise(wrong)), plain
+
+
 def valid_points(points: DataFrame, features: list[str]) -> DataFrame:
     """Keep rows whose features are all present and finite."""
     for f in features:

@@ -37,7 +37,7 @@ def members(clusters: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("core_flag") == 1, 1).otherwise(0)).cast("bigint").alias("n_core"),
         F.min("point_id").alias("first_point"),
         F.max("point_id").alias("last_point"),
-        F.sum("point_id").alias("sum_points"),
+        F.sum(F.col("point_id").cast("decimal(38,0)")).alias("sum_points"),
     )
 
 

@@ -24,7 +24,7 @@ from densegrid.functions.geometry import (
     touched_cells,
 )
 from densegrid.operators.neighbors import binned_dims, search_side
-from densegrid.runtime import HOT_ROWS, LEAF_PAIRS, hot_join, setting, stage
+from densegrid.runtime import HOT_ROWS, LEAF_PAIRS, hot_join, setting, stage, tiled_join
 
 SPLIT_DIMS = 4
 
@@ -71,7 +71,7 @@ def _limits(pairs: DataFrame, features: list[str], key: list[str]) -> DataFrame:
 
 
 def _first_pairs(boxes: DataFrame, features: list[str], key: list[str], side: float, radius: float,
-                 dims: list[int]) -> DataFrame:
+                 dims: list[int], rows: int | None = None) -> DataFrame:
     """Pairs of boxes of different cells that may hold points within the radius."""
     reach = radius * (1 + SLACK)
     extent = side * (1 + SLACK)
@@ -83,7 +83,7 @@ def _first_pairs(boxes: DataFrame, features: list[str], key: list[str], side: fl
         low = f"b_lo_{features[k]} - {number(reach + extent)}"
         high = f"b_hi_{features[k]} + {number(reach)}"
         b = b.select("*", touched_cells(low, high, width).alias(f"_k{k}"))
-    pairs = a.join(b, near_keys).filter(F.col("a_gid") < F.col("b_gid"))
+    pairs = tiled_join(a, b, near_keys, (rows, None if rows is None else rows * 3 ** len(dims))).filter(F.col("a_gid") < F.col("b_gid"))
     return _limits(pairs, features, key).filter(F.col("lb") <= radius)
 
 
@@ -116,7 +116,7 @@ def closest_between_cells(
     boxes = _boxes(at_level(0, key), features, key)
     if crowded:
         boxes = stage(boxes, "boxes")
-    pairs = stage(_first_pairs(boxes, features, key, side, radius, dims), "pairs")
+    pairs = stage(_first_pairs(boxes, features, key, side, radius, dims, rows), "pairs")
     found: list[DataFrame] = []
     level = 0
     while True:

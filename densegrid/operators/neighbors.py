@@ -11,12 +11,14 @@ join streams into a partial count per probe.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densegrid.functions.geometry import SLACK, cell_index, distance, number, prefixed, touched_cells
-from densegrid.runtime import HOT_ROWS, hot_cut, hot_join, hot_keys, setting, stage
+from densegrid.operators.grid import checked_points
+from densegrid.runtime import HOT_ROWS, hot_cut, hot_join, setting, stage, tiled_join
 
 MAX_BINNED = 4
 
@@ -42,50 +44,61 @@ def binned_dims(df: DataFrame, features: list[str]) -> list[int]:
     return sorted(widest[:MAX_BINNED])
 
 
+def search_keys(df: DataFrame, features: list[str]) -> list[Callable[[list[str]], str]]:
+    """Coordinates to search by, as SQL text of feature names: all dimensions when few.
+
+    Beyond that the ones with the widest range among the dimensions and the distances to three corners of the data's
+    box. A distance to a fixed point differs between two points by no more than they are apart, so it prunes in full
+    space, and it has a wide range where single dimensions do not.
+    """
+    if len(features) <= MAX_BINNED:
+        return [lambda names, k=k: names[k] for k in range(len(features))]
+    row = df.agg(*[F.struct(F.min(f).alias("lo"), F.max(f).alias("hi")).alias(f) for f in features]).first()
+    if row[features[0]]["lo"] is None:
+        return [lambda names, k=k: names[k] for k in range(MAX_BINNED)]
+    corners = [[row[f]["hi" if (k % 2, 1, 0)[c] else "lo"] for k, f in enumerate(features)] for c in range(3)]
+
+    def to_corner(corner: list[float]) -> Callable[[list[str]], str]:
+        return lambda names: "sqrt(" + " + ".join(f"({n} - {number(v)}) * ({n} - {number(v)})" for n, v in zip(names, corner)) + ")"
+
+    distances = [to_corner(c) for c in corners]
+    spans = df.agg(*[(F.max(F.expr(d(features))) - F.min(F.expr(d(features)))).alias(f"s{i}") for i, d in enumerate(distances)]).first()
+    ways = [(spans[f"s{i}"], d) for i, d in enumerate(distances)]
+    ways += [(row[f]["hi"] - row[f]["lo"], lambda names, k=k: names[k]) for k, f in enumerate(features)]
+    return [way for _, way in sorted(ways, key=lambda w: -w[0])[:MAX_BINNED]]
+
+
 def near(
     probe: DataFrame,
     data: DataFrame,
     probe_features: list[str],
     data_features: list[str],
     radius: float,
-    dims: list[int],
+    by: list[Callable[[list[str]], str]],
     scope: list[tuple[str, str]] = [],
     rows: int | None = None,
 ) -> DataFrame:
     """Rows of ``probe`` joined with the rows of ``data`` within ``radius``, plus ``dist``.
 
     ``data`` is keyed by a coarse cell of twice the radius; every probe is sent to the cells its box of
-    that radius touches, two per dimension. Coarse cells that hold too many data rows are salted.
+    that radius touches, two per coordinate of ``by``. Coarse cells with too many rows on either side are cut into
+    tiles of both sides. ``rows`` is an upper limit of the rows of either side, when known.
     """
     reach = radius * (1 + SLACK)
     width = 2 * reach
-    keys = [f"_k{k}" for k in dims]
-    for k in dims:
-        x, r = probe_features[k], number(reach)
+    keys = [f"_k{k}" for k in range(len(by))]
+    for k, way in enumerate(by):
+        x, r = way(probe_features), number(reach)
         probe = probe.select("*", touched_cells(f"{x} - {r}", f"{x} + {r}", width).alias(f"_k{k}"))
-    data = data.select("*", *[F.expr(cell_index(data_features[k], width)).alias(f"_k{k}") for k in dims])
+    data = data.select("*", *[F.expr(cell_index(way(data_features), width)).alias(f"_k{k}") for k, way in enumerate(by)])
     for i, (p, q) in enumerate(scope):
         probe = probe.withColumn(f"_s{i}", F.col(p))
         data = data.withColumnRenamed(q, f"_s{i}")
         keys.append(f"_s{i}")
-    hot = hot_keys(data, keys, rows)
-    if hot is not None:
-        chunk = setting(data.sparkSession, HOT_ROWS)
-        shares = hot.select(*keys, F.ceil(F.col("count") / chunk).cast("bigint").alias("_shares"))
-        share = F.coalesce(F.col("_shares"), F.lit(1).cast("bigint"))
-        data = (
-            data.join(F.broadcast(shares), keys, "left")
-            .withColumn("_salt", F.pmod(F.xxhash64(*data_features), share))
-            .drop("_shares")
-        )
-        probe = (
-            probe.join(F.broadcast(shares), keys, "left")
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), share - 1)))
-            .drop("_shares")
-        )
-        keys = keys + ["_salt"]
+    most = None if rows is None else rows * 2 ** len(by)
+    pairs = tiled_join(probe, data, keys, (most, rows))
     gap = distance(probe_features, data_features)
-    return probe.join(data, keys).withColumn("dist", gap).filter(F.col("dist") <= radius).drop(*keys)
+    return pairs.withColumn("dist", gap).filter(F.col("dist") <= radius).drop(*keys)
 
 
 def core_sites(
@@ -123,8 +136,8 @@ def core_sites(
         *scope, *[F.col(f).alias(q) for f, q in zip(features, seen)], F.col("mult").alias("q_mult")
     )
     probes = counted.filter(F.col("inside") < enough).select(*keep)
-    dims = binned_dims(sites, features)
-    pairs = near(probes, data, features, seen, eps, dims, [(s, s) for s in scope], rows)
+    by = search_keys(sites, features)
+    pairs = near(probes, data, features, seen, eps, by, [(s, s) for s in scope], rows)
     around = stage(pairs.groupBy(*keep).agg(F.sum("q_mult").alias("around")), "around")
     thin = around.select(*keep, F.least(F.col("around") - own, enough).alias("neighbors"))
 
@@ -160,8 +173,16 @@ def to_points(
 
 
 def neighbor_counts(
-    points: DataFrame, features: list[str], eps: float, min_pts: int, rule: str = "strict", scope: list[str] = []
+    points: DataFrame, features: list[str], eps: float, min_pts: int, rule: str = "strict", scope: list[str] = [],
+    invalid: str = "raise", stable: bool = False,
 ) -> DataFrame:
-    """``(point_id, neighbors, core_flag)`` per point; the count stops at ``min_pts``."""
+    """``(point_id, neighbors, core_flag)`` per point; the count stops at ``min_pts``.
+
+    Points with missing or infinite features raise, or are left out with ``invalid="drop"``. Points are staged
+    unless they are ``stable``, the same at every read.
+    """
+    points, features = checked_points(points, features, invalid, scope)
+    if not stable:
+        points = stage(points, "points")
     sites = core_sites(points, features, eps, min_pts, rule, scope)
     return to_points(points, sites, features, scope).select(*scope, "point_id", "neighbors", "core_flag")

@@ -1,18 +1,16 @@
 """Mean silhouette with Euclidean distances.
 
-Comparing every point with every other is avoided in two steps.
-
 1. Space is split into boxes of at most ``BOX_ROWS`` distinct points. For a box, the mean distance to a
    label is at least the distance to the centroid of the label, and at most that plus the radius of the
    label. Labels that cannot be among the nearest two of a box are dropped, which loses nothing.
-2. For the labels left, points of a label are taken in groups. In large data, a group of more than
-   ``FEW_ROWS`` points that is small against its distance (radius below ``theta`` times the distance) enters
-   as weight, centroid and covariance: the second-order expansion of the distance sum, whose relative error
-   is of the order ``theta ** 3``. Other groups of up to ``NEAR_ROWS`` points are compared point by point,
-   and all larger ones are split further.
-
-Data sets of up to ``EXACT_ROWS`` distinct points are compared point by point throughout, so the result
-is exact there; ``theta=0`` asks for that at any size.
+2. For the labels left, distances are added up point by point, exactly, at every size of data: a label's
+   points are dealt into tiles of about ``TILE_ROWS``, boxes into groups of ``TILE_BOXES``, and one key holds
+   one tile and one group, so no task grows with a label.
+
+``theta > 0`` asks for the other mode, ``grouped``: a group of more than ``FEW_ROWS`` points that is small
+against its distance (radius at most ``theta`` times the gap) enters as weight, centroid and covariance, the
+second-order expansion of the distance sum. Other groups of up to ``NEAR_ROWS`` points are compared point by
+point, and larger ones are split further. That result carries its mode and a bound of its error.
 """
 
 from __future__ import annotations
@@ -25,8 +23,9 @@ from pyspark.sql import functions as F
 from densegrid.operators.links import box_key
 from densegrid.runtime import hot_join, stage
 
-EXACT_ROWS = 20_000
 BOX_ROWS = 1024
+TILE_ROWS = 4096
+TILE_BOXES = 64
 NEAR_ROWS = 128
 FEW_ROWS = 8
 GROUPS = 8
@@ -158,9 +157,7 @@ def _target_boxes(sites: DataFrame, n_sites: int, space: _Space) -> tuple[DataFr
     return all_members, stage(offered.unionByName(own).distinct(), "label_pairs")
 
 
-def _sources(
-    sites: DataFrame, pairs: DataFrame, space: _Space, theta: float, few_rows: int, near_rows: int
-) -> DataFrame:
+def _sources(sites: DataFrame, pairs: DataFrame, space: _Space, theta: float) -> DataFrame:
     """What each box is compared with: single points, or groups as weight, centroid and covariance."""
     zero = [F.lit(0.0).alias(v) for v in space.cov]
     radius = _root_of_squares([f"greatest(hi_{f} - c_{f}, c_{f} - lo_{f})" for f in space.features])
@@ -178,8 +175,8 @@ def _sources(
         )
         met = hot_join(open_pairs, groups, ["label", *space.up])
         state = (
-            f"CASE WHEN rows > {few_rows} AND {radius} <= {theta} * {space.gap_to_centroid()} THEN 1 "
-            f"WHEN rows <= {near_rows} THEN 0 ELSE 2 END"
+            f"CASE WHEN rows > {FEW_ROWS} AND {radius} <= {theta} * {space.gap_to_centroid()} THEN 1 "
+            f"WHEN rows <= {NEAR_ROWS} THEN 0 ELSE 2 END"
         )
         met = stage(met.select(*carried, *space.key, "w", *space.names("c_"), *space.cov, F.expr(state).alias("state")), "met")
         out.append(met.filter("state = 1").select(*columns))
@@ -187,10 +184,10 @@ def _sources(
             "label", *space.key, F.col("mult").cast("double").alias("w"),
             *[F.col(f).alias(f"c_{f}") for f in space.features], *zero,
         )
-        small = groups.filter(f"rows <= {near_rows}").select("label", *space.key)
-        single = hot_join(single, small, ["label", *space.key], "left_semi")
+        small = groups.filter(f"rows <= {NEAR_ROWS}").select("label", *space.key)
+        single = single.join(small, ["label", *space.key], "left_semi")
         near = met.filter("state = 0").select("tid", "label", "n_label", *space.key)
-        out.append(hot_join(near, single, ["label", *space.key]).select(*columns))
+        out.append(near.join(single, ["label", *space.key]).select(*columns))
         split = met.filter("state = 2")
         if split.isEmpty():
             break
@@ -203,28 +200,30 @@ def _sources(
     return reduce(DataFrame.unionByName, out)
 
 
-def silhouette(df: DataFrame, features: list[str], label: str, theta: float = 0.2) -> DataFrame:
-    """One row ``(silhouette)``; null when there are fewer than two labels. A point alone in its label is 0."""
-    sites = stage(
-        df.groupBy(F.col(label).cast("bigint").alias("label"), *features).agg(
-            F.min("point_id").alias("uid"), F.count(F.lit(1)).alias("mult")
-        ),
-        "silhouette",
+def _exact_sums(sites: DataFrame, members: DataFrame, pairs: DataFrame, space: _Space) -> DataFrame:
+    """``(uid, label, mult, other, n_label, far)``: the sum of distances of every point to every label it needs."""
+    tiles = sites.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
+    tiles = stage(tiles, "tiles")
+    groups = max(1, -(-pairs.select("tid").distinct().count() // TILE_BOXES))
+    wanted = hot_join(pairs.select("tid", "label", "n_label"), tiles, ["label"]).select(
+        "tid", F.col("label").alias("other"), "n_label", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"),
+        F.pmod(F.xxhash64("tid"), F.lit(groups)).cast("int").alias("group"),
     )
-    row = sites.agg(
-        F.count(F.lit(1)).alias("n"), F.min("label").alias("first"), F.max("label").alias("last"),
-        *[(F.max(f) - F.min(f)).alias(f) for f in features],
-    ).first()
-    if row["n"] == 0 or row["first"] == row["last"]:
-        return sites.agg(F.lit(None).cast("double").alias("silhouette"))
-    exact = theta <= 0 or row["n"] <= EXACT_ROWS
-    few_rows, near_rows = (row["n"], row["n"]) if exact else (FEW_ROWS, NEAR_ROWS)
-    space = _Space(features, max(row[f] for f in features) or 1.0)
+    sources = hot_join(sites, tiles, ["label"]).select(
+        F.col("label").alias("other"), F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int").alias("tile"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
+        F.col("mult").cast("double").alias("w"), *[F.col(f).alias(f"c_{f}") for f in space.features],
+    )
+    gap = _root_of_squares([f"{f} - c_{f}" for f in space.features])
+    met = members.join(wanted, "tid").join(sources, ["other", "tile", "group"])
+    return met.groupBy("uid", "label", "mult", "other", "n_label").agg(F.sum(F.expr(f"w * {gap}")).alias("far"))
 
-    members, pairs = _target_boxes(sites, row["n"], space)
-    # Few bytes, many comparisons: spread the sources before they meet the points of their box.
-    sources = _sources(sites, pairs, space, theta, few_rows, near_rows).withColumnRenamed("label", "other").repartition("tid")
 
+def _grouped_sums(sites: DataFrame, members: DataFrame, pairs: DataFrame, space: _Space, theta: float) -> DataFrame:
+    """The same sums with far groups expanded to second order."""
+    # Few bytes, many comparisons: spread the sources before they meet the points of their box.
+    sources = _sources(sites, pairs, space, theta).withColumnRenamed("label", "other").repartition("tid")
+    features = space.features
     gaps = [f"({f} - c_{f})" for f in features]
     squared = " + ".join(f"{g} * {g}" for g in gaps)
     spread = " + ".join(f"v_{f}_{f}" for f in features)
@@ -233,14 +232,54 @@ def silhouette(df: DataFrame, features: list[str], label: str, theta: float = 0.
         for i in range(len(features)) for j in range(i, len(features))
     )
     far = f"CASE WHEN d2 = 0 THEN 0D ELSE w * (sqrt(d2) + 0.5D * (({spread}) - ({along}) / d2) / sqrt(d2)) END"
-    if exact:
-        far = "w * sqrt(d2)"
-    sums = (
-        members.join(sources, "tid")
-        .withColumn("d2", F.expr(squared))
-        .groupBy("uid", "label", "mult", "other", "n_label")
-        .agg(F.sum(F.expr(far)).alias("far"))
+    met = members.join(sources, "tid").withColumn("d2", F.expr(squared))
+    return met.groupBy("uid", "label", "mult", "other", "n_label").agg(F.sum(F.expr(far)).alias("far"))
+
+
+def error_bound(theta: float) -> float:
+    """Largest error of the grouped mode.
+
+    The third derivative of a distance d is at most 3 / d^2, so the expansion of a group misses its sum by at most
+    theta^3 / (2 (1 - theta)^2) of it; the quotient of two such sums by twice that.
+    """
+    part = theta**3 / (2 * (1 - theta) ** 2)
+    return 2 * part / (1 - part)
+
+
+def silhouette(df: DataFrame, features: list[str], label: str, theta: float = 0.0) -> DataFrame:
+    """One row ``(silhouette)``; null when there are fewer than two labels. A point alone in its label is 0.
+
+    Labels may be of any type; rows without one are left out. With ``theta`` (below 0.5) the row is
+    ``(silhouette, mode, error_bound)`` of the grouped mode.
+    """
+    if not 0 <= theta < 0.5:
+        raise ValueError("theta must be at least 0 and below 0.5")
+
+    def result(found: DataFrame) -> DataFrame:
+        if theta == 0:
+            return found
+        return found.select("silhouette", F.lit("grouped").alias("mode"), F.lit(error_bound(theta)).alias("error_bound"))
+
+    sites = stage(
+        df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("label"), *features).agg(
+            F.min("point_id").alias("uid"), F.count(F.lit(1)).alias("mult")
+        ),
+        "silhouette",
     )
+    row = sites.agg(
+        F.count(F.lit(1)).alias("n"), F.min("label").alias("first"), F.max("label").alias("last"),
+        *[F.struct(F.min(f).alias("lo"), F.max(f).alias("hi")).alias(f) for f in features],
+    ).first()
+    if row["n"] == 0 or row["first"] == row["last"]:
+        return result(sites.agg(F.lit(None).cast("double").alias("silhouette")))
+    if theta > 0:
+        # Sums of squares are taken around the middle of the data, so that large coordinates do not cancel.
+        middle = {f: (row[f]["lo"] + row[f]["hi"]) / 2 for f in features}
+        sites = sites.select("label", *[(F.col(f) - F.lit(middle[f])).alias(f) for f in features], "uid", "mult")
+    space = _Space(features, max(row[f]["hi"] - row[f]["lo"] for f in features) or 1.0)
+
+    members, pairs = _target_boxes(sites, row["n"], space)
+    sums = _grouped_sums(sites, members, pairs, space, theta) if theta > 0 else _exact_sums(sites, members, pairs, space)
     own = F.col("other") == F.col("label")
     per_point = sums.groupBy("uid", "label", "mult").agg(
         F.max(F.when(own, F.col("n_label"))).alias("size"),
@@ -249,4 +288,4 @@ def silhouette(df: DataFrame, features: list[str], label: str, theta: float = 0.
     )
     widest = F.greatest("a", "b")
     score = F.when((F.col("size") == 1) | (widest == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / widest)
-    return per_point.agg((F.sum(F.col("mult") * score) / F.sum("mult")).alias("silhouette"))
+    return result(per_point.agg((F.sum(F.col("mult") * score) / F.sum("mult")).alias("silhouette")))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 from densegrid.functions.geometry import COIN_DST, COIN_MOD, COIN_SRC
+from densegrid.operators.silhouette import error_bound
 from densegrid.queries import EPS, MIN_PTS, PARTS, RHO, SEED
 from densegrid.sources.blobs import HEX_DIGITS, UNIT
+from densegrid.sources.points import ELEMENTS, signed
 
 
 def num(x: float) -> str:
@@ -14,22 +16,35 @@ def num(x: float) -> str:
 
 
 def emb(d: int) -> str:
-    xs = ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS x{k}" for k in range(d))
-    return f"SELECT vec_id AS point_id, {xs} FROM embeddings"
+    """Whole vectors for d = 64, else signed sums over all elements."""
+    if d == ELEMENTS:
+        sums = [f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(d)]
+    else:
+        sums = [
+            "(" + "".join(
+                (" + " if signed(k, j) > 0 else " - ") * (j > 0) + f"CAST(embedding[{j + 1}] AS DOUBLE)" for j in range(ELEMENTS)
+            ) + f") / {math.sqrt(ELEMENTS)!r}e0"
+            for k in range(1, d + 1)
+        ]
+    return "SELECT vec_id AS point_id, " + ", ".join(f"{s} AS x{k}" for k, s in enumerate(sums)) + " FROM embeddings"
 
 
 POINTS = {
     "emb3": emb(3),
     "emb4": emb(4),
+    "emb64": emb(64),
     "part2": "SELECT p_partkey AS point_id, CAST(p_size AS DOUBLE) AS x0, p_retailprice AS x1 FROM part",
+    "order2": "SELECT o_custkey AS point_id, CAST(count(*) AS DOUBLE) AS x0, "
+              "CAST(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS DOUBLE) AS x1 FROM orders GROUP BY o_custkey "
+              "HAVING count(CASE WHEN o_orderstatus = 'F' THEN 1 END) > 0",
     "cust1": "SELECT c_custkey AS point_id, c_acctbal AS x0 FROM customer",
     "supp2": "SELECT s_suppkey AS point_id, s_acctbal / 1000e0 AS x0, CAST(s_nationkey AS DOUBLE) AS x1 FROM supplier",
-    "user2": "SELECT user_id AS point_id, avg(value) AS x0, CAST(count(*) AS DOUBLE) AS x1 FROM events GROUP BY user_id",
+    "user2": "SELECT user_id AS point_id, CAST(sum(CAST(value AS DECIMAL(38,6))) AS DOUBLE) / count(value) AS x0, CAST(count(*) AS DOUBLE) AS x1 FROM events GROUP BY user_id",
 }
 
 
 def dims(name: str) -> range:
-    return range(int(name[-1]))
+    return range(int(name.lstrip("abcdefghijklmnopqrstuvwxyz")))
 
 
 def listed(fmt: str, name: str, sep: str = ", ") -> str:
@@ -55,7 +70,10 @@ class Sql:
     """Named subqueries of one clustering run, put together on demand."""
 
     def __init__(self, name: str, grid: str = "stretched", rule: str = "strict", policy: str = "never",
-                 cell_points: str = "core"):
+                 cell_points: str = "core", numbered: bool = True):
+        gid = f"CAST({horner(name, 'c{k}', 'n{k}')} AS BIGINT)"
+        if not numbered:  # too many cells for linear ids: a cell is named by its smallest point
+            gid = f"min(point_id) OVER (PARTITION BY {listed('c{k}', name)})"
         eps, d = EPS[name], len(dims(name))
         side = f"({num(eps)} / sqrt({num(float(d))}))"
         outer = eps if policy == "never" else eps * (1 + RHO)
@@ -77,7 +95,7 @@ class Sql:
             ("layout", f"SELECT *, {', '.join(width.format(k=k) + f' AS w{k}' for k in dims(name))} FROM sizes"),
             ("placed", f"SELECT p.*, {', '.join(cell.format(k=k) for k in dims(name))}, "
                        f"{listed('n{k}', name)} FROM p, layout"),
-            ("located", f"SELECT *, CAST({horner(name, 'c{k}', 'n{k}')} AS BIGINT) AS gid FROM placed"),
+            ("located", f"SELECT *, {gid} AS gid FROM placed"),
             ("counts", f"SELECT a.point_id, count(b.point_id) AS c FROM p a LEFT JOIN p b ON {match} GROUP BY 1"),
             ("flags", "SELECT l.*, c, CAST(CASE WHEN c >= " + str(MIN_PTS) + " THEN 1 ELSE 0 END AS INTEGER) AS core_flag "
                       "FROM located l JOIN counts USING (point_id)"),
@@ -158,9 +176,9 @@ def blob_sql() -> str:
         f"cos({num(2.0 * math.pi)} * ({uniform(f'{k}-b-42')}))), 6) AS x{k}"
         for k in range(3)
     )
-    means = ", ".join(f"round(avg(CAST(embedding[{k + 1}] AS DOUBLE)), 6) * 100e0 AS m{k}" for k in range(3))
+    means = ", ".join(f"round(avg(x{k}), 6) * 100e0 AS m{k}" for k in range(3))
     return (
-        f"WITH centers AS (SELECT label AS center, {means} FROM embeddings GROUP BY 1) "
+        f"WITH centers AS (SELECT label AS center, {means} FROM ({emb(3)}) p JOIN embeddings v ON v.vec_id = p.point_id GROUP BY 1) "
         f"SELECT p_partkey AS point_id, center, {xs} FROM part "
         "JOIN centers ON center = p_partkey % (SELECT count(*) FROM centers)"
     )
@@ -231,9 +249,10 @@ def build() -> dict[str, str]:
         "cell_bounds": part2("SELECT DISTINCT gid, lo0 + c0 * w0 AS lo0, lo0 + (c0 + 1) * w0 AS hi0, "
                              "lo1 + c1 * w1 AS lo1, lo1 + (c1 + 1) * w1 AS hi1 FROM located , layout"),
         "cell_members": part2("SELECT gid, count(*) AS n_points, min(point_id) AS first_point, max(point_id) AS last_point, "
-                              "CAST(sum(point_id) AS BIGINT) AS sum_points FROM located GROUP BY gid"),
+                              "CAST(sum(point_id) AS DECIMAL(38,0)) AS sum_points FROM located GROUP BY gid"),
         "point_lookup": part2("SELECT point_id, min(point_id) OVER (PARTITION BY x0, x1) AS found_id FROM p "),
         "neighbor_counts": part2(f"SELECT point_id, least(c, {MIN_PTS}) AS neighbors, core_flag FROM flags "),
+        "neighbor_counts_emb64": Sql("emb64", numbered=False)(f"SELECT point_id, least(c, {MIN_PTS}) AS neighbors, core_flag FROM flags "),
         "core_points": emb3("SELECT point_id, gid, core_flag FROM flags "),
         "core_points_standard": Sql("part2", rule="standard")("SELECT point_id, gid, core_flag FROM flags "),
         "core_border_split": part2("SELECT gid, CASE WHEN core_flag = 1 THEN 'core' ELSE 'border' END AS kind, "
@@ -253,6 +272,8 @@ def build() -> dict[str, str]:
         "components": emb3("SELECT * FROM components "),
         "clusters": emb3(clusters),
         "clusters_emb4": Sql("emb4")(clusters),
+        "clusters_emb64": Sql("emb64", numbered=False)(clusters),
+        "clusters_user2": Sql("user2")(clusters),
         "clusters_part2": part2(clusters),
         "clusters_cust1": Sql("cust1")(clusters),
         "clusters_supp2": Sql("supp2")(clusters),
@@ -264,7 +285,7 @@ def build() -> dict[str, str]:
             "SELECT cluster_id, point_id, 0 FROM nearcore "),
         "cluster_members": part2("SELECT cluster_id, count(*) AS n_points, CAST(sum(core_flag) AS BIGINT) AS n_core, "
                                  "min(point_id) AS first_point, max(point_id) AS last_point, "
-                                 "CAST(sum(point_id) AS BIGINT) AS sum_points FROM clusters GROUP BY 1"),
+                                 "CAST(sum(point_id) AS DECIMAL(38,0)) AS sum_points FROM clusters GROUP BY 1"),
         "border_eps": emb3(f"SELECT f.point_id, {border} AS cluster_id FROM flags f LEFT JOIN nearcore USING (point_id) "
                            "WHERE f.core_flag = 0"),
         "labels_filled": part2("SELECT * FROM labeled "),
@@ -279,16 +300,22 @@ def build() -> dict[str, str]:
         "halo_ids": emb3("SELECT * FROM copies ", *halo),
         "halo_points": emb3("SELECT paid, gid, point_id, is_home FROM copies JOIN located USING (gid)", *halo),
         "partition_cells": emb3("SELECT paid, count(*) AS n_cells, min(gid) AS first_cell, max(gid) AS last_cell, "
-                                "CAST(sum(gid) AS BIGINT) AS sum_cells FROM copies GROUP BY 1", *halo),
+                                "CAST(sum(gid) AS DECIMAL(38,0)) AS sum_cells FROM copies GROUP BY 1", *halo),
         "partition_load": emb3("SELECT paid, count(*) AS n_rows, count(DISTINCT gid) AS n_cells, "
                                "CAST(sum(is_home) AS BIGINT) AS n_home_rows FROM copies JOIN located USING (gid) GROUP BY 1", *halo),
         "merge_flags": emb3("SELECT gid, point_id, core_flag FROM flags "),
         "dbscan_exact": emb3("SELECT * FROM exact "),
+        "dbscan_exact_emb64": Sql("emb64", numbered=False)("SELECT * FROM exact "),
         "dbscan_exact_part2": part2("SELECT * FROM exact "),
         "label_compare": emb3("SELECT * FROM compared "),
         "contingency": emb3("SELECT * FROM cont ", TABLE),
         "ari": emb3("SELECT * FROM ari_row ", *ARI),
         "ami": emb3("SELECT * FROM ami_row ", *AMI),
         "silhouette": emb3("SELECT * FROM sil_row ", *silhouette_sql("cluster_id")),
+        "silhouette_grouped": emb3(
+            f"SELECT round(silhouette, 3) AS silhouette, 'grouped' AS mode, {num(round(error_bound(0.2), 6))} AS error_bound FROM sil_row ",
+            *silhouette_sql("cluster_id")),
+        "clusters_valid": Sql("order2")(clusters),
+        "clusters_skew": part2(clusters),
         "evaluate": emb3("SELECT * FROM ari_row , ami_row , sil_row ", *ARI, *AMI[len(MARGINS):], *silhouette_sql("exact_cluster")),
     }

@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 from densegrid.functions.geometry import prefixed
 from densegrid.operators.components import connected_components
-from densegrid.operators.grid import Grid
+from densegrid.operators.grid import Grid, checked_points
 from densegrid.operators.links import link_cells
-from densegrid.operators.neighbors import binned_dims, core_sites, near, to_points
+from densegrid.operators.neighbors import core_sites, near, search_keys, to_points
 from densegrid.runtime import hot_join, stage
 
 
 @dataclass
 class ApproxClustering:
-    """The stages of one run; each is computed on first use and shared by the later ones."""
+    """The stages of one run; each is computed on first use and shared by the later ones.
+
+    ``invalid`` says what happens to points with missing or infinite features: ``raise`` or ``drop``. The points are
+    read several times, so they are staged first, unless they are ``stable``: a table, the same at every read.
+    """
 
     points: DataFrame
     features: list[str]
@@ -31,8 +35,13 @@ class ApproxClustering:
     cell_points: str = "core"
     rule: str = "strict"
     seed: int = 0
+    invalid: str = "raise"
+    stable: bool = False
 
     def __post_init__(self) -> None:
+        self.points, self.features = checked_points(self.points, self.features, self.invalid)
+        if not self.stable:  # an aggregate, say, may differ in the last bit when it is read again
+            self.points = stage(self.points, "points")
         if self.border not in ("cell", "eps"):
             raise ValueError(f"unknown border mode {self.border!r}")
         if self.cell_points not in ("core", "all"):
@@ -108,7 +117,7 @@ class ApproxClustering:
         owners = stage(owners, "owners")
         keep = ["uid", "mult", *self.features, "gid", "core_flag"]
         rest = self.sites.filter("core_flag = 0").select(*keep)
-        dims = binned_dims(self.sites, self.features)
+        dims = search_keys(self.sites, self.features)
         pairs = near(rest, owners, self.features, seen, self.eps, dims, rows=self.n_sites)
         return pairs.groupBy(*keep).agg(F.min("cluster_id").alias("cluster_id"))
 

@@ -11,18 +11,25 @@ from pyspark.sql import functions as F
 
 from densegrid.functions.geometry import cell_index, prefixed
 from densegrid.operators.components import connected_components
+from densegrid.operators.grid import checked_points
 from densegrid.operators.labels import dense_labels
 from densegrid.operators.links import closest_between_cells
-from densegrid.operators.neighbors import binned_dims, core_sites, near, search_side, to_points
+from densegrid.operators.neighbors import core_sites, near, search_keys, search_side, to_points
 from densegrid.runtime import hot_join, stage
 
 
-def exact_dbscan(points: DataFrame, features: list[str], eps: float, min_pts: int) -> DataFrame:
+def exact_dbscan(
+    points: DataFrame, features: list[str], eps: float, min_pts: int, invalid: str = "raise", stable: bool = False
+) -> DataFrame:
     """``(point_id, cluster_id, core_flag)`` for every point; noise is -1.
 
     A point counts itself. Clusters are numbered by their smallest core point id, and a border point takes
-    the smallest number among the core points within ``eps``.
+    the smallest number among the core points within ``eps``. ``invalid`` and ``stable`` as in
+    :class:`~densegrid.plans.approx.ApproxClustering`.
     """
+    points, features = checked_points(points, features, invalid)
+    if not stable:
+        points = stage(points, "points")
     sites = core_sites(points, features, eps, min_pts, rule="standard")
     fine = [f"_f{k}" for k in range(len(features))]
     side = search_side(eps, len(features))
@@ -46,7 +53,7 @@ def exact_dbscan(points: DataFrame, features: list[str], eps: float, min_pts: in
     rest = sites.filter("core_flag = 0").select(*keep)
     data = clustered.select(*[F.col(f).alias(q) for f, q in zip(features, seen)], "cluster_id")
     border = (
-        near(rest, data, features, seen, eps, binned_dims(sites, features))
+        near(rest, data, features, seen, eps, search_keys(sites, features))
         .groupBy(*keep)
         .agg(F.min("cluster_id").alias("cluster_id"))
         .withColumn("core_flag", F.lit(0))

@@ -14,12 +14,14 @@ from densegrid.operators.links import closest_between_cells
 from densegrid.plans.approx import ApproxClustering
 from densegrid.plans.evaluate import compare_labels, evaluate
 from densegrid.plans.exact import exact_dbscan
-from densegrid.runtime import stage
+from densegrid.plans.input import halo as halo_points_of
+from densegrid.plans.input import locate
+from densegrid.runtime import HOT_ROWS, LEAF_PAIRS, stage
 from densegrid.sources import blobs as blob_source
 from densegrid.sources import points as source
 
 MIN_PTS = 5
-EPS = {"emb3": 0.06, "emb4": 0.12, "part2": 1.5, "cust1": 8.0, "supp2": 2.0, "user2": 2.0}
+EPS = {"emb3": 0.06, "emb4": 0.12, "emb64": 1.2, "part2": 1.5, "cust1": 8.0, "supp2": 2.0, "user2": 2.0, "order2": 1.0}
 RHO = 0.05
 SEED = 11
 PARTS = 3
@@ -33,14 +35,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def point_set(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, list[str]]:
-    d = int(name[-1])
+    d = int(name.lstrip("abcdefghijklmnopqrstuvwxyz"))
     points = source.emb(spark, sf_dir, d) if name.startswith("emb") else getattr(source, name)(spark, sf_dir)
     return points, source.feature_names(d)
 
 
 def run(spark: SparkSession, sf_dir: str, name: str = "emb3", **options) -> ApproxClustering:
     points, features = point_set(spark, sf_dir, name)
-    return ApproxClustering(points, features, EPS[name], MIN_PTS, **options)
+    return ApproxClustering(points, features, EPS[name], MIN_PTS, stable=name not in ("user2", "order2"), **options)
 
 
 # Sources and grid
@@ -60,9 +62,9 @@ def points_index(spark, sf_dir):
 @query
 def blobs(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("point_id"))
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    centers = vectors.groupBy(F.col("label").alias("center")).agg(
-        *[(F.round(F.avg(F.col("embedding")[k].cast("double")), 6) * 100.0).alias(f"m{k}") for k in range(3)]
+    labeled = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("point_id"), F.col("label").alias("center"))
+    centers = source.emb(spark, sf_dir, 3).join(labeled, "point_id").groupBy("center").agg(
+        *[(F.round(F.avg(f"x{k}"), 6) * 100.0).alias(f"m{k}") for k in range(3)]
     )
     made = blob_source.blobs(parts, centers, 3)
     return made.select("point_id", "center", *[F.round(f"x{k}", 6).alias(f"x{k}") for k in range(3)])
@@ -122,7 +124,7 @@ def cell_members(spark, sf_dir):
         F.count(F.lit(1)).alias("n_points"),
         F.min("point_id").alias("first_point"),
         F.max("point_id").alias("last_point"),
-        F.sum("point_id").alias("sum_points"),
+        F.sum(F.col("point_id").cast("decimal(38,0)")).alias("sum_points"),
     )
 
 
@@ -138,7 +140,13 @@ def point_lookup(spark, sf_dir):
 @query
 def neighbor_counts(spark, sf_dir):
     points, features = point_set(spark, sf_dir, "part2")
-    return neighbors.neighbor_counts(points, features, EPS["part2"], MIN_PTS)
+    return neighbors.neighbor_counts(points, features, EPS["part2"], MIN_PTS, stable=True)
+
+
+@query
+def neighbor_counts_emb64(spark, sf_dir):
+    points, features = point_set(spark, sf_dir, "emb64")
+    return neighbors.neighbor_counts(points, features, EPS["emb64"], MIN_PTS, stable=True)
 
 
 @query
@@ -242,6 +250,7 @@ def _clusters_of(name: str, label: str, **options) -> None:
 
 
 _clusters_of("emb4", "clusters_emb4")
+_clusters_of("emb64", "clusters_emb64")
 _clusters_of("part2", "clusters_part2")
 _clusters_of("cust1", "clusters_cust1")
 _clusters_of("supp2", "clusters_supp2")
@@ -253,8 +262,29 @@ _clusters_of("emb3", "clusters_seeded", rho=RHO, rho_policy="seeded", seed=SEED)
 
 @query
 def clusters_user2(spark, sf_dir):
-    points, features = point_set(spark, sf_dir, "user2")
-    return ApproxClustering(stage(points, "user2"), features, EPS["user2"], MIN_PTS).clusters()
+    return run(spark, sf_dir, "user2").clusters()
+
+
+@query
+def clusters_valid(spark, sf_dir):
+    """Points with a missing feature are left out."""
+    return run(spark, sf_dir, "order2", invalid="drop").clusters()
+
+
+@query
+def clusters_skew(spark, sf_dir):
+    """The paths for uneven keys, with thresholds that the table passes."""
+    before = {name: spark.conf.get(name, None) for name in (HOT_ROWS, LEAF_PAIRS)}
+    spark.conf.set(HOT_ROWS, "200")
+    spark.conf.set(LEAF_PAIRS, "50")
+    try:
+        return stage(run(spark, sf_dir, "part2").clusters(), "skew")
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 @query
@@ -302,61 +332,64 @@ def distinct_counts(spark, sf_dir):
 
 
 def _located(spark, sf_dir, name: str = "emb3"):
-    job = run(spark, sf_dir, name)
-    grid = job.grid
-    placed = grid.locate(job.points).select("*", F.expr(grid.gid(grid.cells)).alias("gid"))
-    return job, placed, [PARTS] * len(job.features)
+    points, features = point_set(spark, sf_dir, name)
+    placed, grid = locate(points, features, EPS[name], stable=True)
+    return grid, placed, [PARTS] * len(features)
+
+
+def _copies(spark, sf_dir, name: str = "emb3"):
+    points, features = point_set(spark, sf_dir, name)
+    return halo_points_of(points, features, EPS[name], [PARTS] * len(features), stable=True)
 
 
 @query
 def partition_bounds(spark, sf_dir):
-    job, _, parts = _located(spark, sf_dir)
-    return halo.partition_edges(spark, job.grid, parts)
+    grid, _, parts = _located(spark, sf_dir)
+    return halo.partition_edges(spark, grid, parts)
 
 
 @query
 def partition_home(spark, sf_dir):
-    job, placed, parts = _located(spark, sf_dir)
-    return halo.home_partition(placed.select("gid", *job.grid.cells).distinct(), job.grid, parts).select("gid", "home")
+    grid, placed, parts = _located(spark, sf_dir)
+    return halo.home_partition(placed.select("gid", *grid.cells).distinct(), grid, parts).select("gid", "home")
 
 
 @query
 def halo_ids(spark, sf_dir):
-    job, placed, parts = _located(spark, sf_dir)
-    cells = placed.select("gid", *job.grid.cells).distinct()
-    return halo.replicate(cells, job.grid, parts).select("paid", "gid", "is_home")
+    grid, placed, parts = _located(spark, sf_dir)
+    cells = placed.select("gid", *grid.cells).distinct()
+    return halo.replicate(cells, grid, parts).select("paid", "gid", "is_home")
 
 
 @query
 def halo_points(spark, sf_dir):
-    job, placed, parts = _located(spark, sf_dir)
-    return halo.replicate(placed, job.grid, parts).select("paid", "gid", "point_id", "is_home")
+    return _copies(spark, sf_dir).select("paid", "gid", "point_id", "is_home")
 
 
 @query
 def partition_cells(spark, sf_dir):
-    job, placed, parts = _located(spark, sf_dir)
-    cells = halo.replicate(placed.select("gid", *job.grid.cells).distinct(), job.grid, parts)
+    grid, placed, parts = _located(spark, sf_dir)
+    cells = halo.replicate(placed.select("gid", *grid.cells).distinct(), grid, parts)
     return cells.groupBy("paid").agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.min("gid").alias("first_cell"),
         F.max("gid").alias("last_cell"),
-        F.sum("gid").alias("sum_cells"),
+        F.sum(F.col("gid").cast("decimal(38,0)")).alias("sum_cells"),
     )
 
 
 @query
 def partition_load(spark, sf_dir):
-    job, placed, parts = _located(spark, sf_dir)
-    return halo.partition_load(halo.replicate(placed, job.grid, parts))
+    return halo.partition_load(_copies(spark, sf_dir))
 
 
 @query
 def merge_flags(spark, sf_dir):
-    job, placed, parts = _located(spark, sf_dir)
-    copies = halo.replicate(placed, job.grid, parts)
-    seen = neighbors.core_sites(copies, job.features, job.eps, MIN_PTS, scope=["paid"])
-    flags = neighbors.to_points(copies, job.grid.attach_gid(seen, "uid"), job.features, ["paid"])
+    grid, placed, parts = _located(spark, sf_dir)
+    features = list(grid.features)
+    copies = halo.replicate(placed, grid, parts)
+    seen = neighbors.core_sites(copies, features, grid.eps, MIN_PTS, scope=["paid"])
+    flags = neighbors.to_points(copies, grid.attach_gid(seen, "uid"), features, ["paid"])
     return halo.merge_flags(flags)
 
 
@@ -366,13 +399,19 @@ def merge_flags(spark, sf_dir):
 @query
 def dbscan_exact(spark, sf_dir):
     points, features = point_set(spark, sf_dir, "emb3")
-    return exact_dbscan(points, features, EPS["emb3"], MIN_PTS)
+    return exact_dbscan(points, features, EPS["emb3"], MIN_PTS, stable=True)
 
 
 @query
 def dbscan_exact_part2(spark, sf_dir):
     points, features = point_set(spark, sf_dir, "part2")
-    return exact_dbscan(points, features, EPS["part2"], MIN_PTS)
+    return exact_dbscan(points, features, EPS["part2"], MIN_PTS, stable=True)
+
+
+@query
+def dbscan_exact_emb64(spark, sf_dir):
+    points, features = point_set(spark, sf_dir, "emb64")
+    return exact_dbscan(points, features, EPS["emb64"], MIN_PTS, stable=True)
 
 
 def _compared(spark, sf_dir) -> tuple[DataFrame, list[str]]:
@@ -408,6 +447,13 @@ def silhouette(spark, sf_dir):
     return silhouettes.silhouette(df, features, "cluster_id").select(F.round("silhouette", 6).alias("silhouette"))
 
 
+@query
+def silhouette_grouped(spark, sf_dir):
+    df, features = _compared(spark, sf_dir)
+    found = silhouettes.silhouette(df, features, "cluster_id", theta=0.2)
+    return found.select(F.round("silhouette", 3).alias("silhouette"), "mode", F.round("error_bound", 6).alias("error_bound"))
+
+
 @query
 def evaluation(spark, sf_dir):
     df, features = _compared(spark, sf_dir)

@@ -6,6 +6,8 @@ numbers points 0, 1, .. along an order where positions are wanted.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,32 @@ def load(spark: SparkSession, path: str, key: str, features: list[str | Column])
 
 
 def from_array(spark: SparkSession, path: str, key: str, column: str, d: int) -> DataFrame:
-    """Points from the first ``d`` elements of an array column."""
-    return load(spark, path, key, [F.col(column)[k] for k in range(d)])
+    """Points from an array column of ``d`` elements; a row with another number of elements is an error."""
+    wrong = F.raise_error(F.concat(F.lit(f"{column} should have {d} elements, not "), F.size(column).cast("string")))
+    whole = F.when(F.size(column) == d, F.col(column)).otherwise(wrong)
+    return load(spark, path, key, [whole[k] for k in range(d)])
+
+
+def signed(k: int, j: int) -> int:
+    """Sign of element ``j`` in sum ``k``: rows of a Hadamard matrix, so the sums are independent directions."""
+    return -1 if bin(k & j).count("1") % 2 else 1
+
+
+def signed_sums(spark: SparkSession, path: str, key: str, column: str, n: int, d: int) -> DataFrame:
+    """Points of ``d`` features, each a signed sum of all ``n`` elements over sqrt(n), added up from the left.
+
+    A row with another number of elements is an error.
+    """
+    wrong = F.raise_error(F.concat(F.lit(f"{column} should have {n} elements, not "), F.size(column).cast("string")))
+    whole = F.when(F.size(column) == n, F.col(column)).otherwise(wrong)
+    table = spark.read.parquet(path).select(F.col(key).cast("bigint").alias("point_id"), whole.alias("_v"))
+    sums = []
+    for k in range(1, d + 1):
+        text = "cast(_v[0] as double)"
+        for j in range(1, n):
+            text = f"{text} {'+' if signed(k, j) > 0 else '-'} cast(_v[{j}] as double)"
+        sums.append(F.expr(f"({text}) / {math.sqrt(n)!r}D"))
+    return table.select("point_id", *[c.alias(f) for c, f in zip(sums, feature_names(d))])
 
 
 def index(points: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
@@ -35,8 +61,15 @@ def index(points: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     return number_rows(points, order, out)
 
 
+ELEMENTS = 64
+
+
 def emb(spark: SparkSession, sf_dir: str, d: int) -> DataFrame:
-    return from_array(spark, f"{sf_dir}/embeddings.parquet", "vec_id", "embedding", d)
+    """Whole vectors for d = 64, else ``d`` signed sums over all elements."""
+    path = f"{sf_dir}/embeddings.parquet"
+    if d == ELEMENTS:
+        return from_array(spark, path, "vec_id", "embedding", d)
+    return signed_sums(spark, path, "vec_id", "embedding", ELEMENTS, d)
 
 
 def part2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +86,19 @@ def supp2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One point per customer: orders, and orders that are finished; null where there is none of those."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    done = F.count(F.when(F.col("o_orderstatus") == "F", 1))
+    return orders.groupBy(F.col("o_custkey").cast("bigint").alias("point_id")).agg(
+        F.count(F.lit(1)).cast("double").alias("x0"), F.when(done > 0, done.cast("double")).alias("x1")
+    )
+
+
 def user2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One point per user of the event stream: mean value and number of events."""
+    """One point per user of the event stream: mean value, from an exact sum, and number of events."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.groupBy(F.col("user_id").cast("bigint").alias("point_id")).agg(
-        F.avg("value").alias("x0"), F.count(F.lit(1)).cast("double").alias("x1")
+        (F.sum(F.col("value").cast("decimal(38,6)")).cast("double") / F.count("value")).alias("x0"),
+        F.count(F.lit(1)).cast("double").alias("x1"),
     )

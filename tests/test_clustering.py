@@ -6,13 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from densegrid import ApproxClustering, approx_dbscan, exact_dbscan, fill_labels
+from densegrid.functions.geometry import coin
 from densegrid.operators import halo
 from densegrid.operators.components import connected_components, is_star, large_star, local_forest, small_star
 from densegrid.operators.grid import Grid, valid_points
 from densegrid.operators.labels import dense_labels
 from densegrid.operators.links import closest_between_cells
 from densegrid.operators.neighbors import core_sites, neighbor_counts, to_points
-from densegrid.runtime import hot_join, hot_keys, number_rows, stage
+from densegrid.runtime import hot_join, hot_keys, number_rows, stage, tiled_join
+from densegrid.sources import points as points_source
 
 
 def points_of(spark, x):
@@ -211,3 +213,50 @@ def test_dense_labels_follow_first_appearance(spark):
     df = spark.createDataFrame([(0, 9), (1, -1), (2, 9), (3, 4), (4, -1)], "point_id long, c long")
     got = [r["c"] for r in dense_labels(df, "c").orderBy("point_id").collect()]
     assert got == [0, 1, 0, 2, 1]
+
+
+# Input contract, ids and chunks
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+def test_invalid_features_raise_or_are_dropped(spark, bad):
+    rows = [(i, i / 10, 0.0) for i in range(8)] + [(8, 0.3, bad)]
+    points = spark.createDataFrame(rows, "point_id bigint, `a.b` double, `c d` double")
+    names = ["a.b", "c d"]
+    calls = [
+        lambda **o: neighbor_counts(points, names, 1.0, 3, **o), lambda **o: exact_dbscan(points, names, 1.0, 3, **o),
+        lambda **o: approx_dbscan(points, names, 1.0, 3, **o),
+    ]
+    for call in calls:
+        with pytest.raises(Exception, match="features must be finite; point 8"):
+            call().collect()
+        assert call(invalid="drop").count() == 8
+
+
+def test_coin_takes_any_id(spark):
+    ids = [(1, 2), (10**14, 2 * 10**14), (2**61, 2**61 + 5)]
+    df = spark.createDataFrame(ids, "src bigint, dst bigint")
+    found = df.select(coin(F.col("src"), F.col("dst"), 11)).collect()
+    assert [r[0] for r in found] == [(s * 7919 + d * 104729 + 11) % 1000003 % 2 == 1 for s, d in ids]
+
+
+def test_components_in_small_chunks(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20] + [(5, 45)], "src bigint, dst bigint")
+    vertices = spark.range(61)
+    found = {r["id"]: r["component"] for r in connected_components(vertices, edges, chunk=7).collect()}
+    assert found == {r["id"]: r["component"] for r in connected_components(vertices, edges).collect()}
+    assert found[45] == found[5] and found[0] == 0
+
+
+def test_tiled_join_is_the_join(skewed):
+    left = skewed.createDataFrame([(i % 3, i) for i in range(200)], "k int, a int")
+    right = skewed.createDataFrame([(i % 3 if i % 2 else 0, i) for i in range(150)], "k int, b int")
+    wanted = sorted(map(tuple, left.join(right, "k").collect()))
+    assert sorted(map(tuple, tiled_join(left, right, ["k"]).collect())) == wanted
+
+
+def test_whole_vectors_only(spark, tmp_path):
+    spark.createDataFrame([(1, [1.0, 2.0])], "id bigint, v array<double>").write.parquet(str(tmp_path / "v"))
+    assert points_source.from_array(spark, str(tmp_path / "v"), "id", "v", 2).first()["x1"] == 2.0
+    with pytest.raises(Exception, match="should have 3 elements, not 2"):
+        points_source.from_array(spark, str(tmp_path / "v"), "id", "v", 3).collect()

@@ -54,16 +54,29 @@ def test_silhouette_is_exact_on_small_data(spark, monkeypatch, d, k):
     assert sil.silhouette(df, names, "label").first()[0] == pytest.approx(direct_silhouette(x, labels), abs=1e-9)
 
 
+def test_silhouette_in_tiles(spark, monkeypatch):
+    """The exact mode with several tiles per label and several groups of boxes."""
+    for name, rows in (("BOX_ROWS", 20), ("TILE_ROWS", 15), ("TILE_BOXES", 2)):
+        monkeypatch.setattr(sil, name, rows)
+    x, labels = groups(5, 2, 4)
+    df, names = table_of(spark, x, labels)
+    wanted = direct_silhouette(x, labels)
+    assert sil.silhouette(df, names, "label").first()[0] == pytest.approx(wanted, abs=1e-9)
+    named = df.withColumn("label", F.concat(F.lit("label "), F.col("label").cast("string")))
+    assert sil.silhouette(named, names, "label").first()[0] == pytest.approx(wanted, abs=1e-9)
+
+
 @pytest.mark.parametrize("d,k", [(2, 3), (3, 12)])
 def test_silhouette_with_grouped_sources(skewed, monkeypatch, d, k):
-    monkeypatch.setattr(sil, "EXACT_ROWS", 0)
     monkeypatch.setattr(sil, "BOX_ROWS", 60)
     monkeypatch.setattr(sil, "NEAR_ROWS", 10)
     monkeypatch.setattr(sil, "FEW_ROWS", 2)
     x, labels = groups(d, d, k)
     df, names = table_of(skewed, x, labels)
     wanted = direct_silhouette(x, labels)
-    assert sil.silhouette(df, names, "label").first()[0] == pytest.approx(wanted, abs=2e-3)
+    found = sil.silhouette(df, names, "label", theta=0.2).first()
+    assert found["silhouette"] == pytest.approx(wanted, abs=2e-3)
+    assert found["mode"] == "grouped" and abs(found["silhouette"] - wanted) <= found["error_bound"] < 0.02
 
 
 def test_silhouette_edge_cases(spark):
