@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from densegrid.functions.special import ln_factorial
 
-BLOCKS = 64
+TILE_SIZES = 1024
 CHUNK = 65536
 
 
@@ -57,29 +57,33 @@ def expected_information(table: DataFrame, total: int) -> DataFrame:
     """Expected mutual information of random labelings with the same sizes.
 
     Labels of one size behave alike, so sizes are counted first: there are at most sqrt(2 * total)
-    distinct ones per side. Per pair of sizes the overlap runs over the part of its range that carries any
-    weight in double precision (40 deviations and 1000 more on both sides of the mean).
+    distinct ones per side. Both sides are dealt into tiles of about ``TILE_SIZES``. Per pair of sizes the overlap
+    runs over 40 deviations and 1000 more on both sides of its mean; beyond that the weight is below exp(-800) by the
+    Chernoff bound of the hypergeometric distribution, which is 0 in double precision, so nothing is lost.
     """
     big = F.lit(total).cast("bigint")
     left = _sizes(table, "label_true").groupBy(F.col("n").alias("a")).agg(F.count(F.lit(1)).alias("wa"))
     right = _sizes(table, "label_pred").groupBy(F.col("n").alias("b")).agg(F.count(F.lit(1)).alias("wb"))
-    left = left.withColumn("_block", F.pmod(F.xxhash64("a"), F.lit(BLOCKS)).cast("int"))
-    right = right.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    tiles = max(1, math.ceil(math.sqrt(2 * total) / TILE_SIZES))
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    left = left.withColumn("_ta", F.pmod(F.xxhash64("a"), F.lit(tiles)).cast("int")).withColumn("_tb", every)
+    right = right.withColumn("_tb", F.pmod(F.xxhash64("b"), F.lit(tiles)).cast("int")).withColumn("_ta", every)
     a, b, k = F.col("a"), F.col("b"), F.col("k")
     mean = a.cast("double") * b / big
     spread = 40 * F.sqrt(mean) + 1000
     low = F.greatest(F.lit(1).cast("bigint"), a + b - big, F.floor(mean - spread).cast("bigint"))
     high = F.least(a, b, F.ceil(mean + spread).cast("bigint"))
+    # What does not depend on the overlap is computed once per pair of sizes.
+    fixed = ln_factorial(a) + ln_factorial(b) + ln_factorial(big - a) + ln_factorial(big - b) - ln_factorial(big)
     terms = (
-        left.join(right, "_block")
-        .select("a", "b", (F.col("wa") * F.col("wb")).alias("w"), low.alias("low"), high.alias("high"))
+        left.join(right, ["_ta", "_tb"])
+        .select("a", "b", (F.col("wa") * F.col("wb")).alias("w"), low.alias("low"), high.alias("high"), fixed.alias("fixed"))
         .filter("low <= high")
         .withColumn("at", F.explode(F.sequence("low", "high", F.lit(CHUNK).cast("bigint"))))
         .withColumn("k", F.explode(F.sequence("at", F.least(F.col("high"), F.col("at") + CHUNK - 1))))
     )
     weight = F.exp(
-        ln_factorial(a) + ln_factorial(b) + ln_factorial(big - a) + ln_factorial(big - b) - ln_factorial(big)
-        - ln_factorial(k) - ln_factorial(a - k) - ln_factorial(b - k) - ln_factorial(big - a - b + k)
+        F.col("fixed") - ln_factorial(k) - ln_factorial(a - k) - ln_factorial(b - k) - ln_factorial(big - a - b + k)
     )
     x = k.cast("double")
     gain = F.log(x) + math.log(total) - F.log(a.cast("double")) - F.log(b.cast("double"))

@@ -27,11 +27,17 @@ def load(spark: SparkSession, path: str, key: str, features: list[str | Column])
     )
 
 
+def _vectors(spark: SparkSession, path: str, key: str, column: str, n: int) -> DataFrame:
+    """``(point_id, v)``; a row whose array does not have ``n`` elements is an error."""
+    wrong = F.raise_error(F.concat(F.lit(f"{column} should have {n} elements, not "), F.size(column).cast("string")))
+    table = spark.read.parquet(path).filter(F.when(F.size(column) == n, F.lit(True)).otherwise(wrong))
+    return table.select(F.col(key).cast("bigint").alias("point_id"), F.col(column).alias("v"))
+
+
 def from_array(spark: SparkSession, path: str, key: str, column: str, d: int) -> DataFrame:
     """Points from an array column of ``d`` elements; a row with another number of elements is an error."""
-    wrong = F.raise_error(F.concat(F.lit(f"{column} should have {d} elements, not "), F.size(column).cast("string")))
-    whole = F.when(F.size(column) == d, F.col(column)).otherwise(wrong)
-    return load(spark, path, key, [whole[k] for k in range(d)])
+    vectors = _vectors(spark, path, key, column, d)
+    return vectors.select("point_id", *[F.col("v")[k].cast("double").alias(f) for k, f in enumerate(feature_names(d))])
 
 
 def signed(k: int, j: int) -> int:
@@ -44,14 +50,12 @@ def signed_sums(spark: SparkSession, path: str, key: str, column: str, n: int, d
 
     A row with another number of elements is an error.
     """
-    wrong = F.raise_error(F.concat(F.lit(f"{column} should have {n} elements, not "), F.size(column).cast("string")))
-    whole = F.when(F.size(column) == n, F.col(column)).otherwise(wrong)
-    table = spark.read.parquet(path).select(F.col(key).cast("bigint").alias("point_id"), whole.alias("_v"))
+    table = _vectors(spark, path, key, column, n)
     sums = []
     for k in range(1, d + 1):
-        text = "cast(_v[0] as double)"
+        text = "cast(v[0] as double)"
         for j in range(1, n):
-            text = f"{text} {'+' if signed(k, j) > 0 else '-'} cast(_v[{j}] as double)"
+            text = f"{text} {'+' if signed(k, j) > 0 else '-'} cast(v[{j}] as double)"
         sums.append(F.expr(f"({text}) / {math.sqrt(n)!r}D"))
     return table.select("point_id", *[c.alias(f) for c, f in zip(sums, feature_names(d))])
 
