@@ -7,10 +7,12 @@ bucket. A pair is a link when aligning the two shingle sequences inside a band g
 at least ``similarity``; the band is as wide as the similarity allows shifts, so no link is lost to it. Classes are
 the connected components of the links.
 
-Texts with the same words are one node, so copies never pair up. In a bucket first one leader is aligned with all
-members. Then every member outside the bucket's largest class becomes a leader in turn (in rounds that grow fourfold)
-and is aligned with the members of other classes, until none is left. A pair that shares a bucket is thus either
-aligned or already in one class; groups of near copies cost one alignment per member, not per pair.
+Texts with the same words are one node, so copies never pair up. In a bucket first one leader, the member that meets
+most others in its buckets, is aligned with all members, which also gives their distances to it. Then every member
+outside the bucket's largest class becomes a leader (in rounds that grow) and is aligned with the members of other
+classes, unless their distances to the first leader differ by more than a link allows, which the triangle inequality
+rules out. A pair that shares a bucket is thus aligned, ruled out or already in one class; groups of near copies cost
+one alignment per member, not per pair.
 
 Texts without words form one class. Null text counts as empty. Repeated rows are copies. A class is named by its
 smallest doc_id; null ids are above all others. Nodes go by a 64-bit hash of their words.
@@ -67,39 +69,44 @@ def sketch(grams: np.ndarray, multipliers: np.ndarray, taken: int = TAKEN) -> np
     return keys.view(np.int64)
 
 
-def ordered_similarity(a: list, b: list, least: float) -> float:
-    """``common / (len(a) + len(b) - common)`` with the longest common subsequence inside the band; 0 if below ``least``.
+def in_order(a: list, b: list, band: int | None = None) -> int:
+    """Length of the longest common subsequence, of places at most ``band`` apart if given.
 
     Bit-parallel: bit j of ``row`` is unset where the subsequence grows at place j of b.
     """
-    whole = len(a) + len(b)
-    if not whole:
-        return 1.0
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
     end = 0
     while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
         end += 1
-    common, a, b = start + end, a[start: len(a) - end], b[start: len(b) - end]
-    if a and b:
-        band = int(whole * (1 - least) / (1 + least) + 1e-9)
-        places: dict = {}
-        for j, g in enumerate(b):
-            places[g] = places.get(g, 0) | (1 << j)
-        full = (1 << len(b)) - 1
-        window = (1 << (2 * band + 1)) - 1
-        row = full
-        for i, g in enumerate(a):
-            hit = places.get(g)
-            if hit:
+    a, b = a[start: len(a) - end], b[start: len(b) - end]
+    if not a or not b:
+        return start + end
+    places: dict = {}
+    for j, g in enumerate(b):
+        places[g] = places.get(g, 0) | (1 << j)
+    full = row = (1 << len(b)) - 1
+    window = full if band is None else (1 << (2 * band + 1)) - 1
+    for i, g in enumerate(a):
+        hit = places.get(g)
+        if hit:
+            if band is not None:
                 hit &= window << (i - band) if i >= band else window >> (band - i)
-                both = row & hit
-                if both:
-                    row = ((row + both) | (row & ~hit)) & full
-        common += len(b) - row.bit_count()
+            both = row & hit
+            if both:
+                row = ((row + both) | (row & ~hit)) & full
+    return start + end + len(b) - row.bit_count()
+
+
+def ordered_similarity(a: list, b: list, least: float) -> float:
+    """``common / (len(a) + len(b) - common)`` with the longest common subsequence inside the band; 0 if below ``least``."""
+    whole = len(a) + len(b)
+    if not whole:
+        return 1.0
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return 0.0
+    common = in_order(a, b, int(whole * (1 - least) / (1 + least) + 1e-9))
     found = common / (whole - common)
     return found if found >= least - 1e-12 else 0.0
 
@@ -136,11 +143,14 @@ def _sketches(multipliers: np.ndarray, k: int, taken: int):
     return run
 
 
-def _align(k: int, similarity: float):
+ALIGNED = "src bigint, dst bigint, good boolean, gap int"
+
+
+def _align(k: int, similarity: float, measure: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs whose alignment is similar enough."""
+        """Whether the pairs are links; with ``measure`` all pairs with their distance, else the links only."""
         for batch in batches:
-            good = []
+            good, gaps = [], []
             left, right = batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 known: dict = {}
@@ -149,8 +159,16 @@ def _align(k: int, similarity: float):
                     ws = text.split(" ")
                     n = min(k, len(ws))
                     grams.append([known.setdefault(g, len(known)) for g in zip(*(ws[j: len(ws) - n + 1 + j] for j in range(n)))])
-                good.append(ordered_similarity(*grams, similarity) > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["src", "dst"])
+                a, b = grams
+                if measure:
+                    common = in_order(a, b)
+                    gaps.append(len(a) + len(b) - 2 * common)
+                    good.append(common >= (similarity - 1e-12) * (len(a) + len(b) - common))
+                else:
+                    gaps.append(0)
+                    good.append(ordered_similarity(a, b, similarity) > 0)
+            table = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(good, pa.bool_()), pa.array(gaps, pa.int32())], names=["src", "dst", "good", "gap"])
+            yield table if measure else table.filter(table.column("good"))
 
     return run
 
@@ -159,26 +177,30 @@ def _links(buckets: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
     """Links ``(src, dst)`` between nodes that share a bucket; enough of them to connect every class."""
     spark = buckets.sparkSession
     nodes = stage(buckets.select(F.col("node").alias("id")).distinct(), "nodes")
-    links, pairs_done = None, None
-    state = buckets.select("bucket", "node", "size", F.col("node").alias("class"), F.lit(True).alias("fresh"))
-    most = 1
+    crowds = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd"))
+    central = stage(hot_join(buckets, stage(crowds, "crowds"), ["bucket"]).groupBy("node").agg(F.sum("crowd").alias("met")), "central")
+    state = hot_join(buckets, central, ["node"]).select(
+        "bucket", "node", "size", "met", F.col("node").alias("class"), F.lit(True).alias("fresh"), F.lit(None).cast("int").alias("gap")
+    )
+    pair = [F.least("node", "l_node").alias("src"), F.greatest("node", "l_node").alias("dst")]
+    most, links, pairs_done = 1, None, None
     while True:
         state = stage(state, "members")
         if state.isEmpty():
             break
-        # Round one: a leader per bucket. Later: fresh members outside the largest class, about ``most`` per bucket.
-        if links is None:
-            leaders = state.groupBy("bucket").agg(F.min_by(F.struct("node", "size", "class"), F.xxhash64("bucket", "node")).alias("l"))
-            leaders = leaders.select("bucket", "l.*")
+        first = links is None
+        # Round one: the most central member. Later: fresh members outside the largest class, about ``most`` per bucket.
+        if first:
+            leaders = state.groupBy("bucket").agg(F.max_by(F.struct("node", "size", "class", "gap"), F.struct("met", "node")).alias("l")).select("bucket", "l.*")
         else:
             chance = F.pmod(F.xxhash64(F.lit(most), "bucket", "node"), F.col("waiting"))
-            leaders = state.filter("fresh and class != largest").filter(chance < most).select("bucket", "node", "size", "class")
-        leaders = stage(leaders.select("bucket", F.col("node").alias("l_node"), F.col("size").alias("l_size"), F.col("class").alias("l_class")), "leaders")
-        met = hot_join(state.select("bucket", "node", "size", "class"), leaders, ["bucket"])
+            leaders = state.filter("fresh and class != largest").filter(chance < most).select("bucket", "node", "size", "class", "gap")
+        leaders = stage(leaders.toDF("bucket", "l_node", "l_size", "l_class", "l_gap"), "leaders")
+        met = hot_join(state.select("bucket", "node", "size", "class", "gap"), leaders, ["bucket"])
         fits = F.least("size", "l_size") >= similarity * F.greatest("size", "l_size") - 1e-9
-        pairs = met.filter((F.col("class") != F.col("l_class")) & fits).select(
-            F.least("node", "l_node").alias("src"), F.greatest("node", "l_node").alias("dst")
-        ).distinct()
+        allowed = (F.col("size") + F.col("l_size")) * (1 - similarity) / (1 + similarity) + 1e-9
+        near = F.coalesce(F.abs(F.col("gap") - F.col("l_gap")) <= allowed, F.lit(True))
+        pairs = met.filter((F.col("class") != F.col("l_class")) & fits & near).select(*pair).distinct()
         if pairs_done is not None:
             pairs = pairs.join(pairs_done, ["src", "dst"], "left_anti")
         pairs = stage(pairs, "pairs")
@@ -186,11 +208,16 @@ def _links(buckets: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
         # A leader's text is needed once per pair; the pairs are dealt evenly before they are aligned.
         left = hot_join(pairs, texts.select(F.col("node").alias("src"), F.col("joined").alias("left")), ["src"])
         both = hot_join(left, texts.select(F.col("node").alias("dst"), F.col("joined").alias("right")), ["dst"])
-        found = stage(both.select("src", "dst", "left", "right").mapInArrow(_align(k, similarity), "src bigint, dst bigint"), "links")
+        aligned = stage(both.select("src", "dst", "left", "right").mapInArrow(_align(k, similarity, first), ALIGNED), "aligned")
+        found = aligned.filter("good").select("src", "dst")
         links = found if links is None else links.union(found)
         classes = stage(connected_components(nodes, links), "classes").select(F.col("id").alias("node"), F.col("component").alias("class"))
+        if first:
+            measured = hot_join(state.drop("gap"), leaders.select("bucket", "l_node"), ["bucket"]).select("*", *pair)
+            measured = measured.join(aligned.select("src", "dst", "gap"), ["src", "dst"], "left")
+            state = measured.withColumn("gap", F.when(F.col("node") == F.col("l_node"), 0).otherwise(F.col("gap"))).drop("src", "dst", "l_node")
         led = leaders.select("bucket", F.col("l_node").alias("node"), F.lit(True).alias("led"))
-        state = state.select("bucket", "node", "size", "fresh").join(classes, "node").join(led, ["bucket", "node"], "left")
+        state = state.select("bucket", "node", "size", "met", "gap", "fresh").join(classes, "node").join(led, ["bucket", "node"], "left")
         state = stage(state.withColumn("fresh", F.col("fresh") & F.col("led").isNull()).drop("led"), "members")
         # Buckets go on while a fresh member is outside the largest class; one row per class and bucket is summed up.
         per_class = state.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("f"))
@@ -199,7 +226,7 @@ def _links(buckets: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
         )
         per_bucket = per_bucket.select("bucket", "largest", (F.col("all_fresh") - F.col("f_largest")).alias("waiting")).filter("waiting > 0")
         state = hot_join(state, stage(per_bucket, "waiting"), ["bucket"])
-        most *= 4
+        most *= 64
     return links if links is not None else spark.createDataFrame([], "src long, dst long")
 
 
