@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 BLANK = "▁"
 NORMAL, BYTE, UNKNOWN, OTHER = range(4)
@@ -324,7 +324,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids
                     yield pa.RecordBatch.from_arrays([part, lists, pa.array(good, pa.bool_())], names=["row", "ids", "good"])
                     start, texts, size = i + 1, [], 0
 
-    schema = rows.schema.add("ids", ArrayType(IntegerType())).add("good", BooleanType())
+    schema = StructType([*rows.schema, StructField("ids", ArrayType(IntegerType())), StructField("good", BooleanType())])
     added = [F.col("ids").alias(out)] + ([F.col("good").alias(check)] if check else [])
     return rows.mapInArrow(run, schema).select(*[F.col(f"row.`{c}`").alias(c) for c in rest.columns], *added)
 
