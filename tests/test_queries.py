@@ -32,4 +32,4 @@ def test_query(spark, con, name):
 
 
 def test_entry(spark):
-    assert contract.entry(spark).count() == 237
+    assert contract.entry(spark).count() == 218
