@@ -178,17 +178,20 @@ class Tree(HTMLParser):
         if self.links:
             node.link += len(data.strip())
 
-    def unknown_decl(self, data):
-        pass
+    def parse_html_declaration(self, i):
+        """``<![`` is a comment up to the next ``>``, whatever its name; a CDATA section exists in svg only."""
+        if not self.rawdata.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        if self.rawdata.startswith("<![CDATA[", i) and any(self.nodes[k].tag == "svg" for k in self.open):
+            end = self.rawdata.find("]]>", i)
+            return end + 3 if end >= 0 else -1
+        return self.parse_bogus_comment(i)
 
 
 def parse(html: str) -> list[Node]:
     tree = Tree()
-    try:
-        tree.feed(html)
-        tree.close()
-    except AssertionError:  # the parser's own checks on broken declarations; what was read so far stands
-        pass
+    tree.feed(html)
+    tree.close()
     return tree.nodes
 
 

@@ -192,6 +192,23 @@ def test_extraction_edges(spark):
     assert html_main.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def page_text(inside, before="<html><head><title>T</title></head><body>", after="</body></html>"):
+    filler = "<p>" + "Plain words of the article, and some more of them. " * 4 + "</p>"
+    return html_main.main_text(f"{before}<article><h1>Head</h1>{filler}{inside}{filler}</article>{after}", html_main.train()).split("\n")[2:-1]
+
+
+@pytest.mark.parametrize("mark", ["<![x b]>", "<![&nbsp;]>", "<![if !IE]>", "<![endif]>", "<![>", "<![CDATA[ b >", "<![if x>"])
+def test_extraction_goes_on_after_a_marked_section(mark):
+    """Up to the next ">" it is a comment; text after it stays, also if a later ``]]>`` or ``]>`` could end it."""
+    assert page_text(f"<p>One.</p>{mark}<p>Two.</p><p>Three ]]&gt; a]> four.</p>") == ["One.", "Two.", "Three ]]> a]> four."]
+
+
+def test_extraction_of_open_marked_sections():
+    assert page_text("<p>One <![ b</p><p>Two.</p>") == ["One", "Two."]
+    assert page_text("<p>One <svg><text><![CDATA[</svg> x > y]]></text></svg></p><p>Two.</p>") == ["One", "Two."]
+    assert "".join(t for n in html_main.parse("<p>One</p><p>Two <![ three") for _, t in n.parts) == "OneTwo <![ three"
+
+
 # Quality
 
 
