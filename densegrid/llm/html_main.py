@@ -12,7 +12,8 @@ bounds their number. Nothing is learned from, and nothing is left out of, the pa
 Character references are decoded, white space inside a block becomes one blank, blocks are trimmed and joined by a
 line break in page order; empty blocks are left out. Scripts, styles, comments and other markup are never text.
 Null or empty html gives an empty text, as does a page without main text. Unclosed and misnested tags are read the
-way browsers treat the common cases: a new block ends an open paragraph, a stray end tag is skipped.
+way browsers treat the common cases: a new block ends an open paragraph, a stray end tag is skipped, the first
+element or text of the body ends an open head.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ ENDS_PARAGRAPH = {
 }
 SELF_ENDING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
                "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "body": {"head"}}
+#: Start tags that leave an open head open; any other ends it, as does text.
+IN_HEAD = {"html", "head", "title", "meta", "link", "base", "basefont", "bgsound", "style", "script", "noscript", "noframes", "template"}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
 # Tags and attribute tokens that carry a feature of their own.
@@ -125,7 +128,13 @@ class Tree(HTMLParser):
             if tag in stop:
                 return
 
+    def _end_head(self) -> None:
+        if self.nodes[self.open[-1]].tag == "head":
+            self.open.pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in INLINE:
             if tag == "br":
                 self.handle_data("\n")
@@ -171,6 +180,8 @@ class Tree(HTMLParser):
             node.parts.append((-1, ""))
 
     def handle_data(self, data):
+        if data.strip():
+            self._end_head()
         node = self.nodes[self.open[-1]]
         if node.hidden:
             return

@@ -209,6 +209,16 @@ def test_extraction_of_open_marked_sections():
     assert "".join(t for n in html_main.parse("<p>One</p><p>Two <![ three") for _, t in n.parts) == "OneTwo <![ three"
 
 
+@pytest.mark.parametrize("head", [
+    "<html><head><title>T</title>", "<head><meta charset=utf-8><link rel=x><style>p{}</style><script>'<p>'</script><noscript>no</noscript><template>t</template>", "<head>\n",
+])
+def test_extraction_without_end_of_head(head):
+    assert page_text("<p>One.</p>", before=head, after="") == ["One."]
+    assert page_text("<p>One.</p>", before=f"{head}</head><body><head>", after="") == ["One."]
+    for start in ("Bare text, ", "<b>Bold</b> text, ", "<br>text, "):
+        assert "text, " in html_main.main_text(f"{head}{start}" + "and some more of it, as it goes. " * 9, html_main.train())
+
+
 # Quality
 
 
