@@ -3,9 +3,10 @@
 A text is its sequence of shingles (five words; a shorter text is one shingle). Equal shingles are told apart by their
 occurrence number. A sketch takes the few smallest of them under its own hash and keeps them in text order, so two
 texts agree on a sketch only if they share these shingles in the same order. Texts that agree on a sketch meet in a
-bucket. A pair is a link when aligning the two shingle sequences inside a band gives ``common / (a + b - common)`` of
-at least ``similarity``; the band is as wide as the similarity allows shifts, so no link is lost to it. Classes are
-the connected components of the links.
+bucket. Short texts also meet by every sequence that is left when as many shingles go as a link may lack, so no link
+between two of them is missed. A pair is a link when aligning the two shingle sequences inside a band gives
+``common / (a + b - common)`` of at least ``similarity``; the band is as wide as the similarity allows shifts, so no
+link is lost to it. Classes are the connected components of the links.
 
 Texts with the same words are one node, so copies never pair up. In a bucket first one leader, the member that meets
 most others in its buckets, is aligned with all members, which also gives their distances to it. Then every member
@@ -21,6 +22,7 @@ smallest doc_id; null ids are above all others. Nodes go by a 64-bit hash of the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,11 @@ from densegrid.operators.components import connected_components
 from densegrid.runtime import hot_join, stage
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Sketches, and shingles in each. A pair at similarity 0.8 misses all buckets with probability of about 3e-6.
+#: Sketches, and shingles in each. A pair at similarity 0.8 misses all buckets with a probability of about 3e-6 if the
+#: texts are long and of 2e-5 at most (12 shingles in common, 3 not) if one has more than SHORT; repeats add to it.
 SKETCHES, TAKEN = 24, 4
+#: Two texts of at most so many shingles never miss each other.
+SHORT = 11
 
 
 def shingles(ids: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -69,6 +74,19 @@ def sketch(grams: np.ndarray, multipliers: np.ndarray, taken: int = TAKEN) -> np
     return keys.view(np.int64)
 
 
+def short_keys(grams: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of the shingle sequence and of what is left of it without as many shingles as a link may lack."""
+    at, out = np.arange(len(grams)), []
+    for gone in range(int(len(grams) * (1 - similarity) + 1e-9) + 1):
+        stay = np.array(list(combinations(at, len(grams) - gone)))
+        keys = np.full(len(stay), gone - len(grams)).astype(np.uint64)
+        for j in range(stay.shape[1]):
+            keys = (keys ^ grams[stay[:, j]]) * np.uint64(0x94D049BB133111EB)
+            keys ^= keys >> np.uint64(30)
+        out.append(keys)
+    return np.concatenate(out).view(np.int64)
+
+
 def in_order(a: list, b: list, band: int | None = None) -> int:
     """Length of the longest common subsequence, of places at most ``band`` apart if given.
 
@@ -123,7 +141,7 @@ def _node(text: Column) -> Column:
 SKETCHED = "node bigint, doc_id bigint, size int, keys array<bigint>"
 
 
-def _sketches(multipliers: np.ndarray, k: int, taken: int):
+def _sketches(multipliers: np.ndarray, k: int, taken: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys = [], []
@@ -133,6 +151,8 @@ def _sketches(multipliers: np.ndarray, k: int, taken: int):
                 grams = shingles(values[ends[i]: ends[i + 1]].view(np.uint64), k)
                 sizes.append(len(grams))
                 keys.append(sketch(grams, multipliers, taken) if len(grams) else np.zeros(0, np.int64))
+                if 0 < len(grams) <= SHORT:
+                    keys[-1] = np.r_[keys[-1], short_keys(grams, similarity)]
             cuts = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -242,7 +262,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     hashed = docs.select(words(body).alias("w"), name).select(
         F.xxhash64(F.array_join("w", " ")).alias("node"), "doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("h")
     )
-    rows = stage(hashed.mapInArrow(_sketches(multipliers, k, taken), SKETCHED), "sketches")
+    rows = stage(hashed.mapInArrow(_sketches(multipliers, k, taken, similarity), SKETCHED), "sketches")
     first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
     first = stage(first, "copies")
     keyed = rows.select("node", "size", "keys").dropDuplicates(["node"])

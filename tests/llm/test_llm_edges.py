@@ -103,6 +103,28 @@ def test_chain_of_links_is_one_class(spark):
     assert {r.class_id for r in found} == {0}
 
 
+def test_short_texts_always_meet(spark):
+    """4 against 5 shingles, 5 against 6, 8 against 10 and 9 against 9, all links."""
+    rows = []
+    for i in range(3000):
+        ws = [f"{i}x{j}" for j in range(14)]
+        pair = [(ws[:8], ws[:9]), (ws[1:9], ws[:9]), (ws[:9], ws[:10]), (ws[1:13], ws[:14]), (ws[:13], ws[1:14])][i % 5 if i >= 2000 else i % 2]
+        rows += [(2 * i + k, " ".join(t), None, None, 1) for k, t in enumerate(pair)]
+    found = near_dedup.classes(make(spark, rows)).collect()
+    assert [r.doc_id for r in found if r.class_size != 2 or r.class_id != r.doc_id - r.doc_id % 2] == []
+
+
+def test_short_keys_are_every_link():
+    rng = random.Random(0)
+    for _ in range(3000):
+        a = [rng.randint(0, 3) for _ in range(rng.randint(1, 11))]
+        b = [x for x in a if rng.random() > 0.1]
+        if rng.random() < 0.5:
+            b.insert(rng.randint(0, len(b)), rng.randint(0, 3))
+        if b and len(b) <= near_dedup.SHORT and near_dedup.ordered_similarity(a, b, 0.8):
+            assert set(near_dedup.short_keys(np.array(a, np.uint64), 0.8)) & set(near_dedup.short_keys(np.array(b, np.uint64), 0.8))
+
+
 def test_alignment_is_the_plain_one():
     rng = random.Random(0)
     for _ in range(300):
