@@ -2,11 +2,12 @@
 
 Templates are word sequences with a label and the key phrase that must be present. IDF is counted over all documents.
 The index holds of every template the words of highest IDF and those of its key phrase, with their offsets; frequent
-words are left out of it unless the key phrase needs them. A document's own license words, of highest IDF first, are
-looked up: a template comes into question if its anchor, the word of highest IDF, is among them. Then the document's
-places of index words are shifted by the offsets in the template; places that agree on the start are intersected, and
-their share of the template's index words is the coverage. A start counts when the coverage reaches ``least`` and
-all words of the key phrase agree. The base phrases are key phrase from end to end, so every place where their words
+words, and words that no document has, are left out of it unless the key phrase needs them. A document's own license
+words, of highest IDF first, are looked up: a template comes into question if its anchor, the word of highest IDF in
+the key phrase, is among them, without which no start can count. Then the document's places of index words are shifted
+by the offsets in the template; places that agree on the start are intersected, and their share of the template's
+index words is the coverage. A start counts when the coverage reaches ``least`` and all words of the key phrase agree,
+whichever of the other words are there. The base phrases are key phrase from end to end, so every place where their words
 stand consecutively counts, overlapping ones included.
 
 Documents without words or hits get zeros, nulls and empty labels. Null text counts as empty. Rows are told apart by
@@ -73,16 +74,17 @@ def rare_index(docs: DataFrame, text: str, base: list, templates: list, rare_wor
     seen = stage(seen, "license-words")
     total = seen.filter("word = ''").select(F.col("count").alias("total"))
     idf = stage(seen.filter("word != ''").join(F.broadcast(total)).select("word", F.log((F.col("total") + 1) / F.col("count")).alias("idf")), "license-idf")
-    by_idf = Window.partitionBy("template").orderBy(F.desc("idf"), "offset")
-    ranked = places.join(idf, "word", "left").fillna(1e3, ["idf"]).withColumn("rank", F.row_number().over(by_idf))
+    by_idf = Window.partitionBy("template").orderBy(F.desc_nulls_last("idf"), "offset")
+    by_key = Window.partitionBy("template").orderBy(F.desc("is_key"), F.desc_nulls_first("idf"), "offset")
+    ranked = places.join(idf, "word", "left").withColumns({"rank": F.row_number().over(by_idf), "key_rank": F.row_number().over(by_key)})
     whole = Window.partitionBy("template")
     index = (
-        ranked.filter((F.col("rank") <= rare_words) | F.col("is_key"))
+        ranked.filter(F.col("is_key") | (F.col("rank") <= rare_words) & F.col("idf").isNotNull())
         .withColumn("words", F.count(F.lit(1)).over(whole))
         .withColumn("key_words", F.count_if("is_key").over(whole))
-        .withColumn("anchor", F.col("rank") == 1)
+        .withColumn("anchor", F.col("key_rank") == 1)
         .join(heads, "template")
-        .drop("idf", "rank")
+        .drop("idf", "rank", "key_rank")
     )
     return stage(index, "license-index"), idf
 
@@ -117,11 +119,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: list
 
     shifted = hits.filter("pos is not null").select("row", "pos", "word").join(index, "word").withColumn("start", F.col("pos") - F.col("offset"))
     starts = shifted.groupBy("row", "template", "start").agg(
-        F.count(F.lit(1)).alias("agree"), F.count_if("is_key").alias("keys"), F.bool_or("anchor").alias("entered"),
+        F.count(F.lit(1)).alias("agree"), F.count_if("is_key").alias("keys"),
         F.first("words").alias("words"), F.first("key_words").alias("key_words"), F.first("label").alias("label"), F.first("is_base").alias("is_base"),
     )
     found = (
-        starts.filter("entered and start >= 0 and keys = key_words")
+        starts.filter("start >= 0 and keys = key_words")
         .withColumn("coverage", F.col("agree") / F.col("words"))
         .filter(F.col("coverage") >= F.when(F.col("is_base"), 1.0).otherwise(least))
     )

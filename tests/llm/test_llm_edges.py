@@ -290,6 +290,17 @@ def test_licenses(spark):
     assert licenses.scan(make(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("whole", [0, 1])
+def test_licenses_without_the_rarest_word(spark, whole):
+    """The rarest word of the template is altered, or is in no document at all."""
+    mpl = "this source code form is subject to the terms of the mozilla public license"
+    rows = [(i, mpl.replace("subject", "liable"), None, None, 1) for i in range(3)] + [(3 + i, mpl, None, None, 1) for i in range(whole)]
+    rows += [(9, mpl.replace("mozilla", "modern"), None, None, 1), (10, "subject to mozilla public license terms", None, None, 1)][: 2 * whole]
+    found = {r.doc_id: (r.labels, round(r.score, 6)) for r in licenses.scan(make(spark, rows)).collect()}
+    altered = round(6 / 7, 6) if whole else 1.0
+    assert found == {i: ("mpl", altered) for i in range(3)} | ({3: ("mpl", 1.0), 9: ("", 0.0), 10: ("", 0.0)} if whole else {})
+
+
 # Search
 
 
