@@ -10,7 +10,8 @@ The trees are trained here, on the driver, on pages built from a grammar of layo
 bounds their number. Nothing is learned from, and nothing is left out of, the pages that are extracted.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are trimmed and joined by a
-line break in page order; empty blocks are left out. Scripts, styles, comments and other markup are never text.
+line break in page order; empty blocks are left out. Scripts, styles, comments, controls, embedded media and other
+markup are never text and leave the text around them in one piece. Formulas are text; their annotations are not.
 Null or empty html gives an empty text, as does a page without main text. Unclosed and misnested tags are read the
 way browsers treat the common cases: a new block ends an open paragraph, a stray end tag is skipped, the first
 element or text of the body ends an open head.
@@ -34,9 +35,13 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd",
     "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "maction", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom",
+    "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr",
+    "mlabeledtr", "munder", "munderover", "none", "semantics",
 }
-HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "select", "option", "datalist",
-          "button", "textarea", "canvas", "audio", "video", "map"}
+#: ``annotation`` is a second form of a formula that stands before it, which browsers do not show.
+HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "select", "option", "datalist",
+          "button", "textarea", "canvas", "audio", "video", "map", "annotation", "annotation-xml"}
 ENDS_PARAGRAPH = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure",
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
@@ -103,7 +108,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#root", 0, 0, 0, 0, 0, 0, False, None)]
         self.open = [0]
-        self.links = 0
+        self.links = self.math = 0
         self.body = False
 
     def _tokens(self, attrs) -> int:
@@ -139,6 +144,7 @@ class Tree(HTMLParser):
             if tag == "br":
                 self.handle_data("\n")
             self.links += tag == "a"
+            self.math += tag == "math"
             return
         if tag in ENDS_PARAGRAPH:
             self._close({"p"}, {"table", "td", "th", "button", "body"})
@@ -147,7 +153,8 @@ class Tree(HTMLParser):
         if tag == "html" or tag == "body" and self.body:
             return
         if tag in VOID:
-            self._break()
+            if tag == "hr":
+                self._break()
             return
         parent = self.open[-1]
         up = self.nodes[parent]
@@ -160,11 +167,12 @@ class Tree(HTMLParser):
             tag, parent, up.depth + 1, own, up.up | own, up.inside | INSIDE.get(tag, 0), len(up.children) - 1, up.hidden or tag in HIDDEN, truth
         ))
         self.body |= tag == "body"
-        self.links = 0
+        self.links = self.math = 0
 
     def handle_endtag(self, tag):
         if tag in INLINE:
             self.links -= tag == "a" and self.links > 0
+            self.math -= tag == "math" and self.math > 0
             return
         if tag == "p" and not any(self.nodes[i].tag == "p" for i in self.open):
             return
@@ -174,7 +182,7 @@ class Tree(HTMLParser):
                 return
 
     def _break(self):
-        """A void block element (a rule, say) ends the run of text before it."""
+        """A rule ends the run of text before it; it is the only void element that is a block."""
         node = self.nodes[self.open[-1]]
         if node.parts:
             node.parts.append((-1, ""))
@@ -190,12 +198,15 @@ class Tree(HTMLParser):
             node.link += len(data.strip())
 
     def parse_html_declaration(self, i):
-        """``<![`` is a comment up to the next ``>``, whatever its name; a CDATA section exists in svg only."""
+        """``<![`` is a comment up to the next ``>``, whatever its name; a CDATA section is text, in svg and math only."""
         if not self.rawdata.startswith("<![", i):
             return super().parse_html_declaration(i)
-        if self.rawdata.startswith("<![CDATA[", i) and any(self.nodes[k].tag == "svg" for k in self.open):
+        if self.rawdata.startswith("<![CDATA[", i) and (self.math or any(self.nodes[k].tag == "svg" for k in self.open)):
             end = self.rawdata.find("]]>", i)
-            return end + 3 if end >= 0 else -1
+            if end < 0:
+                return -1
+            self.handle_data(self.rawdata[i + 9: end])
+            return end + 3
         return self.parse_bogus_comment(i)
 
 
@@ -344,7 +355,7 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
 
 
 def blocks(nodes: list[Node], keep) -> list[str]:
-    """Texts of the kept nodes in page order; a child block splits the text around it, kept or not."""
+    """Texts of the kept nodes in page order; a child block splits the text around it, kept or not, a hidden one does not."""
     out: list[str] = []
     stack: list[tuple[int, int, int]] = [(0, 0, 0)]
 
@@ -357,13 +368,17 @@ def blocks(nodes: list[Node], keep) -> list[str]:
         i, part, child = stack.pop()
         node = nodes[i]
         run: list[str] = []
-        while part < len(node.parts) and node.parts[part][0] <= child:
-            before, text = node.parts[part]
-            if before < 0:
-                put("".join(run))
-                run = []
-            run.append(text)
-            part += 1
+        while True:
+            while part < len(node.parts) and node.parts[part][0] <= child:
+                before, text = node.parts[part]
+                if before < 0:
+                    put("".join(run))
+                    run = []
+                run.append(text)
+                part += 1
+            if child == len(node.children) or not nodes[node.children[child]].hidden:
+                break
+            child += 1
         put("".join(run))
         if child < len(node.children):
             stack.append((i, part, child + 1))

@@ -241,6 +241,16 @@ def test_extraction_without_end_of_head(head):
         assert "text, " in html_main.main_text(f"{head}{start}" + "and some more of it, as it goes. " * 9, html_main.train())
 
 
+def test_extraction_of_formulas_and_hidden_inline_elements():
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation>E=c^2</annotation></semantics></math>"
+    assert page_text(f"<p>Then {formula} holds.</p><p>Two.</p>") == ["Then E=c2 holds.", "Two."]
+    assert page_text("<p>As <math><mtext><![CDATA[x < y > z]]></mtext></math> says.</p>") == ["As x < y > z says."]
+    hidden = ["<script>x()</script>", "<svg><path d=z /></svg>", "<button>Ok</button>", "<meta itemprop=x content=y>", "<select><option>1<option>2</select>", "<style>p{}</style><svg></svg>"]
+    for inside in hidden:
+        assert page_text(f"<p>One {inside} goes on {inside}here.</p><p>Two.</p>") == ["One goes on here.", "Two."]
+    assert page_text("<div>One<hr>two<div>three</div>four</div>") == ["One", "two", "three", "four"]
+
+
 # Quality
 
 
