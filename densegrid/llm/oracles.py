@@ -81,10 +81,81 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(x.score, 0),
 FROM d LEFT JOIN (SELECT doc_id, sum(v) AS score FROM s GROUP BY doc_id) x USING (doc_id)
 """
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _floor_mean(s: str) -> str:
+    return f"({s} - (({s} % n) + n) % n) // n"
+
+
+def _op11(k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """Every round as a table of assignments and one of centroids."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE {_FINITE} AND len(embedding) = 64),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS INTEGER) AS k, q FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) <= {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(q) AS q, min(struct_pack(distance := distance, k := k)) AS best FROM (
+    SELECT vec_id, v.q, c.k, CAST(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance
+    FROM v CROSS JOIN c{r} c) GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT k, list({_floor_mean("s")} ORDER BY i) AS q FROM (
+    SELECT best.k AS k, i, CAST(sum(q[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, unnest(range(1, 65)) u(i) GROUP BY best.k, i) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m USING (k))""")
+    return f"""WITH {",".join(steps)}
+SELECT vec_id, a.best.k AS cluster, a.best.distance AS distance, CAST(sum(a.best.distance) OVER (PARTITION BY a.best.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.best.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.best.k"""
+
+
+def _op13(parts: int = 16, d: int = 64, k: int = 64, rounds: int = 2) -> str:
+    """Every round as a table of assigned parts and one of codebooks."""
+    width = d // parts
+    gap = " + ".join(f"(p.x{j} - e.x{j}) * (p.x{j} - e.x{j})" for j in range(width))
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE {_FINITE}),
+p AS MATERIALIZED (
+  SELECT vec_id, part, {", ".join(f"q[part * {width} + {j + 1}] AS x{j}" for j in range(width))} FROM v, unnest(range({parts})) u(part)),
+e0 AS MATERIALIZED (
+  SELECT part, entry, {", ".join(f"x{j}" for j in range(width))}
+  FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v) f USING (vec_id) WHERE entry < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, part, {", ".join(f"any_value(x{j}) AS x{j}" for j in range(width))}, min(struct_pack(distance := distance, entry := entry)) AS best
+  FROM (SELECT p.*, e.entry, {gap} AS distance FROM p JOIN e{r} e USING (part)) GROUP BY vec_id, part)""")
+        if r < rounds:
+            means = ", ".join(f"{_floor_mean(f's{j}')} AS x{j}" for j in range(width))
+            steps.append(f"""
+m{r} AS (
+  SELECT part, entry, {means} FROM (
+    SELECT part, best.entry AS entry, count(*) AS n, {", ".join(f"CAST(sum(x{j}) AS BIGINT) AS s{j}" for j in range(width))}
+    FROM a{r} GROUP BY part, best.entry)),
+e{r + 1} AS MATERIALIZED (
+  SELECT part, entry, {", ".join(f"coalesce(m.x{j}, e.x{j}) AS x{j}" for j in range(width))} FROM e{r} e LEFT JOIN m{r} m USING (part, entry))""")
+    numbers = " || ',' || ".join(f"x{j}" for j in range(width))
+    return f"""WITH {",".join(steps)},
+b AS (SELECT sha256(string_agg({numbers}, ',' ORDER BY part, entry)) AS codebooks_sha256 FROM e{rounds}),
+g AS (
+  SELECT vec_id, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.distance) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM g JOIN v USING (vec_id) CROSS JOIN b"""
+
+
 ORACLES = {
     "op4_exact_dedup": OP4,
     "op6_license_scan": OP6,
     "op7_topk_search": OP7,
     "op9_warc": OP9,
     "op10_stupid_backoff": OP10,
+    "op11_centroids": _op11(),
+    "op13_vector_codes": _op13(),
 }

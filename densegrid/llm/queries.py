@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densegrid.llm import exact_dedup, html_main, licenses, lm, mixing, near_dedup, quality, sentencepiece_codec, topk, warc
+from densegrid.llm import (
+    centroids, exact_dedup, html_main, licenses, lm, mixing, near_dedup, quality, sentencepiece_codec, suffix_dedup, topk, vector_codes, warc,
+)
 from densegrid.llm.text import table
 
 #: Model file of the public tokenizer; read on the driver only.
@@ -60,6 +62,18 @@ def op10_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_corpus(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), d=64, k=40, rounds=5)
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated(table(spark, sf_dir, "documents"), length=400)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"), d=64, parts=16, k=64, rounds=2)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_order_minhash": op2_order_minhash,
@@ -71,4 +85,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_stupid_backoff": op10_stupid_backoff,
+    "op11_centroids": op11_centroids,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_vector_codes": op13_vector_codes,
 }
