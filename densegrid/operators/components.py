@@ -103,3 +103,26 @@ def connected_components(vertices: DataFrame, edges: DataFrame, chunk: int = CHU
         stars = stage(small_star(stage(large_star(stars), "stars")), "stars")
     found = stars.select(F.col("dst").alias("id"), F.col("src").alias("component"))
     return vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def extend_components(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """``known(id, component)`` after ``edges`` between its ids are added; the same labels as a run on all edges.
+
+    The new edges are mapped to the components that they connect, and only these, as far as they differ, are solved
+    again. ``known`` should be a staged table. A component keeps the name of its smallest id.
+    """
+    def mapped(df: DataFrame, end: str) -> DataFrame:
+        names = known.select(F.col("id").alias(end), F.col("component").alias(f"{end}_in"))
+        return hot_join(df, names, [end])
+
+    between = mapped(mapped(edges.select("src", "dst"), "src"), "dst").select(
+        F.least("src_in", "dst_in").alias("src"), F.greatest("src_in", "dst_in").alias("dst")
+    )
+    between = stage(between.filter("src < dst").distinct(), "contracted")
+    if between.isEmpty():
+        return known
+    ends = between.select(F.col("src").alias("id")).union(between.select("dst")).distinct()
+    solved = connected_components(ends, between).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    return hot_join(known, stage(solved, "merged"), ["component"], "left").select(
+        "id", F.coalesce("merged", "component").alias("component")
+    )

@@ -1,5 +1,7 @@
 """Hand-made cases, brute-force comparison, and the skew paths forced onto small data."""
 
+import random
+
 import brute
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from densegrid import ApproxClustering, approx_dbscan, exact_dbscan, fill_labels
 from densegrid.functions.geometry import coin
 from densegrid.operators import halo
-from densegrid.operators.components import connected_components, is_star, large_star, local_forest, small_star
+from densegrid.operators.components import connected_components, extend_components, is_star, large_star, local_forest, small_star
 from densegrid.operators.grid import Grid, valid_points
 from densegrid.operators.labels import dense_labels
 from densegrid.operators.links import closest_between_cells
@@ -260,3 +262,19 @@ def test_whole_vectors_only(spark, tmp_path):
     assert points_source.from_array(spark, str(tmp_path / "v"), "id", "v", 2).first()["x1"] == 2.0
     with pytest.raises(Exception, match="should have 3 elements, not 2"):
         points_source.from_array(spark, str(tmp_path / "v"), "id", "v", 3).collect()
+
+
+def test_components_grow_by_contraction(spark, skewed):
+    """New edges are added to the known labels; the result is that of a run on all edges, and only new ones are solved."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(230)]
+    vertices = spark.range(300)
+
+    def table(rows):
+        return spark.createDataFrame(rows, "src long, dst long")
+
+    known = stage(connected_components(vertices, table(edges[:120])), "known")
+    for part in (edges[120:180], edges[180:], edges[:10], []):
+        known = stage(extend_components(known, table(part)), "known")
+    whole = connected_components(vertices, table(edges))
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, whole.collect()))
