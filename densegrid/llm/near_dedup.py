@@ -9,11 +9,14 @@ between two of them is missed. A pair is a link when aligning the two shingle se
 link is lost to it. Classes are the connected components of the links.
 
 Texts with the same words are one node, so copies never pair up. In a bucket first one leader, the member that meets
-most others in its buckets, is aligned with all members, which also gives their distances to it. Then every member
-outside the bucket's largest class becomes a leader (in rounds that grow) and is aligned with the members of other
-classes, unless their distances to the first leader differ by more than a link allows, which the triangle inequality
-rules out. A pair that shares a bucket is thus aligned, ruled out or already in one class; groups of near copies cost
-one alignment per member, not per pair.
+most others in its buckets, is aligned with all members, which also gives the distances of those linked to it. Then
+every member outside the bucket's largest class becomes a leader (in rounds that grow) and is compared with the members
+of other classes. Before a pair is made, three exact tests must allow a link: the sizes; the distances of both to the
+first leader (triangle inequality); and the shingles in common, at most what the smaller counts of all ``CELLS``
+classes of shingles add up to, where shingles that no other open text has do not count. Near misses of a group differ in
+shingles of their own, so nearly all of them fall there: a member with a fifth of them cannot have a link at all. A pair
+that shares a bucket is thus aligned, ruled out or already in one class; groups of near copies cost one alignment per
+member, not per pair. New links are added to the classes known so far by contraction.
 
 Texts without words form one class. Null text counts as empty. Repeated rows are copies. A class is named by its
 smallest doc_id; null ids are above all others. Nodes go by a 64-bit hash of their words.
@@ -21,6 +24,7 @@ smallest doc_id; null ids are above all others. Nodes go by a 64-bit hash of the
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densegrid.llm.text import words
-from densegrid.operators.components import connected_components
+from densegrid.operators.components import connected_components, extend_components
 from densegrid.runtime import hot_join, stage
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -90,7 +94,8 @@ def short_keys(grams: np.ndarray, similarity: float) -> np.ndarray:
 def in_order(a: list, b: list, band: int | None = None) -> int:
     """Length of the longest common subsequence, of places at most ``band`` apart if given.
 
-    Bit-parallel: bit j of ``row`` is unset where the subsequence grows at place j of b.
+    Bit-parallel: a bit of ``row`` is unset where the subsequence grows at its place of b. Only the ``2 * band + 1``
+    places around the one in a are held; places that fall out on the left are counted.
     """
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
@@ -101,20 +106,31 @@ def in_order(a: list, b: list, band: int | None = None) -> int:
     a, b = a[start: len(a) - end], b[start: len(b) - end]
     if not a or not b:
         return start + end
+    band = max(len(a), len(b)) if band is None else band
     places: dict = {}
     for j, g in enumerate(b):
-        places[g] = places.get(g, 0) | (1 << j)
-    full = row = (1 << len(b)) - 1
-    window = full if band is None else (1 << (2 * band + 1)) - 1
+        places.setdefault(g, []).append(j)
+    low, high = 0, min(len(b), band + 1)
+    row, grown = (1 << high) - 1, 0
     for i, g in enumerate(a):
-        hit = places.get(g)
-        if hit:
-            if band is not None:
-                hit &= window << (i - band) if i >= band else window >> (band - i)
+        if i - band > low:
+            grown += not row & 1
+            row >>= 1
+            low += 1
+        if i + band >= high and high < len(b):
+            row |= 1 << (high - low)
+            high += 1
+        if low >= high:
+            break
+        here = places.get(g)
+        if here:
+            hit = 0
+            for j in here[bisect_left(here, low): bisect_left(here, high)]:
+                hit |= 1 << (j - low)
             both = row & hit
             if both:
-                row = ((row + both) | (row & ~hit)) & full
-    return start + end + len(b) - row.bit_count()
+                row = ((row + both) | (row & ~hit)) & ((1 << (high - low)) - 1)
+    return start + end + grown + (high - low) - row.bit_count()
 
 
 def ordered_similarity(a: list, b: list, least: float) -> float:
@@ -163,12 +179,53 @@ def _sketches(multipliers: np.ndarray, k: int, taken: int, similarity: float):
     return run
 
 
-ALIGNED = "src bigint, dst bigint, good boolean, gap int"
+#: Classes of shingles by hash in which texts are compared before they are aligned.
+CELLS = 128
+GRAMS = "gram bigint, node bigint, n int"
+
+
+def _grams(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts -> their different shingles, with the number of each."""
+        for batch in batches:
+            lists = batch.column(1)
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for at in range(0, batch.num_rows, 256):
+                found = []
+                for i in range(at, min(at + 256, batch.num_rows)):
+                    grams, n = np.unique(shingles(values[ends[i]: ends[i + 1]].view(np.uint64), k), return_counts=True)
+                    found.append((grams, np.full(len(grams), batch.column(0)[i].as_py(), np.int64), n))
+                grams, node, n = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(node), pa.array(n.astype(np.int32))], names=["gram", "node", "n"])
+
+    return run
+
+
+def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
+    """``(node, own, cells)``: how many shingles of a text no other of these texts has, and where the rest are.
+
+    The rest is counted in ``CELLS`` classes by hash. Two texts have at most as many shingles in common as the smaller
+    counts of all classes add up to.
+    """
+    hashes = texts.select("node", F.transform(F.split("joined", " "), lambda w: F.xxhash64(w)).alias("h"))
+    grams = stage(hashes.mapInArrow(_grams(k), GRAMS), "grams")
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("gram")
+    size = grams.groupBy("node").agg(F.sum("n").alias("size"))
+    cell = F.pmod("gram", F.lit(CELLS)).cast("int").alias("cell")
+    held = hot_join(grams, stage(shared, "shared_grams"), ["gram"], "left_semi").groupBy("node", cell).agg(F.sum("n").cast("int").alias("n"))
+    per_node = held.groupBy("node").agg(F.sum("n").alias("met"), F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("of"))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.coalesce(F.try_element_at("of", c), F.lit(0)))
+    return size.join(per_node, "node", "left").select(
+        "node", (F.col("size") - F.coalesce("met", F.lit(0))).cast("int").alias("own"), F.when(F.col("met") > 0, numbers).alias("cells")
+    )
+
 
+ALIGNED = "src bigint, dst bigint, gap int"
 
-def _align(k: int, similarity: float, measure: bool):
+
+def _align(k: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whether the pairs are links; with ``measure`` all pairs with their distance, else the links only."""
+        """The pairs that are links, with their distance: shingles that one of the two has alone."""
         for batch in batches:
             good, gaps = [], []
             left, right = batch.column(2), batch.column(3)
@@ -179,16 +236,11 @@ def _align(k: int, similarity: float, measure: bool):
                     ws = text.split(" ")
                     n = min(k, len(ws))
                     grams.append([known.setdefault(g, len(known)) for g in zip(*(ws[j: len(ws) - n + 1 + j] for j in range(n)))])
-                a, b = grams
-                if measure:
-                    common = in_order(a, b)
-                    gaps.append(len(a) + len(b) - 2 * common)
-                    good.append(common >= (similarity - 1e-12) * (len(a) + len(b) - common))
-                else:
-                    gaps.append(0)
-                    good.append(ordered_similarity(a, b, similarity) > 0)
+                whole, found = len(grams[0]) + len(grams[1]), ordered_similarity(*grams, similarity)
+                good.append(found > 0)
+                gaps.append(whole - 2 * round(whole * found / (1 + found)))
             table = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(good, pa.bool_()), pa.array(gaps, pa.int32())], names=["src", "dst", "good", "gap"])
-            yield table if measure else table.filter(table.column("good"))
+            yield table.filter(table.column("good")).select(["src", "dst", "gap"])
 
     return run
 
@@ -200,10 +252,11 @@ def _links(buckets: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
     crowds = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd"))
     central = stage(hot_join(buckets, stage(crowds, "crowds"), ["bucket"]).groupBy("node").agg(F.sum("crowd").alias("met")), "central")
     state = hot_join(buckets, central, ["node"]).select(
-        "bucket", "node", "size", "met", F.col("node").alias("class"), F.lit(True).alias("fresh"), F.lit(None).cast("int").alias("gap")
+        "bucket", "node", "size", "met", F.col("node").alias("class"), F.lit(True).alias("fresh"), F.lit(None).cast("int").alias("gap"),
+        F.lit(0).alias("own"), F.lit(None).cast("array<int>").alias("cells"),
     )
     pair = [F.least("node", "l_node").alias("src"), F.greatest("node", "l_node").alias("dst")]
-    most, links, pairs_done = 1, None, None
+    most, links, pairs_done, known = 1, None, None, None
     while True:
         state = stage(state, "members")
         if state.isEmpty():
@@ -211,16 +264,21 @@ def _links(buckets: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
         first = links is None
         # Round one: the most central member. Later: fresh members outside the largest class, about ``most`` per bucket.
         if first:
-            leaders = state.groupBy("bucket").agg(F.max_by(F.struct("node", "size", "class", "gap"), F.struct("met", "node")).alias("l")).select("bucket", "l.*")
+            leaders = state.groupBy("bucket").agg(F.max_by(F.struct("node", "size", "class", "gap", "own", "cells"), F.struct("met", "node")).alias("l")).select("bucket", "l.*")
         else:
             chance = F.pmod(F.xxhash64(F.lit(most), "bucket", "node"), F.col("waiting"))
-            leaders = state.filter("fresh and class != largest").filter(chance < most).select("bucket", "node", "size", "class", "gap")
-        leaders = stage(leaders.toDF("bucket", "l_node", "l_size", "l_class", "l_gap"), "leaders")
-        met = hot_join(state.select("bucket", "node", "size", "class", "gap"), leaders, ["bucket"])
+            leaders = state.filter("fresh and class != largest").filter(chance < most).select("bucket", "node", "size", "class", "gap", "own", "cells")
+        leaders = stage(leaders.toDF("bucket", "l_node", "l_size", "l_class", "l_gap", "l_own", "l_cells"), "leaders")
+        met = hot_join(state.select("bucket", "node", "size", "class", "gap", "own", "cells"), leaders, ["bucket"])
         fits = F.least("size", "l_size") >= similarity * F.greatest("size", "l_size") - 1e-9
         allowed = (F.col("size") + F.col("l_size")) * (1 - similarity) / (1 + similarity) + 1e-9
         near = F.coalesce(F.abs(F.col("gap") - F.col("l_gap")) <= allowed, F.lit(True))
-        pairs = met.filter((F.col("class") != F.col("l_class")) & fits & near).select(*pair).distinct()
+        # Shingles in common are at most those that either text shares with any other one, class by class.
+        most_common = F.least(F.col("size") - F.col("own"), F.col("l_size") - F.col("l_own"))
+        by_class = F.aggregate(F.zip_with("cells", "l_cells", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        needed = (F.col("size") + F.col("l_size")) * similarity / (1 + similarity) - 1e-9
+        enough = (most_common >= needed) & F.coalesce(by_class >= needed, F.lit(True))
+        pairs = met.filter((F.col("class") != F.col("l_class")) & fits & near & enough).select(*pair).distinct()
         if pairs_done is not None:
             pairs = pairs.join(pairs_done, ["src", "dst"], "left_anti")
         pairs = stage(pairs, "pairs")
@@ -228,16 +286,17 @@ def _links(buckets: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
         # A leader's text is needed once per pair; the pairs are dealt evenly before they are aligned.
         left = hot_join(pairs, texts.select(F.col("node").alias("src"), F.col("joined").alias("left")), ["src"])
         both = hot_join(left, texts.select(F.col("node").alias("dst"), F.col("joined").alias("right")), ["dst"])
-        aligned = stage(both.select("src", "dst", "left", "right").mapInArrow(_align(k, similarity, first), ALIGNED), "aligned")
-        found = aligned.filter("good").select("src", "dst")
+        aligned = stage(both.select("src", "dst", "left", "right").mapInArrow(_align(k, similarity), ALIGNED), "aligned")
+        found = aligned.select("src", "dst")
         links = found if links is None else links.union(found)
-        classes = stage(connected_components(nodes, links), "classes").select(F.col("id").alias("node"), F.col("component").alias("class"))
+        known = stage(connected_components(nodes, found) if known is None else extend_components(known, found), "classes")
+        classes = known.select(F.col("id").alias("node"), F.col("component").alias("class"))
         if first:
             measured = hot_join(state.drop("gap"), leaders.select("bucket", "l_node"), ["bucket"]).select("*", *pair)
             measured = measured.join(aligned.select("src", "dst", "gap"), ["src", "dst"], "left")
             state = measured.withColumn("gap", F.when(F.col("node") == F.col("l_node"), 0).otherwise(F.col("gap"))).drop("src", "dst", "l_node")
         led = leaders.select("bucket", F.col("l_node").alias("node"), F.lit(True).alias("led"))
-        state = state.select("bucket", "node", "size", "met", "gap", "fresh").join(classes, "node").join(led, ["bucket", "node"], "left")
+        state = state.select("bucket", "node", "size", "met", "gap", "fresh", "own", "cells").join(classes, "node").join(led, ["bucket", "node"], "left")
         state = stage(state.withColumn("fresh", F.col("fresh") & F.col("led").isNull()).drop("led"), "members")
         # Buckets go on while a fresh member is outside the largest class; one row per class and bucket is summed up.
         per_class = state.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("f"))
@@ -246,6 +305,12 @@ def _links(buckets: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
         )
         per_bucket = per_bucket.select("bucket", "largest", (F.col("all_fresh") - F.col("f_largest")).alias("waiting")).filter("waiting > 0")
         state = hot_join(state, stage(per_bucket, "waiting"), ["bucket"])
+        if first:
+            # What members share with any other text they may still meet; one with too little has no link left to find.
+            state = stage(state, "contested")
+            open_texts = texts.join(state.select("node").distinct(), "node", "left_semi")
+            state = hot_join(state.drop("own", "cells"), stage(shared_shingles(open_texts, k), "own"), ["node"])
+            state = state.withColumn("fresh", F.col("fresh") & (F.col("size") - F.col("own") >= similarity * F.col("size") - 1e-9))
         most *= 64
     return links if links is not None else spark.createDataFrame([], "src long, dst long")
 
