@@ -43,6 +43,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN = 24, 4
 #: Two texts of at most so many shingles never miss each other.
 SHORT = 11
+#: Ids that are broadcast; more of them are joined by a shuffle.
+FEW = 1_000_000
 
 
 def shingles(ids: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -336,10 +338,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     buckets = stage(hot_join(members, shared, ["bucket"]), "buckets")
 
     # The words of every node in a shared bucket, from the row with its smallest id; copies are spread by id.
-    wanted = buckets.select("node").distinct().join(first.select("node", "doc_id"), "node")
-    source = docs.select(_joined(body).alias("joined"), name).withColumn("node", F.xxhash64("joined"))
-    low = F.coalesce("doc_id", F.lit(-(1 << 62)))
-    texts = source.withColumn("at", low).join(wanted.select("node", low.alias("at")), ["node", "at"]).select("node", "joined")
+    low = F.coalesce("doc_id", F.lit(-(1 << 62))).alias("at")
+    wanted = stage(buckets.select("node").distinct().join(first.select("node", "doc_id"), "node").select("node", low), "wanted")
+    source = docs.select(body.alias("body"), name).select("body", low)
+    ids = wanted.select("at").distinct()
+    # Words are taken of the rows wanted only.
+    source = source.join(F.broadcast(ids), "at", "left_semi") if wanted.count() <= FEW else hot_join(source, stage(ids, "ids"), ["at"], "left_semi")
+    source = source.select("at", _joined(F.col("body")).alias("joined")).withColumn("node", F.xxhash64("joined"))
+    texts = source.join(wanted, ["node", "at"]).select("node", "joined")
     texts = stage(texts.dropDuplicates(["node"]), "texts")
 
     links = stage(_links(buckets, texts, k, similarity), "links")
