@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densegrid.runtime import hot_join, stage
+from densegrid.runtime import hot_join, release, stage, stage_told
 
 EDGE = "src bigint, dst bigint"
 #: Edges that a task holds at a time.
@@ -96,11 +96,17 @@ def connected_components(vertices: DataFrame, edges: DataFrame, chunk: int = CHU
     oriented = edges.select(
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
     ).filter("src < dst")
-    oriented = stage(oriented, "edges")
-    parts = max(1, -(-oriented.count() // chunk))
-    stars = stage(local_forest(oriented.repartitionByRange(parts, "src"), chunk), "stars")
-    while not is_star(stars):
-        stars = stage(small_star(stage(large_star(stars), "stars")), "stars")
+    oriented, told = stage_told(oriented, "edges")
+    parts = max(1, -(-told["rows"] // chunk))
+    spread = oriented.repartitionByRange(parts, "src") if parts > 1 else oriented.coalesce(1)
+    stars = stage(local_forest(spread, chunk), "stars")
+    # What one chunk holds comes out of it as stars.
+    done = parts == 1
+    while not done and not is_star(stars):
+        wide = stage(large_star(stars), "stars")
+        narrow = stage(small_star(wide), "stars")
+        release(stars, wide)
+        stars = narrow
     found = stars.select(F.col("dst").alias("id"), F.col("src").alias("component"))
     return vertices.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -118,8 +124,8 @@ def extend_components(known: DataFrame, edges: DataFrame) -> DataFrame:
     between = mapped(mapped(edges.select("src", "dst"), "src"), "dst").select(
         F.least("src_in", "dst_in").alias("src"), F.greatest("src_in", "dst_in").alias("dst")
     )
-    between = stage(between.filter("src < dst").distinct(), "contracted")
-    if between.isEmpty():
+    between, told = stage_told(between.filter("src < dst").distinct(), "contracted")
+    if not told["rows"]:
         return known
     ends = between.select(F.col("src").alias("id")).union(between.select("dst")).distinct()
     solved = connected_components(ends, between).select(F.col("id").alias("component"), F.col("component").alias("merged"))

@@ -24,7 +24,7 @@ from densegrid.functions.geometry import (
     touched_cells,
 )
 from densegrid.operators.neighbors import binned_dims, search_side
-from densegrid.runtime import HOT_ROWS, LEAF_PAIRS, hot_join, setting, stage, tiled_join
+from densegrid.runtime import HOT_ROWS, LEAF_PAIRS, hot_join, setting, stage, stage_told, tiled_join
 
 SPLIT_DIMS = 4
 
@@ -116,13 +116,14 @@ def closest_between_cells(
     boxes = _boxes(at_level(0, key), features, key)
     if crowded:
         boxes = stage(boxes, "boxes")
-    pairs = stage(_first_pairs(boxes, features, key, side, radius, dims, rows), "pairs")
+    largest_pair = F.max(F.col("a_n") * F.col("b_n"))
+    pairs, told = stage_told(_first_pairs(boxes, features, key, side, radius, dims, rows), "pairs", largest=largest_pair)
     found: list[DataFrame] = []
     level = 0
     while True:
         best = pairs.groupBy("src", "dst").agg(F.least(F.min("ub"), F.min("best")).alias("best"))
         found.append(best.filter(F.col("best") <= radius).select("src", "dst", F.col("best").alias("min_dist")))
-        n_pairs, largest = pairs.agg(F.count(F.lit(1)), F.max(F.col("a_n") * F.col("b_n"))).first()
+        n_pairs, largest = told["rows"], told["largest"]
         open_pairs = hot_join(pairs.drop("best"), best, ["src", "dst"], rows=n_pairs).filter(
             (F.col("lb") < F.col("best")) & (F.col("lb") <= radius)
         )
@@ -148,8 +149,8 @@ def closest_between_cells(
 
         if (largest or 0) <= leaf:
             break
-        deep = stage(open_pairs.filter(size > leaf), "deep")
-        if deep.isEmpty():
+        deep, deep_told = stage_told(open_pairs.filter(size > leaf), "deep")
+        if not deep_told["rows"]:
             break
 
         # Children of the boxes still open: points of other boxes leave here.
@@ -173,7 +174,8 @@ def closest_between_cells(
         )
         step = up.join(a, ["a_gid", *prefixed("a_", parents)]).join(b, ["b_gid", *prefixed("b_", parents)])
         limited = _limits(step, features, key)
-        pairs = stage(limited.filter((F.col("lb") <= radius) & (F.col("lb") < F.col("best"))), "pairs")
+        open_now = limited.filter((F.col("lb") <= radius) & (F.col("lb") < F.col("best")))
+        pairs, told = stage_told(open_now, "pairs", largest=largest_pair)
 
     return reduce(DataFrame.unionByName, found).groupBy("src", "dst").agg(F.min("min_dist").alias("min_dist"))
 

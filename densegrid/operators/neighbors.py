@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from densegrid.functions.geometry import SLACK, cell_index, distance, number, prefixed, touched_cells
 from densegrid.operators.grid import checked_points
-from densegrid.runtime import HOT_ROWS, hot_cut, hot_join, setting, stage, tiled_join
+from densegrid.runtime import HOT_ROWS, hot_cut, hot_join, setting, stage, stage_told, tiled_join
 
 MAX_BINNED = 4
 
@@ -123,8 +123,8 @@ def core_sites(
     fine = [f"_f{k}" for k in range(len(features))]
     side = search_side(eps, len(features))
 
-    sites = stage(distinct_sites(points, features, scope), "sites")
-    rows = sites.count()
+    sites, told = stage_told(distinct_sites(points, features, scope), "sites")
+    rows = told["rows"]
     keep = [*scope, *features, "uid", "mult"]
     celled = sites.select(*keep, *[F.expr(cell_index(f, side)).alias(c) for f, c in zip(features, fine)])
     counts = celled.groupBy(*scope, *fine).agg(F.sum("mult").alias("cell_n"))

@@ -40,9 +40,13 @@ def point_set(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, l
     return points, source.feature_names(d)
 
 
+#: Point sets that are columns of a table. The others are computed, and so staged before they are read several times.
+PLAIN = ("emb64", "part2", "cust1", "supp2")
+
+
 def run(spark: SparkSession, sf_dir: str, name: str = "emb3", **options) -> ApproxClustering:
     points, features = point_set(spark, sf_dir, name)
-    return ApproxClustering(points, features, EPS[name], MIN_PTS, stable=name not in ("user2", "order2"), **options)
+    return ApproxClustering(points, features, EPS[name], MIN_PTS, stable=name in PLAIN, **options)
 
 
 # Sources and grid
@@ -333,13 +337,13 @@ def distinct_counts(spark, sf_dir):
 
 def _located(spark, sf_dir, name: str = "emb3"):
     points, features = point_set(spark, sf_dir, name)
-    placed, grid = locate(points, features, EPS[name], stable=True)
+    placed, grid = locate(points, features, EPS[name], stable=name in PLAIN)
     return grid, placed, [PARTS] * len(features)
 
 
 def _copies(spark, sf_dir, name: str = "emb3"):
     points, features = point_set(spark, sf_dir, name)
-    return halo_points_of(points, features, EPS[name], [PARTS] * len(features), stable=True)
+    return halo_points_of(points, features, EPS[name], [PARTS] * len(features), stable=name in PLAIN)
 
 
 @query
@@ -399,7 +403,7 @@ def merge_flags(spark, sf_dir):
 @query
 def dbscan_exact(spark, sf_dir):
     points, features = point_set(spark, sf_dir, "emb3")
-    return exact_dbscan(points, features, EPS["emb3"], MIN_PTS, stable=True)
+    return exact_dbscan(points, features, EPS["emb3"], MIN_PTS)
 
 
 @query

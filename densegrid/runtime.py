@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS = "densegrid.hotRows"
@@ -49,7 +49,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged = path
+    return table
+
+
+def stage_told(df: DataFrame, name: str, **told: Column) -> tuple[DataFrame, dict]:
+    """``stage`` with statistics taken while the table is written: ``rows``, and aggregates under the names given.
+
+    No further job is needed to learn whether a table is empty, how many rows it has, or its largest group.
+    """
+    seen = Observation()
+    table = stage(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in told.items()]), name)
+    return table, seen.get
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` returned, after their last use: what is read later must not come from them."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._staged)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_staged(spark: SparkSession) -> None:
@@ -69,8 +88,8 @@ def hot_keys(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFra
     total = df.count() if rows is None else rows
     if total <= floor_rows:
         return None
-    found = stage(df.groupBy(*keys).count().filter(F.col("count") >= hot_cut(floor_rows, total)), "hot")
-    return None if found.isEmpty() else found
+    found, told = stage_told(df.groupBy(*keys).count().filter(F.col("count") >= hot_cut(floor_rows, total)), "hot")
+    return found if told["rows"] else None
 
 
 def hot_cut(floor_rows: int, total: int) -> int:
@@ -97,9 +116,9 @@ def hot_join(
     if hot is None:
         return left.join(right, on, how)
     marks = F.broadcast(hot.select(*on))
-    few = stage(right.join(marks, on, "left_semi"), "few")
+    few, told = stage_told(right.join(marks, on, "left_semi"), "few")
     heavy = left.join(marks, on, "left_semi")
-    if few.count() <= HOT_RIGHT:
+    if told["rows"] <= HOT_RIGHT:
         heavy = heavy.join(F.broadcast(few), on, how)
     else:
         salt = F.pmod(F.xxhash64(*[c for c in left.columns if c not in on] or on), F.lit(SALTS))

@@ -48,15 +48,16 @@ def signed(k: int, j: int) -> int:
 def signed_sums(spark: SparkSession, path: str, key: str, column: str, n: int, d: int) -> DataFrame:
     """Points of ``d`` features, each a signed sum of all ``n`` elements over sqrt(n), added up from the left.
 
-    A row with another number of elements is an error.
+    A row with another number of elements is an error. The sums are computed where they are read: callers that read
+    them more than once should stage them.
     """
     table = _vectors(spark, path, key, column, n)
     sums = []
     for k in range(1, d + 1):
-        text = "cast(v[0] as double)"
-        for j in range(1, n):
-            text = f"{text} {'+' if signed(k, j) > 0 else '-'} cast(v[{j}] as double)"
-        sums.append(F.expr(f"({text}) / {math.sqrt(n)!r}D"))
+        # A loop over a constant array, not one term per element: code that refers to a sum stays small.
+        signs = F.array(*[F.lit(float(signed(k, j))) for j in range(n)])
+        terms = F.zip_with("v", signs, lambda x, s: x.cast("double") * s)
+        sums.append(F.aggregate(terms, F.lit(0.0), lambda total, x: total + x) / F.lit(math.sqrt(n)))
     return table.select("point_id", *[c.alias(f) for c, f in zip(sums, feature_names(d))])
 
 
