@@ -50,3 +50,12 @@ def coin(src: Column, dst: Column, seed: int) -> Column:
     small_src, small_dst = F.pmod(src, F.lit(COIN_MOD)), F.pmod(dst, F.lit(COIN_MOD))
     mixed = small_src * F.lit(COIN_SRC) + small_dst * F.lit(COIN_DST) + F.lit(seed)
     return F.pmod(F.pmod(mixed, F.lit(COIN_MOD)), F.lit(2)) == 1
+
+
+def z_order(columns: list[str], low: list[float], side: float, bits: int = 12) -> Column:
+    """Position along a curve that keeps neighbours together: the bits of up to four whole coordinates in turn."""
+    use = columns[:4]
+    whole = [f"cast(least({(1 << bits) - 1}D, greatest(0D, ({c} - {number(a)}) / {number(side)} * {number(1 << bits)})) as bigint)" for c, a in zip(use, low)]
+    return F.expr(" + ".join(
+        f"shiftleft(shiftright({w}, {b}) & 1L, {b * len(use) + k})" for k, w in enumerate(whole) for b in range(bits)
+    ))

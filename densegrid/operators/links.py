@@ -29,14 +29,15 @@ from densegrid.runtime import HOT_ROWS, LEAF_PAIRS, hot_join, setting, stage, st
 SPLIT_DIMS = 4
 
 
+def box_widths(n: int, side: float, level: int) -> list[float]:
+    """Width of a box per dimension; up to four dimensions are halved per level, in turn."""
+    groups = -(-n // SPLIT_DIMS)
+    return [side / 2.0 ** (level // groups + (1 if k // SPLIT_DIMS < level % groups else 0)) for k in range(n)]
+
+
 def box_key(features: list[str], side: float, level: int) -> list[Column]:
-    """Box index per dimension; up to four dimensions are halved per level, in turn."""
-    groups = -(-len(features) // SPLIT_DIMS)
-    out = []
-    for k, f in enumerate(features):
-        halvings = level // groups + (1 if k // SPLIT_DIMS < level % groups else 0)
-        out.append(F.expr(cell_index(f, side / 2.0**halvings)))
-    return out
+    """Box index per dimension."""
+    return [F.expr(cell_index(f, width)) for f, width in zip(features, box_widths(len(features), side, level))]
 
 
 def _boxes(pts: DataFrame, features: list[str], key: list[str], extra: list[str] = []) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densegrid.functions.special import ln_factorial
+from densegrid.functions.special import deviance, stirling_gap
 
 TILE_SIZES = 1024
 CHUNK = 65536
@@ -60,6 +60,9 @@ def expected_information(table: DataFrame, total: int) -> DataFrame:
     distinct ones per side. Both sides are dealt into tiles of about ``TILE_SIZES``. Per pair of sizes the overlap
     runs over 40 deviations and 1000 more on both sides of its mean; beyond that the weight is below exp(-800) by the
     Chernoff bound of the hypergeometric distribution, which is 0 in double precision, so nothing is lost.
+
+    Weights are taken in deviance form: the large logarithms of factorials cancel on paper, not in the sum. As the
+    overlaps' gaps to their mean add up to 0, ``k ln(k / mean)`` may lose its gap too, so every term is positive.
     """
     big = F.lit(total).cast("bigint")
     left = _sizes(table, "label_true").groupBy(F.col("n").alias("a")).agg(F.count(F.lit(1)).alias("wa"))
@@ -69,25 +72,41 @@ def expected_information(table: DataFrame, total: int) -> DataFrame:
     left = left.withColumn("_ta", F.pmod(F.xxhash64("a"), F.lit(tiles)).cast("int")).withColumn("_tb", every)
     right = right.withColumn("_tb", F.pmod(F.xxhash64("b"), F.lit(tiles)).cast("int")).withColumn("_ta", every)
     a, b, k = F.col("a"), F.col("b"), F.col("k")
-    mean = a.cast("double") * b / big
-    spread = 40 * F.sqrt(mean) + 1000
-    low = F.greatest(F.lit(1).cast("bigint"), a + b - big, F.floor(mean - spread).cast("bigint"))
+    # The mean overlap a * b / total as a whole number and a rest, so that k minus the mean is exact.
+    product = a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+    whole = F.expr(f"cast((cast(a as decimal(19,0)) * cast(b as decimal(19,0))) div {total}L as bigint)")
+    rest = (product % F.lit(total).cast("decimal(19,0)")).cast("double") / total
+    mean = F.col("whole") + F.col("rest")
+    # All four cells of the two-by-two table are off their means by the same gap, so the smallest mean bounds it.
+    spread = 40 * F.sqrt(F.least(mean, "m_a", "m_b", "m_0")) + 1000
+    low = F.greatest(F.lit(0).cast("bigint"), a + b - big, F.floor(mean - spread).cast("bigint"))
     high = F.least(a, b, F.ceil(mean + spread).cast("bigint"))
+
+    def one(n: Column) -> Column:
+        return F.greatest(n, F.lit(1)).cast("double")
+
     # What does not depend on the overlap is computed once per pair of sizes.
-    fixed = ln_factorial(a) + ln_factorial(b) + ln_factorial(big - a) + ln_factorial(big - b) - ln_factorial(big)
+    fixed = stirling_gap(a) + stirling_gap(b) + stirling_gap(big - a) + stirling_gap(big - b) - stirling_gap(big)
+    fixed = fixed + 0.5 * F.log(one(a) * one(b) * one(big - a) * one(big - b) / (2 * math.pi * float(total)))
+    x, y = a.cast("double"), b.cast("double")
     terms = (
         left.join(right, ["_ta", "_tb"])
-        .select("a", "b", (F.col("wa") * F.col("wb")).alias("w"), low.alias("low"), high.alias("high"), fixed.alias("fixed"))
+        .select("a", "b", (F.col("wa") * F.col("wb")).alias("w"), whole.alias("whole"), rest.alias("rest"), fixed.alias("fixed"))
+        .select("*", (x / total * (big - b)).alias("m_a"), (y / total * (big - a)).alias("m_b"),
+                ((big - a) / float(total) * (big - b)).alias("m_0"))
+        .select("*", low.alias("low"), high.alias("high"))
         .filter("low <= high")
         .withColumn("at", F.explode(F.sequence("low", "high", F.lit(CHUNK).cast("bigint"))))
         .withColumn("k", F.explode(F.sequence("at", F.least(F.col("high"), F.col("at") + CHUNK - 1))))
+        .withColumn("gap", (F.col("k") - F.col("whole")) - F.col("rest"))
+        .withColumn("own", deviance(k.cast("double"), mean, F.col("gap")))
     )
-    weight = F.exp(
-        F.col("fixed") - ln_factorial(k) - ln_factorial(a - k) - ln_factorial(b - k) - ln_factorial(big - a - b + k)
-    )
-    x = k.cast("double")
-    gain = F.log(x) + math.log(total) - F.log(a.cast("double")) - F.log(b.cast("double"))
-    return terms.agg(F.coalesce(F.sum(F.col("w") * (x / total) * gain * weight), F.lit(0.0)).alias("emi"))
+    cells = [k, a - k, b - k, big - a - b + k]
+    other = [deviance(n.cast("double"), F.col(m), g * F.col("gap")) for n, m, g in zip(cells[1:], ("m_a", "m_b", "m_0"), (-1, -1, 1))]
+    root = reduce(lambda u, v: u * v, [one(n) for n in cells])
+    lacking = reduce(lambda u, v: u + v, [stirling_gap(n) for n in cells])
+    weight = F.exp(F.col("fixed") - 0.5 * F.log(root) - lacking - F.col("own") - reduce(lambda u, v: u + v, other))
+    return terms.agg(F.coalesce(F.sum(F.col("w") * F.col("own") * weight) / total, F.lit(0.0)).alias("emi"))
 
 
 def ami(table: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@
    label is at least the distance to the centroid of the label, and at most that plus the radius of the
    label. Labels that cannot be among the nearest two of a box are dropped, which loses nothing.
 2. For the labels left, distances are added up point by point, exactly, at every size of data: a label's
-   points are dealt into tiles of about ``TILE_ROWS``, boxes into groups of ``TILE_BOXES``, and one key holds
-   one tile and one group, so no task grows with a label.
+   points are dealt into tiles of about ``TILE_ROWS``, neighbouring boxes into groups of ``TILE_BOXES``, and one key
+   holds one tile and one group, so no task grows with a label. A tile travels only to the groups that ask for it.
 
 ``theta > 0`` asks for the other mode, ``grouped``: a group of more than ``FEW_ROWS`` points that is small
 against its distance (radius at most ``theta`` times the gap) enters as weight, centroid and covariance, the
@@ -20,8 +20,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densegrid.operators.links import box_key
-from densegrid.runtime import hot_join, stage
+from densegrid.functions.geometry import z_order
+from densegrid.operators.links import box_key, box_widths
+from densegrid.runtime import hot_join, number_rows, stage, stage_told
 
 BOX_ROWS = 1024
 TILE_ROWS = 4096
@@ -54,8 +55,9 @@ def _root_of_squares(terms: list[str]) -> str:
 class _Space:
     """Names shared by the two steps."""
 
-    def __init__(self, features: list[str], side: float):
+    def __init__(self, features: list[str], low: list[float], side: float):
         self.features = features
+        self.low = low
         self.side = side
         self.key = [f"k{i}" for i in range(len(features))]
         self.up = [f"up{i}" for i in range(len(features))]
@@ -74,13 +76,16 @@ class _Space:
         return _root_of_squares([f"greatest(0D, tlo_{f} - c_{f}, c_{f} - thi_{f})" for f in self.features])
 
 
-def _moments(space: _Space) -> list:
-    """Weight, centroid and covariance of a group."""
-    mean = {f: F.sum(F.col(f) * F.col("mult")) / F.sum("mult") for f in space.features}
-    out = [F.sum("mult").cast("double").alias("w")] + [mean[f].alias(f"c_{f}") for f in space.features]
+def _moments(space: _Space, level: int) -> list:
+    """Weight, centroid and covariance of a group; sums are taken from the corner of its box, so nothing cancels."""
+    widths = [0.0] * len(space.features) if level <= 0 else box_widths(len(space.features), space.side, HALVINGS * (level - 1))
+    corner = {f: F.col(k) * F.lit(w) for f, k, w in zip(space.features, space.key, widths)}
+    own = {f: F.col(f) - corner[f] for f in space.features}
+    mean = {f: F.sum(own[f] * F.col("mult")) / F.sum("mult") for f in space.features}
+    out = [F.sum("mult").cast("double").alias("w")] + [(corner[f] + mean[f]).alias(f"c_{f}") for f in space.features]
     for i, f in enumerate(space.features):
         for g in space.features[i:]:
-            raw = F.sum(F.col(f) * F.col(g) * F.col("mult")) / F.sum("mult")
+            raw = F.sum(own[f] * own[g] * F.col("mult")) / F.sum("mult")
             out.append((raw - mean[f] * mean[g]).alias(f"v_{f}_{g}"))
     return out
 
@@ -107,14 +112,15 @@ def _target_boxes(sites: DataFrame, n_sites: int, space: _Space) -> tuple[DataFr
     rest, level = sites, 0
     while True:
         keyed = _keyed(rest, space.features, space.side, level)
-        boxes = stage(
+        one_spot = " AND ".join(f"tlo_{f} = thi_{f}" for f in space.features)
+        done = f"rows <= {BOX_ROWS} OR ({one_spot})"
+        boxes, told = stage_told(
             keyed.groupBy(*space.key, *space.up).agg(
                 F.count(F.lit(1)).alias("rows"), F.min("uid").alias("tid"), *space.box("t")
             ),
             "targets",
+            growing=F.count_if(F.expr(f"NOT ({done})")),
         )
-        one_spot = " AND ".join(f"tlo_{f} = thi_{f}" for f in space.features)
-        done = f"rows <= {BOX_ROWS} OR ({one_spot})"
         offers = hot_join(wanted, boxes, space.up).select(
             *space.key, "tid", "rows", "label", "n_label", "radius", *space.names("c_", "tlo_", "thi_"),
             (F.expr(space.gap_to_centroid()) * SAFE).alias("least"),
@@ -134,7 +140,7 @@ def _target_boxes(sites: DataFrame, n_sites: int, space: _Space) -> tuple[DataFr
         mine = hot_join(inside, finished.select(*space.key, "tid"), space.key, rows=n_sites).drop(*space.key)
         members.append(mine)
         pairs.append(kept.filter(done).select("tid", "label", "n_label", *space.names("tlo_", "thi_")))
-        if boxes.filter(f"NOT ({done})").isEmpty():
+        if not told["growing"]:
             break
         growing = boxes.filter(f"NOT ({done})").select(*space.key)
         rest = stage(hot_join(inside, growing, space.key, "left_semi", rows=n_sites).drop(*space.key), "rest")
@@ -169,7 +175,7 @@ def _sources(sites: DataFrame, pairs: DataFrame, space: _Space, theta: float) ->
         keyed = _keyed(rest, space.features, space.side, level)
         groups = stage(
             keyed.groupBy("label", *space.key, *space.up).agg(
-                F.count(F.lit(1)).alias("rows"), *space.box(""), *_moments(space)
+                F.count(F.lit(1)).alias("rows"), *space.box(""), *_moments(space, level)
             ),
             "groups",
         )
@@ -178,7 +184,8 @@ def _sources(sites: DataFrame, pairs: DataFrame, space: _Space, theta: float) ->
             f"CASE WHEN rows > {FEW_ROWS} AND {radius} <= {theta} * {space.gap_to_centroid()} THEN 1 "
             f"WHEN rows <= {NEAR_ROWS} THEN 0 ELSE 2 END"
         )
-        met = stage(met.select(*carried, *space.key, "w", *space.names("c_"), *space.cov, F.expr(state).alias("state")), "met")
+        stated = met.select(*carried, *space.key, "w", *space.names("c_"), *space.cov, F.expr(state).alias("state"))
+        met, told = stage_told(stated, "met", split=F.count_if(F.col("state") == 2))
         out.append(met.filter("state = 1").select(*columns))
         single = keyed.select(
             "label", *space.key, F.col("mult").cast("double").alias("w"),
@@ -189,7 +196,7 @@ def _sources(sites: DataFrame, pairs: DataFrame, space: _Space, theta: float) ->
         near = met.filter("state = 0").select("tid", "label", "n_label", *space.key)
         out.append(near.join(single, ["label", *space.key]).select(*columns))
         split = met.filter("state = 2")
-        if split.isEmpty():
+        if not told["split"]:
             break
         open_pairs = split.select(*carried, *[F.col(k).alias(u) for k, u in zip(space.key, space.up)])
         growing = split.select("label", *space.key).distinct()
@@ -200,20 +207,30 @@ def _sources(sites: DataFrame, pairs: DataFrame, space: _Space, theta: float) ->
     return reduce(DataFrame.unionByName, out)
 
 
-def _exact_sums(sites: DataFrame, members: DataFrame, pairs: DataFrame, space: _Space) -> DataFrame:
-    """``(uid, label, mult, other, n_label, far)``: the sum of distances of every point to every label it needs."""
-    tiles = sites.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
-    tiles = stage(tiles, "tiles")
-    groups = max(1, -(-pairs.select("tid").distinct().count() // TILE_BOXES))
-    wanted = hot_join(pairs.select("tid", "label", "n_label"), tiles, ["label"]).select(
-        "tid", F.col("label").alias("other"), "n_label", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"),
-        F.pmod(F.xxhash64("tid"), F.lit(groups)).cast("int").alias("group"),
+def _routed(sites: DataFrame, pairs: DataFrame, space: _Space) -> tuple[DataFrame, DataFrame]:
+    """What meets what: ``wanted`` (box, label, tile, group of the box) and the ``sources`` with the groups they go to.
+
+    A row of a label's tile is there once for every group with a box that asks for the label.
+    """
+    tiles = stage(sites.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles")), "tiles")
+    boxes = pairs.select("tid", *space.names("tlo_")).distinct()
+    along = boxes.select("tid", z_order(space.names("tlo_"), space.low, space.side).alias("z"))
+    grouped = number_rows(along, ["z", "tid"], "at").select("tid", F.floor(F.col("at") / TILE_BOXES).alias("group"))
+    wanted = hot_join(pairs.select("tid", "label", "n_label"), tiles, ["label"]).join(grouped, "tid").select(
+        "tid", F.col("label").alias("other"), "n_label", "group", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile")
     )
-    sources = hot_join(sites, tiles, ["label"]).select(
+    wanted = stage(wanted, "wanted")
+    demand = stage(wanted.select("other", "tile", "group").distinct(), "demand")
+    dealt = hot_join(sites, tiles, ["label"]).select(
         F.col("label").alias("other"), F.pmod(F.xxhash64("uid"), F.col("tiles")).cast("int").alias("tile"),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
         F.col("mult").cast("double").alias("w"), *[F.col(f).alias(f"c_{f}") for f in space.features],
     )
+    return wanted, dealt.join(demand, ["other", "tile"])
+
+
+def _exact_sums(sites: DataFrame, members: DataFrame, pairs: DataFrame, space: _Space) -> DataFrame:
+    """``(uid, label, mult, other, n_label, far)``: the sum of distances of every point to every label it needs."""
+    wanted, sources = _routed(sites, pairs, space)
     gap = _root_of_squares([f"{f} - c_{f}" for f in space.features])
     met = members.join(wanted, "tid").join(sources, ["other", "tile", "group"])
     return met.groupBy("uid", "label", "mult", "other", "n_label").agg(F.sum(F.expr(f"w * {gap}")).alias("far"))
@@ -276,7 +293,7 @@ def silhouette(df: DataFrame, features: list[str], label: str, theta: float = 0.
         # Sums of squares are taken around the middle of the data, so that large coordinates do not cancel.
         middle = {f: (row[f]["lo"] + row[f]["hi"]) / 2 for f in features}
         sites = sites.select("label", *[(F.col(f) - F.lit(middle[f])).alias(f) for f in features], "uid", "mult")
-    space = _Space(features, max(row[f]["hi"] - row[f]["lo"] for f in features) or 1.0)
+    space = _Space(features, [row[f]["lo"] for f in features], max(row[f]["hi"] - row[f]["lo"] for f in features) or 1.0)
 
     members, pairs = _target_boxes(sites, row["n"], space)
     sums = _grouped_sums(sites, members, pairs, space, theta) if theta > 0 else _exact_sums(sites, members, pairs, space)

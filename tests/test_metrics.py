@@ -1,5 +1,6 @@
 """Agreement and silhouette against direct formulas."""
 
+import decimal
 import math
 
 import brute
@@ -79,6 +80,44 @@ def test_silhouette_with_grouped_sources(skewed, monkeypatch, d, k):
     assert found["mode"] == "grouped" and abs(found["silhouette"] - wanted) <= found["error_bound"] < 0.02
 
 
+def test_tiles_travel_where_they_are_wanted(spark, monkeypatch):
+    """Sources shuffle once per group of boxes that asks for their label, and not to all groups."""
+    for name, rows in (("BOX_ROWS", 10), ("TILE_ROWS", 15), ("TILE_BOXES", 2)):
+        monkeypatch.setattr(sil, name, rows)
+    moved = {}
+
+    def routed(sites, pairs, space):
+        wanted, sources = original(sites, pairs, space)
+        per_tile = sources.groupBy("other", "tile").agg(F.countDistinct("group").alias("groups"), F.count("*").alias("n"))
+        asked = wanted.groupBy("other", "tile").agg(F.countDistinct("group").alias("asked"))
+        moved["tiles"] = per_tile.join(asked, ["other", "tile"], "full").collect()
+        moved["groups"], moved["sites"] = wanted.select("group").distinct().count(), sites.count()
+        moved["rows"] = sources.count()
+        return wanted, sources
+
+    original = sil._routed
+    monkeypatch.setattr(sil, "_routed", routed)
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 12, size=600)
+    x = np.stack([labels * 100.0, labels % 3 * 50.0], axis=1) + rng.normal(size=(600, 2))
+    df, names = table_of(spark, x, labels)
+    assert sil.silhouette(df, names, "label").first()[0] == pytest.approx(direct_silhouette(x, labels), abs=1e-9)
+    assert all(r["groups"] == r["asked"] for r in moved["tiles"])
+    assert moved["rows"] < 0.5 * moved["groups"] * moved["sites"]
+
+
+def test_grouped_silhouette_far_from_the_middle(spark, monkeypatch):
+    """Small groups far out: their covariance comes from their own corner, so it does not cancel away."""
+    monkeypatch.setattr(sil, "NEAR_ROWS", 10)
+    monkeypatch.setattr(sil, "FEW_ROWS", 2)
+    rng = np.random.default_rng(6)
+    labels = np.repeat([0, 1, 2, 3], 60)
+    x = np.array([[1e7, 0], [1e7 + 3, 1], [-1e7, 5], [-1e7, 9]])[labels] + rng.normal(size=(240, 2)) * 0.4
+    df, names = table_of(spark, x, labels)
+    found = sil.silhouette(df, names, "label", theta=0.3).first()
+    assert abs(found["silhouette"] - direct_silhouette(x, labels)) < 1e-3
+
+
 def test_silhouette_edge_cases(spark):
     df, names = table_of(spark, [[0.0], [1.0], [2.0]], [4, 4, 4])
     assert sil.silhouette(df, names, "label").first()[0] is None
@@ -117,6 +156,35 @@ def test_agreement(spark):
     assert metrics.ami(table).first()[0] == pytest.approx(ami, abs=1e-9)
 
 
+def precise_information(a, b, n, reach):
+    """Expected mutual information of two labels per side, in 50 digits; weights by their ratios, scaled to 1."""
+    with decimal.localcontext() as context:
+        context.prec = 50
+        middle = a * b // n
+        low, high = max(0, a + b - n, middle - reach), min(a, b, middle + reach)
+        weights = {middle: decimal.Decimal(1)}
+        for k in range(middle, high):
+            weights[k + 1] = weights[k] * (a - k) * (b - k) / ((k + 1) * (n - a - b + k + 1))
+        for k in range(middle, low, -1):
+            weights[k - 1] = weights[k] * k * (n - a - b + k) / ((a - k + 1) * (b - k + 1))
+        whole, found = sum(weights.values()), decimal.Decimal(0)
+        for k, weight in weights.items():
+            for x, p, q in ((k, a, b), (a - k, a, n - b), (b - k, n - a, b), (n - a - b + k, n - a, n - b)):
+                if x:
+                    found += weight * x / n * (decimal.Decimal(x) * n / (p * q)).ln()
+        return float(found / whole)
+
+
+@pytest.mark.parametrize("a,b,n,reach", [
+    (10**6, 10**6, 10**12, 80), (10**8, 10**8, 10**12, 1500), (3, 10**11, 10**12, 10), (10**5, 2 * 10**7, 10**12, 60), (40, 60, 100, 100), (5, 5, 10, 10),
+])
+def test_expected_information_of_large_tables(spark, a, b, n, reach):
+    rows = [(0, 0, 1), (0, 1, a - 1), (1, 0, b - 1), (1, 1, n - a - b + 1)]
+    table = spark.createDataFrame(rows, "label_true long, label_pred long, n long")
+    found = metrics.expected_information(table, n).first()[0]
+    assert found == pytest.approx(precise_information(a, b, n, reach), rel=1e-9)
+
+
 @pytest.mark.parametrize("labels", [[0, 0, 1, 1, 2], [7, 7, 7, 7, 7]])
 def test_identical_labelings(spark, labels):
     df = spark.createDataFrame([(v, v + 10) for v in labels], "a long, b long")
