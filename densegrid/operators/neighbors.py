@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densegrid.functions.geometry import SLACK, cell_index, distance, number, prefixed, touched_cells
+from densegrid.operators.balls import count_around
 from densegrid.operators.grid import checked_points
 from densegrid.runtime import HOT_ROWS, hot_cut, hot_join, setting, stage, stage_told, tiled_join
 
@@ -108,11 +109,13 @@ def core_sites(
     min_pts: int,
     rule: str = "strict",
     scope: list[str] = [],
+    report: dict | None = None,
 ) -> DataFrame:
     """Sites with ``neighbors`` (counted up to ``min_pts``) and ``core_flag``, read from staged tables.
 
     ``rule="strict"`` counts points at other coordinates; ``rule="standard"`` counts every point, itself
-    included. ``scope`` columns confine neighbours to equal values (the overlapping partitions).
+    included. ``scope`` columns confine neighbours to equal values (the overlapping partitions). Beyond four dimensions
+    the search goes by balls around pivots, and ``report`` receives how many pairs it looked at.
     """
     if rule not in ("strict", "standard"):
         raise ValueError(f"unknown rule {rule!r}")
@@ -136,9 +139,14 @@ def core_sites(
         *scope, *[F.col(f).alias(q) for f, q in zip(features, seen)], F.col("mult").alias("q_mult")
     )
     probes = counted.filter(F.col("inside") < enough).select(*keep)
-    by = search_keys(sites, features)
-    pairs = near(probes, data, features, seen, eps, by, [(s, s) for s in scope], rows)
-    around = stage(pairs.groupBy(*keep).agg(F.sum("q_mult").alias("around")), "around")
+    if len(features) > MAX_BINNED and not scope:
+        lacking = F.col("around") - own < enough
+        found = count_around(sites, probes, features, eps, lacking, rows, report)
+        around = stage(probes.join(found, "uid").select(*keep, "around"), "around")
+    else:
+        by = search_keys(sites, features)
+        pairs = near(probes, data, features, seen, eps, by, [(s, s) for s in scope], rows)
+        around = stage(pairs.groupBy(*keep).agg(F.sum("q_mult").alias("around")), "around")
     thin = around.select(*keep, F.least(F.col("around") - own, enough).alias("neighbors"))
 
     dense = counted.filter(F.col("inside") >= enough).select(*keep, enough.alias("neighbors"))
@@ -174,7 +182,7 @@ def to_points(
 
 def neighbor_counts(
     points: DataFrame, features: list[str], eps: float, min_pts: int, rule: str = "strict", scope: list[str] = [],
-    invalid: str = "raise", stable: bool = False,
+    invalid: str = "raise", stable: bool = False, report: dict | None = None,
 ) -> DataFrame:
     """``(point_id, neighbors, core_flag)`` per point; the count stops at ``min_pts``.
 
@@ -184,5 +192,5 @@ def neighbor_counts(
     points, features = checked_points(points, features, invalid, scope)
     if not stable:
         points = stage(points, "points")
-    sites = core_sites(points, features, eps, min_pts, rule, scope)
+    sites = core_sites(points, features, eps, min_pts, rule, scope, report)
     return to_points(points, sites, features, scope).select(*scope, "point_id", "neighbors", "core_flag")

@@ -278,3 +278,22 @@ def test_components_grow_by_contraction(spark, skewed):
         known = stage(extend_components(known, table(part)), "known")
     whole = connected_components(vertices, table(edges))
     assert sorted(map(tuple, known.collect())) == sorted(map(tuple, whole.collect()))
+
+
+@pytest.mark.parametrize("rule", ["strict", "standard"])
+def test_balls_count_what_all_pairs_count(skewed, rule):
+    """Many dimensions, copies and hot balls: counts equal brute force, and most pairs are never looked at."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(0, 4, size=(12, 8))
+    x = centers[rng.integers(0, 12, 500)] + rng.normal(0, 0.3, size=(500, 8))
+    x[:40] = x[0]
+    x[450:] = rng.uniform(-20, 20, size=(50, 8))
+    names = [f"x{k}" for k in range(8)]
+    points = skewed.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "point_id bigint, " + ", ".join(f"{n} double" for n in names))
+    report = {}
+    found = {r["point_id"]: r["neighbors"] for r in neighbor_counts(points, names, 0.8, 5, rule=rule, report=report).collect()}
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    equal = (x[:, None] == x[None]).all(axis=2)
+    near = (far <= 0.8) & (~equal if rule == "strict" else True)
+    assert found == {i: min(5, int(n)) for i, n in enumerate(near.sum(axis=1))}
+    assert report["pairs"] < 0.15 * report["sites"] ** 2
