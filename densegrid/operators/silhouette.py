@@ -15,6 +15,7 @@ point, and larger ones are split further. That result carries its mode and a bou
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -272,13 +273,17 @@ def silhouette(df: DataFrame, features: list[str], label: str, theta: float = 0.
     if not 0 <= theta < 0.5:
         raise ValueError("theta must be at least 0 and below 0.5")
 
+    plain = [f if re.fullmatch(r"[A-Za-z]\w*", f) else f"feature_{k}" for k, f in enumerate(features)]
+    df = df.select("point_id", F.col(f"`{label}`").alias("label"), *[F.col(f"`{f}`").alias(p) for f, p in zip(features, plain)])
+    features = plain
+
     def result(found: DataFrame) -> DataFrame:
         if theta == 0:
             return found
         return found.select("silhouette", F.lit("grouped").alias("mode"), F.lit(error_bound(theta)).alias("error_bound"))
 
     sites = stage(
-        df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("label"), *features).agg(
+        df.filter(F.col("label").isNotNull()).groupBy("label", *features).agg(
             F.min("point_id").alias("uid"), F.count(F.lit(1)).alias("mult")
         ),
         "silhouette",

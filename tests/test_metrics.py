@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from densegrid.functions.special import ln_factorial
 from densegrid.operators import metrics, silhouette as sil
-from densegrid.plans.evaluate import evaluate
+from densegrid.plans.evaluate import compare_labels, evaluate
 from densegrid.runtime import stage
 
 
@@ -206,3 +206,14 @@ def test_ln_factorial(spark):
     rows = spark.range(0, 400).select("id", ln_factorial(F.col("id")).alias("v")).collect()
     for r in rows:
         assert r["v"] == pytest.approx(math.lgamma(r["id"] + 1), rel=1e-13, abs=1e-13)
+
+
+def test_compared_points_are_checked_once(spark):
+    """Missing features are left out of both runs, and names need not be identifiers."""
+    names = ["a b", "c.d"]
+    rows = [(i, float(i % 7), float(i // 7)) for i in range(49)] + [(100, None, 1.0), (101, float("nan"), 1.0)]
+    points = spark.createDataFrame(rows, "point_id bigint, `a b` double, `c.d` double")
+    compared = compare_labels(points, names, 1.1, 3, invalid="drop")
+    assert compared.columns == ["point_id", *names, "cluster_id", "is_noise", "exact_cluster"]
+    assert sorted(r["point_id"] for r in compared.collect()) == list(range(49))
+    assert evaluate(compared, names, "cluster_id", "exact_cluster").count() == 1
