@@ -24,15 +24,15 @@ d AS (SELECT doc_id, regexp_extract_all({AZ.format('text')}, '[^\\x00-\\x2F\\x3A
 t AS (SELECT doc_id, i - 1 AS pos, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) u(i) WHERE w[i] IN (SELECT word FROM place)),
 df AS (SELECT word, count(DISTINCT doc_id) AS n FROM t GROUP BY word),
 r AS (
-  SELECT place.*, row_number() OVER (PARTITION BY template ORDER BY coalesce(ln(((SELECT count(*) FROM d) + 1) / n), 1000) DESC, o) AS rank
+  SELECT place.*, n, row_number() OVER (PARTITION BY template ORDER BY ln(((SELECT count(*) FROM d) + 1) / n) DESC NULLS LAST, o) AS rank
   FROM place LEFT JOIN df USING (word)),
 x AS (
   SELECT *, count(*) OVER (PARTITION BY template) AS words, sum(is_key::INT) OVER (PARTITION BY template) AS key_words
-  FROM r JOIN head USING (template) WHERE rank <= {licenses.RARE_WORDS} OR is_key),
+  FROM r JOIN head USING (template) WHERE is_key OR rank <= {licenses.RARE_WORDS} AND n IS NOT NULL),
 s AS (
   SELECT doc_id, template, pos - o AS start, any_value(label) AS label, any_value(is_base) AS is_base, count(*) / any_value(words) AS coverage
   FROM t JOIN x USING (word) GROUP BY doc_id, template, pos - o
-  HAVING pos - o >= 0 AND bool_or(rank = 1) AND sum(is_key::INT) = any_value(key_words)
+  HAVING pos - o >= 0 AND sum(is_key::INT) = any_value(key_words)
     AND count(*) / any_value(words) >= CASE WHEN any_value(is_base) THEN 1 ELSE {licenses.LEAST_COVERAGE} END),
 g AS (
   SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,

@@ -36,6 +36,24 @@ def test_query_with_sql(spark, name):
     assert rows == wanted
 
 
+def test_op6_with_altered_notices(spark, tmp_path):
+    """Notices with a rare word altered, in all documents or in some: the operator and its SQL agree."""
+    import duckdb
+
+    from densegrid.llm import licenses
+
+    bodies = [t[0] for t in licenses.TEMPLATES]
+    texts = [b.replace("subject", "liable") for b in bodies] * 3 + [" ".join(b.split()[:-1]) for b in bodies] + bodies[:1] + [None, "", "cc by, All rights reserved"]
+    rows = [(i, t if t is None else f"intro {t} outro", "en", "a", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns, found = spark_rows(QUERIES["op6_license_scan"](spark, str(tmp_path)))
+    wanted_columns, wanted = duck_rows(con, ORACLES["op6_license_scan"])
+    assert (columns, found) == (wanted_columns, wanted)
+    assert any(0 < r[columns.index("score")] < 1 for r in found)
+
+
 def test_op1_is_the_library(spark, docs):
     import sentencepiece
 
