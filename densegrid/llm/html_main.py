@@ -14,7 +14,9 @@ line break in page order; empty blocks are left out. Scripts, styles, comments,
 markup are never text and leave the text around them in one piece. Formulas are text; their annotations are not.
 Null or empty html gives an empty text, as does a page without main text. Unclosed and misnested tags are read the
 way browsers treat the common cases: a new block ends an open paragraph, a stray end tag is skipped, the first
-element or text of the body ends an open head.
+element or text of the body ends an open head. What stands in a hidden element ends nothing outside of it. A comment
+ends at ``-->`` or ``--!>``, ``<!-->`` and ``<!--->`` are whole comments; a comment, a tag or a quoted attribute that is
+never closed runs to the end of the page and is no text. The time to read a page grows with its length only.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import cache
-from html.parser import HTMLParser
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,9 @@ INLINE = {
 }
 #: ``annotation`` is a second form of a formula that stands before it, which browsers do not show.
 HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "select", "option", "datalist",
-          "button", "textarea", "canvas", "audio", "video", "map", "annotation", "annotation-xml"}
+          "button", "textarea", "canvas", "audio", "video", "map", "annotation", "annotation-xml", "noembed", "noframes"}
+#: Elements whose content has no tags in it.
+RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes"}
 ENDS_PARAGRAPH = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure",
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
@@ -101,13 +105,18 @@ class Node:
 INSIDE = {"article": 1, "main": 2, "nav": 4, "footer": 4, "aside": 4, "dialog": 4, "form": 8, "ul": 16, "ol": 16, "dl": 16}
 
 
-class Tree(HTMLParser):
-    """Block tree of a page; ``parts`` are runs of text with the child number before which they stand."""
+class Tree:
+    """Block tree of a page; ``parts`` are runs of text with the child number before which they stand.
+
+    ``places`` has the positions of the open elements by tag, so that what an end tag or a new block closes is found
+    without a walk over the open elements; ``shut`` has those of the open elements that hide their content.
+    """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.nodes = [Node("#root", 0, 0, 0, 0, 0, 0, False, None)]
         self.open = [0]
+        self.places: dict[str, list[int]] = {}
+        self.shut: list[int] = []
         self.links = self.math = 0
         self.body = False
 
@@ -124,25 +133,34 @@ class Tree(HTMLParser):
                 mask |= known.get("role:" + value.lower(), 0)
         return mask
 
+    def _last(self, tags) -> int:
+        """Position of the innermost open element with one of ``tags``; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, place: int) -> None:
+        """Ends the open elements from ``place`` on."""
+        while len(self.open) > place:
+            tag = self.nodes[self.open.pop()].tag
+            self.places[tag].pop()
+            if tag in HIDDEN:
+                self.shut.pop()
+
     def _close(self, tags: set[str], stop: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.nodes[self.open[i]].tag
-            if tag in tags:
-                del self.open[i:]
-                return
-            if tag in stop:
-                return
+        """Ends the innermost of ``tags`` unless an element of ``stop`` or a hidden one stands further in."""
+        place = self._last(tags)
+        if place and place >= max(self._last(stop), self.shut[-1] if self.shut else 0):
+            self._cut(place)
 
     def _end_head(self) -> None:
         if self.nodes[self.open[-1]].tag == "head":
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attrs: list[tuple[str, str]]) -> None:
         if tag not in IN_HEAD:
             self._end_head()
         if tag in INLINE:
             if tag == "br":
-                self.handle_data("\n")
+                self.text("\n")
             self.links += tag == "a"
             self.math += tag == "math"
             return
@@ -162,6 +180,9 @@ class Tree(HTMLParser):
         own = self._tokens(attrs) if attrs else 0
         up.below |= own
         up.children.append(len(self.nodes))
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in HIDDEN:
+            self.shut.append(len(self.open))
         self.open.append(len(self.nodes))
         self.nodes.append(Node(
             tag, parent, up.depth + 1, own, up.up | own, up.inside | INSIDE.get(tag, 0), len(up.children) - 1, up.hidden or tag in HIDDEN, truth
@@ -169,17 +190,14 @@ class Tree(HTMLParser):
         self.body |= tag == "body"
         self.links = self.math = 0
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag in INLINE:
             self.links -= tag == "a" and self.links > 0
             self.math -= tag == "math" and self.math > 0
             return
-        if tag == "p" and not any(self.nodes[i].tag == "p" for i in self.open):
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[i]].tag == tag:
-                del self.open[i:]
-                return
+        place = self._last((tag,))
+        if place:
+            self._cut(place)
 
     def _break(self):
         """A rule ends the run of text before it; it is the only void element that is a block."""
@@ -187,33 +205,102 @@ class Tree(HTMLParser):
         if node.parts:
             node.parts.append((-1, ""))
 
-    def handle_data(self, data):
+    def text(self, data: str) -> None:
         if data.strip():
             self._end_head()
         node = self.nodes[self.open[-1]]
-        if node.hidden:
+        if node.hidden or not data:
             return
         node.parts.append((len(node.children), data))
         if self.links:
             node.link += len(data.strip())
 
-    def parse_html_declaration(self, i):
-        """``<![`` is a comment up to the next ``>``, whatever its name; a CDATA section is text, in svg and math only."""
-        if not self.rawdata.startswith("<![", i):
-            return super().parse_html_declaration(i)
-        if self.rawdata.startswith("<![CDATA[", i) and (self.math or any(self.nodes[k].tag == "svg" for k in self.open)):
-            end = self.rawdata.find("]]>", i)
-            if end < 0:
-                return -1
-            self.handle_data(self.rawdata[i + 9: end])
-            return end + 3
-        return self.parse_bogus_comment(i)
+    def foreign(self) -> bool:
+        """Inside svg or math, where CDATA sections are text."""
+        return bool(self.math or self.places.get("svg"))
+
+
+# Markup, read from left to right; every character is passed a bounded number of times.
+MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
+NAME = re.compile(r"[^ \t\n\r\f/>]*")
+GAP = re.compile(r"[ \t\n\r\f/]*")
+ATTRIBUTE = re.compile(r"=?[^ \t\n\r\f/>=]*")
+EQUALS = re.compile(r"[ \t\n\r\f]*=[ \t\n\r\f]*")
+VALUE = re.compile(r"[^ \t\n\r\f>]*")
+COMMENT_END = re.compile(r"--!?>")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[ \t\n\r\f/>])", re.I) for tag in RAW}
+
+
+def _attributes(html: str, i: int) -> tuple[int, list[tuple[str, str]], bool]:
+    """From behind a tag's name: place behind its ``>`` (-1: the page ends before), attributes, whether ``/>`` ends it."""
+    out: list[tuple[str, str]] = []
+    while True:
+        gap = GAP.match(html, i).end()
+        if gap == len(html):
+            return -1, out, False
+        if html[gap] == ">":
+            return gap + 1, out, html[gap - 1] == "/" and gap > i
+        name = ATTRIBUTE.match(html, gap)
+        i, value = name.end(), ""
+        equals = EQUALS.match(html, i)
+        if equals:
+            i = equals.end()
+            if html[i: i + 1] in ("'", '"'):
+                close = html.find(html[i], i + 1)
+                if close < 0:
+                    return -1, out, False
+                value, i = html[i + 1: close], close + 1
+            else:
+                value = VALUE.match(html, i).group()
+                i += len(value)
+        out.append((name.group().lower(), unescape(value) if "&" in value else value))
 
 
 def parse(html: str) -> list[Node]:
+    """Block tree of a page. Comments, tags and raw text end where they end in browsers, if need be with the page."""
     tree = Tree()
-    tree.feed(html)
-    tree.close()
+    i, n, last = 0, len(html), html.rfind(">")
+    while i < n:
+        mark = MARKUP.search(html, i)
+        at = mark.start() if mark else n
+        if at > i:
+            tree.text(unescape(html[i:at]))
+        if not mark:
+            break
+        i, closing = at, html.startswith("</", at)
+        first = html[at + 1 + closing: at + 2 + closing]
+        if "a" <= first <= "z" or "A" <= first <= "Z":
+            name = NAME.match(html, at + 1 + closing)
+            tag = name.group().lower()
+            i, attrs, empty = _attributes(html, name.end())
+            if i < 0:
+                break
+            if closing:
+                tree.end(tag)
+                continue
+            tree.start(tag, attrs)
+            if empty:
+                tree.end(tag)
+            elif tag in RAW and not tree.places.get("svg"):
+                end = RAW_END[tag].search(html, i)
+                tree.text(html[i: end.start() if end else n])
+                i = end.start() if end else n
+        elif html.startswith("<!--", at):
+            if html.startswith(("<!-->", "<!--->"), at):
+                i = html.index(">", at) + 1
+                continue
+            end = COMMENT_END.search(html, at + 4)
+            i = end.end() if end else n
+        elif html.startswith("<![CDATA[", at) and tree.foreign():
+            end = html.find("]]>", at)
+            tree.text(html[at + 9: end if end >= 0 else n])
+            i = end + 3 if end >= 0 else n
+        elif at < last:
+            i = html.index(">", at) + 1
+        else:
+            if html.startswith("<![", at) or closing and at + 2 == n:
+                tree.text(unescape(html[at:]))
+            break
     return tree.nodes
 
 

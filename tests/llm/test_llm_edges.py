@@ -294,6 +294,35 @@ def test_extraction_of_formulas_and_hidden_inline_elements():
         assert page_text(f"<p>One {inside} goes on {inside}here.</p><p>Two.</p>") == ["One goes on here.", "Two."]
     assert page_text("<div>One<hr>two<div>three</div>four</div>") == ["One", "two", "three", "four"]
 
+@pytest.mark.parametrize("inside, wanted", [
+    ("<p>One <noscript><div>Enable it</div></noscript> goes on.</p>", ["One goes on."]),
+    ("<p>One <video><p>Your browser cannot play this</p></video> goes on.</p>", ["One goes on."]),
+    ("<p>One <object><p>No plugin</p></object> goes on.</p>", ["One goes on."]),
+    ("<ul><li>One <noscript><li>no</noscript>goes on.</li></ul>", ["One goes on."]),
+    ("<p>One.</p><!--><p>Two.</p><!-- x --><p>Three.</p>", ["One.", "Two.", "Three."]),
+    ("<p>One.</p><!---><p>Two.</p><!----><p>Three.</p>", ["One.", "Two.", "Three."]),
+    ("<p>One.</p><!-- note --!><p>Two.</p><!-- <p>no</p> -- > no --><p>Three.</p>", ["One.", "Two.", "Three."]),
+    ("<p>One.</p><a title='x > y' href=\"a>b\">Two</a> <p title=a=b/c>Three.</p></ ><?x y?><!y>", ["One.", "Two", "Three."]),
+    ("<p>One.</p><script>'<p>no</p>' </scripts> </script x><p>Two.</p><iframe><p>no</iframe><p>a < b &lt; c <3</p>", ["One.", "Two.", "a < b < c <3"]),
+])
+def test_extraction_reads_markup_as_browsers_do(inside, wanted):
+    assert page_text(inside) == wanted
+
+
+@pytest.mark.parametrize("end", ["<!-- open > b", '<a href="foo<p>y', "<a title='x", "<!-- <p>no</p>", "<p", "<a b=", "</p ", "<script>no", "<!x", ""])
+def test_extraction_of_pages_that_end_inside_markup(end):
+    assert page_text(f"<p>One.</p><p>Two.</p>{'<p>Last one, with some more words of it in a row.</p>' * 3}", after=f"</article>{end}")[:2] == ["One.", "Two."]
+    assert [t for n in html_main.parse(f"<p>a</p>{end}") if not n.hidden for _, t in n.parts] == ["a"]
+
+
+@pytest.mark.parametrize("piece", ["<ul><li>", "<div></span></i></x>", "<a ", "<p><b", "<![ ", "</ ", "<!-- ", "<video><p>", "<a b='", "<svg><![CDATA[", "<table><tr><td>x</p>", "< <"])
+def test_extraction_of_a_page_of_a_megabyte_is_linear(piece):
+    import time
+
+    start = time.time()
+    html_main.parse(piece * (1_000_000 // len(piece)))
+    assert time.time() - start < 20
+
 
 # Quality
 
