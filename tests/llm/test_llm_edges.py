@@ -412,6 +412,26 @@ def test_topk_few_and_empty(spark):
     assert topk.top_k(none, none).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e6, 1e9, 1e13, 1e300])
+@pytest.mark.parametrize("block", [3, 1000])
+def test_topk_with_large_components(spark, size, block):
+    """Components whose products doubles, or 64 bits, do not hold; the order is that of the true scores."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=5) * (size if i % 3 == 0 else 1)], "x") for i in range(60)]
+    base = [size, -size, size, 1.0, 2.0]
+    rows += [(100 + i, base[:3] + [1.0 + i / 1024, 2.0 - i / 2048], "x") for i in range(30)]  # equal but for the last digits
+    vectors = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id string"))
+    found = topk.top_k(vectors, vectors.filter("vec_id % 10 = 0"), k=10, lists=3, block=block).collect()
+    whole = [(r.vec_id, r.v) for r in vectors.collect()]
+    assert len(whole) == 90
+    wanted = set()
+    for q, x in whole:
+        if q % 10 == 0:
+            best = sorted(((-sum(a * b for a, b in zip(x, y)), v) for v, y in whole if v != q))[:10]
+            wanted |= {(q, i + 1, v, max(-(1 << 63), min((1 << 63) - 1, -s))) for i, (s, v) in enumerate(best)}
+    assert {tuple(r) for r in found} == wanted and len(found) == len(wanted)
+
+
 # Mixing
 
 
