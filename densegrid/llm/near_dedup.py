@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from densegrid.llm.text import words
 from densegrid.operators.components import connected_components, extend_components
-from densegrid.runtime import hot_join, stage
+from densegrid.runtime import HOT_ROWS, hot_cut, hot_join, setting, stage, stage_told
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Sketches, and shingles in each. A pair at similarity 0.8 misses all buckets with a probability of about 3e-6 if the
@@ -203,6 +203,15 @@ def _grams(k: int):
     return run
 
 
+def _repeated(table: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows of ``table``, of which there are ``rows``, whose key occurs twice or more. One count finds these keys and the hot ones."""
+    counts, told = stage_told(table.groupBy(key).count().filter("count > 1"), "shared", largest=F.max("count"))
+    cut = hot_cut(setting(table.sparkSession, HOT_ROWS), rows)
+    if (told["largest"] or 0) < cut:
+        return table.join(counts.select(key), key, "left_semi")
+    return hot_join(table, counts.select(key), [key], "left_semi", hot=counts.filter(F.col("count") >= cut))
+
+
 def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
     """``(node, own, cells)``: how many shingles of a text no other of these texts has, and where the rest are.
 
@@ -210,11 +219,10 @@ def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
     counts of all classes add up to.
     """
     hashes = texts.select("node", F.transform(F.split("joined", " "), lambda w: F.xxhash64(w)).alias("h"))
-    grams = stage(hashes.mapInArrow(_grams(k), GRAMS), "grams")
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("gram")
+    grams, told = stage_told(hashes.mapInArrow(_grams(k), GRAMS), "grams")
     size = grams.groupBy("node").agg(F.sum("n").alias("size"))
     cell = F.pmod("gram", F.lit(CELLS)).cast("int").alias("cell")
-    held = hot_join(grams, stage(shared, "shared_grams"), ["gram"], "left_semi").groupBy("node", cell).agg(F.sum("n").cast("int").alias("n"))
+    held = _repeated(grams, "gram", told["rows"]).groupBy("node", cell).agg(F.sum("n").cast("int").alias("n"))
     per_node = held.groupBy("node").agg(F.sum("n").alias("met"), F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("of"))
     numbers = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.coalesce(F.try_element_at("of", c), F.lit(0)))
     return size.join(per_node, "node", "left").select(
@@ -286,8 +294,10 @@ def _links(buckets: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
         pairs = stage(pairs, "pairs")
         pairs_done = pairs if pairs_done is None else pairs_done.union(pairs)
         # A leader's text is needed once per pair; the pairs are dealt evenly before they are aligned.
-        left = hot_join(pairs, texts.select(F.col("node").alias("src"), F.col("joined").alias("left")), ["src"])
-        both = hot_join(left, texts.select(F.col("node").alias("dst"), F.col("joined").alias("right")), ["dst"])
+        ids, told = stage_told(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "paired")
+        paired = texts.join(F.broadcast(ids), "node", "left_semi") if told["rows"] <= FEW else texts
+        left = hot_join(pairs, paired.select(F.col("node").alias("src"), F.col("joined").alias("left")), ["src"])
+        both = hot_join(left, paired.select(F.col("node").alias("dst"), F.col("joined").alias("right")), ["dst"])
         aligned = stage(both.select("src", "dst", "left", "right").mapInArrow(_align(k, similarity), ALIGNED), "aligned")
         found = aligned.select("src", "dst")
         links = found if links is None else links.union(found)
@@ -333,9 +343,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
     first = stage(first, "copies")
     keyed = rows.select("node", "size", "keys").dropDuplicates(["node"])
-    members = stage(keyed.select(F.explode(F.array_distinct("keys")).alias("bucket"), "node", "size"), "buckets")
-    shared = stage(members.groupBy("bucket").count().filter("count > 1").select("bucket"), "shared")
-    buckets = stage(hot_join(members, shared, ["bucket"]), "buckets")
+    members, told = stage_told(keyed.select(F.explode(F.array_distinct("keys")).alias("bucket"), "node", "size"), "members")
+    buckets = stage(_repeated(members, "bucket", told["rows"]), "buckets")
 
     # The words of every node in a shared bucket, from the row with its smallest id; copies are spread by id.
     low = F.coalesce("doc_id", F.lit(-(1 << 62))).alias("at")
