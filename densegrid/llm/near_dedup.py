@@ -342,7 +342,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     rows = stage(hashed.mapInArrow(_sketches(multipliers, k, taken, similarity), SKETCHED), "sketches")
     first = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
     first = stage(first, "copies")
-    keyed = rows.select("node", "size", "keys").dropDuplicates(["node"])
+    copied, told = stage_told(first.filter("n > 1").select("node"), "copied")
+    keyed = rows.select("node", "size", "keys")
+    if told["rows"] <= FEW:
+        # Only rows of texts that occur twice have to meet.
+        marks = F.broadcast(copied)
+        keyed = keyed.join(marks, "node", "left_anti").unionByName(keyed.join(marks, "node", "left_semi").dropDuplicates(["node"]))
+    else:
+        keyed = keyed.dropDuplicates(["node"])
     members, told = stage_told(keyed.select(F.explode(F.array_distinct("keys")).alias("bucket"), "node", "size"), "members")
     buckets = stage(_repeated(members, "bucket", told["rows"]), "buckets")
 
