@@ -88,6 +88,13 @@ def test_near_drop(spark):
     assert near_dedup.classes(make(spark, [])).count() == 0
 
 
+def test_repeated_rows_with_hot_keys(skewed):
+    rows = [(i, i if i < 50 else 7 if i < 150 else 1000 + i // 2) for i in range(200)]
+    found = near_dedup._repeated(skewed.createDataFrame(rows, "row long, key long"), "key", len(rows)).collect()
+    keys = [k for _, k in rows]
+    assert sorted((r.row, r.key) for r in found) == [(i, k) for i, k in rows if keys.count(k) > 1]
+
+
 def test_chain_of_links_is_one_class(spark):
     """No leader is similar to everything: every text is near its neighbours only."""
     base = prose(4, 400).split()
