@@ -2,6 +2,7 @@
 
 from densegrid.operators.labels import fill_labels
 from densegrid.operators.neighbors import neighbor_counts
+from densegrid.operators.sets import combine_sets, list_members, member_sets, set_sizes
 from densegrid.operators.silhouette import silhouette
 from densegrid.plans.approx import ApproxClustering, approx_dbscan
 from densegrid.plans.evaluate import compare_labels, evaluate
@@ -10,6 +11,6 @@ from densegrid.plans.input import halo, locate
 from densegrid.runtime import clear_staged
 
 __all__ = [
-    "ApproxClustering", "approx_dbscan", "clear_staged", "compare_labels", "evaluate", "exact_dbscan", "fill_labels",
-    "halo", "locate", "neighbor_counts", "silhouette",
+    "ApproxClustering", "approx_dbscan", "clear_staged", "combine_sets", "compare_labels", "evaluate", "exact_dbscan",
+    "fill_labels", "halo", "list_members", "locate", "member_sets", "neighbor_counts", "set_sizes", "silhouette",
 ]

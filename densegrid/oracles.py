@@ -230,6 +230,11 @@ def silhouette_sql(label: str) -> list[tuple[str, str]]:
     ]
 
 
+def set_sql(member: str) -> str:
+    """Blocks of 32 ids and the bits of those that are there."""
+    return f"{member} >> 5 AS block, bit_or(CAST(1 AS BIGINT) << CAST({member} & 31 AS INTEGER)) AS bits"
+
+
 def build() -> dict[str, str]:
     emb3, part2 = Sql("emb3"), Sql("part2")
     halo = halo_sql(emb3)
@@ -250,6 +255,7 @@ def build() -> dict[str, str]:
                              "lo1 + c1 * w1 AS lo1, lo1 + (c1 + 1) * w1 AS hi1 FROM located , layout"),
         "cell_members": part2("SELECT gid, count(*) AS n_points, min(point_id) AS first_point, max(point_id) AS last_point, "
                               "CAST(sum(point_id) AS DECIMAL(38,0)) AS sum_points FROM located GROUP BY gid"),
+        "cell_member_sets": part2(f"SELECT gid, {set_sql('point_id')} FROM located GROUP BY gid, block"),
         "point_lookup": part2("SELECT point_id, min(point_id) OVER (PARTITION BY x0, x1) AS found_id FROM p "),
         "neighbor_counts": part2(f"SELECT point_id, least(c, {MIN_PTS}) AS neighbors, core_flag FROM flags "),
         "neighbor_counts_emb64": Sql("emb64", numbered=False)(f"SELECT point_id, least(c, {MIN_PTS}) AS neighbors, core_flag FROM flags "),
@@ -286,6 +292,8 @@ def build() -> dict[str, str]:
         "cluster_members": part2("SELECT cluster_id, count(*) AS n_points, CAST(sum(core_flag) AS BIGINT) AS n_core, "
                                  "min(point_id) AS first_point, max(point_id) AS last_point, "
                                  "CAST(sum(point_id) AS DECIMAL(38,0)) AS sum_points FROM clusters GROUP BY 1"),
+        "cluster_member_sets": part2(f"SELECT cluster_id, {set_sql('point_id')} FROM clusters GROUP BY cluster_id, block"),
+        "cluster_border_points": part2("SELECT cluster_id, point_id FROM clusters WHERE core_flag = 0"),
         "border_eps": emb3(f"SELECT f.point_id, {border} AS cluster_id FROM flags f LEFT JOIN nearcore USING (point_id) "
                            "WHERE f.core_flag = 0"),
         "labels_filled": part2("SELECT * FROM labeled "),
@@ -301,6 +309,8 @@ def build() -> dict[str, str]:
         "halo_points": emb3("SELECT paid, gid, point_id, is_home FROM copies JOIN located USING (gid)", *halo),
         "partition_cells": emb3("SELECT paid, count(*) AS n_cells, min(gid) AS first_cell, max(gid) AS last_cell, "
                                 "CAST(sum(gid) AS DECIMAL(38,0)) AS sum_cells FROM copies GROUP BY 1", *halo),
+        "partition_cell_sets": emb3(f"SELECT paid, {set_sql('gid')} FROM copies GROUP BY paid, block", *halo),
+        "partition_foreign_cells": emb3("SELECT paid, count(DISTINCT gid) AS n_foreign FROM copies WHERE is_home = 0 GROUP BY paid", *halo),
         "partition_load": emb3("SELECT paid, count(*) AS n_rows, count(DISTINCT gid) AS n_cells, "
                                "CAST(sum(is_home) AS BIGINT) AS n_home_rows FROM copies JOIN located USING (gid) GROUP BY 1", *halo),
         "merge_flags": emb3("SELECT gid, point_id, core_flag FROM flags "),

@@ -11,6 +11,7 @@ from densegrid.operators import halo, labels, metrics, neighbors
 from densegrid.operators import silhouette as silhouettes
 from densegrid.operators.grid import bin_edges, bounds, cell_box
 from densegrid.operators.links import closest_between_cells
+from densegrid.operators.sets import combine_sets, list_members, member_sets, set_sizes
 from densegrid.plans.approx import ApproxClustering
 from densegrid.plans.evaluate import compare_labels, evaluate
 from densegrid.plans.exact import exact_dbscan
@@ -132,6 +133,12 @@ def cell_members(spark, sf_dir):
     )
 
 
+@query
+def cell_member_sets(spark, sf_dir):
+    job = run(spark, sf_dir, "part2")
+    return member_sets(job.grid.attach_gid(job.points, "point_id"), ["gid"], "point_id")
+
+
 @query
 def point_lookup(spark, sf_dir):
     points, features = point_set(spark, sf_dir, "part2")
@@ -296,6 +303,19 @@ def cluster_members(spark, sf_dir):
     return labels.members(run(spark, sf_dir, "part2").clusters())
 
 
+@query
+def cluster_member_sets(spark, sf_dir):
+    return member_sets(run(spark, sf_dir, "part2").clusters(), ["cluster_id"], "point_id")
+
+
+@query
+def cluster_border_points(spark, sf_dir):
+    """The points of a cluster that are no core points, as a difference of sets."""
+    found = stage(run(spark, sf_dir, "part2").clusters(), "clusters")
+    every, core = (member_sets(df, ["cluster_id"], "point_id") for df in (found, found.filter("core_flag = 1")))
+    return list_members(combine_sets(every, core, ["cluster_id"], "minus"), ["cluster_id"], "point_id")
+
+
 @query
 def border_eps(spark, sf_dir):
     job = run(spark, sf_dir)
@@ -382,6 +402,21 @@ def partition_cells(spark, sf_dir):
     )
 
 
+@query
+def partition_cell_sets(spark, sf_dir):
+    grid, placed, parts = _located(spark, sf_dir)
+    return member_sets(halo.replicate(placed.select("gid", *grid.cells).distinct(), grid, parts), ["paid"], "gid")
+
+
+@query
+def partition_foreign_cells(spark, sf_dir):
+    """How many cells a partition has that are at home in another one: all its cells without its own."""
+    grid, placed, parts = _located(spark, sf_dir)
+    copies = stage(halo.replicate(placed.select("gid", *grid.cells).distinct(), grid, parts).select("paid", "gid", "is_home"), "copies")
+    every, home = (member_sets(df, ["paid"], "gid") for df in (copies, copies.filter("is_home = 1")))
+    return set_sizes(combine_sets(every, home, ["paid"], "minus"), ["paid"]).withColumnRenamed("n_members", "n_foreign")
+
+
 @query
 def partition_load(spark, sf_dir):
     return halo.partition_load(_copies(spark, sf_dir))
