@@ -4,7 +4,7 @@ A text is its sequence of shingles (five words; a shorter text is one shingle).
 occurrence number. A sketch takes the few smallest of them under its own hash and keeps them in text order, so two
 texts agree on a sketch only if they share these shingles in the same order. Texts that agree on a sketch meet in a
 bucket. Short texts also meet by every sequence that is left when as many shingles go as a link may lack, so no link
-between two of them is missed. A pair is a link when aligning the two shingle sequences inside a band gives
+between two of them is missed. Of buckets with the same members one is kept. A pair is a link when aligning the two shingle sequences inside a band gives
 ``common / (a + b - common)`` of at least ``similarity``; the band is as wide as the similarity allows shifts, so no
 link is lost to it. Classes are the connected components of the links.
 
@@ -212,6 +212,16 @@ def _repeated(table: DataFrame, key: str, rows: int) -> DataFrame:
     return hot_join(table, counts.select(key), [key], "left_semi", hot=counts.filter(F.col("count") >= cut))
 
 
+def _different(buckets: DataFrame) -> DataFrame:
+    """One of all buckets with the same members: two near copies share most of their sketches, and one meeting is enough.
+
+    Members are told by their number and two 64-bit sums of their hashes.
+    """
+    sums = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"sum{seed}") for seed in (0, 1)]
+    same = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd"), *sums).groupBy("crowd", "sum0", "sum1")
+    return hot_join(buckets, stage(same.agg(F.min("bucket").alias("bucket")).select("bucket"), "different"), ["bucket"], "left_semi")
+
+
 def shared_shingles(texts: DataFrame, k: int) -> DataFrame:
     """``(node, own, cells)``: how many shingles of a text no other of these texts has, and where the rest are.
 
@@ -351,7 +361,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     else:
         keyed = keyed.dropDuplicates(["node"])
     members, told = stage_told(keyed.select(F.explode(F.array_distinct("keys")).alias("bucket"), "node", "size"), "members")
-    buckets = stage(_repeated(members, "bucket", told["rows"]), "buckets")
+    buckets = stage(_different(stage(_repeated(members, "bucket", told["rows"]), "repeated")), "buckets")
 
     # The words of every node in a shared bucket, from the row with its smallest id; copies are spread by id.
     low = F.coalesce("doc_id", F.lit(-(1 << 62))).alias("at")
