@@ -140,8 +140,7 @@ def core_sites(
     )
     probes = counted.filter(F.col("inside") < enough).select(*keep)
     if len(features) > MAX_BINNED and not scope:
-        lacking = F.col("around") - own < enough
-        found = count_around(sites, probes, features, eps, lacking, rows, report)
+        found = count_around(sites, probes, features, eps, own + enough, rows, report)
         around = stage(probes.join(found, "uid").select(*keep, "around"), "around")
     else:
         by = search_keys(sites, features)

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densegrid.functions.geometry import prefixed
+from densegrid.operators.balls import connecting_links, lowest_cluster
 from densegrid.operators.components import connected_components
 from densegrid.operators.grid import Grid, checked_points
 from densegrid.operators.links import link_cells
-from densegrid.operators.neighbors import core_sites, near, search_keys, to_points
+from densegrid.operators.neighbors import MAX_BINNED, core_sites, near, search_keys, to_points
 from densegrid.runtime import hot_join, stage
 
 
@@ -98,7 +99,13 @@ class ApproxClustering:
     def components(self) -> DataFrame:
         """``(gid, cluster_id)``; a cluster is named by its smallest cell."""
         vertices = self.core.select(F.col("gid").alias("id")).distinct()
-        return connected_components(vertices, self.edges).select(
+        if len(self.features) > MAX_BINNED and self.rho_policy in ("never", "always"):
+            # In many dimensions the neighbours of a cell are too many to list; some of them connect as much.
+            pts = stage(self.linked_points, "linked")
+            edges = connecting_links(pts, self.features, self.eps * (1 + self.rho) if self.rho_policy == "always" else self.eps)
+        else:
+            edges = self.edges
+        return connected_components(vertices, edges).select(
             F.col("id").alias("gid"), F.col("component").alias("cluster_id")
         )
 
@@ -110,13 +117,16 @@ class ApproxClustering:
     @cached_property
     def border_assigned(self) -> DataFrame:
         """Sites that are not core, with the smallest cluster among the core points within ``eps``."""
+        keep = ["uid", "mult", *self.features, "gid", "core_flag"]
+        rest = self.sites.filter("core_flag = 0").select(*keep)
+        if len(self.features) > MAX_BINNED:
+            owners = hot_join(self.core, self.components, ["gid"], rows=self.n_sites).select("uid", "cluster_id", *self.features)
+            return rest.join(lowest_cluster(rest, stage(owners, "owners"), self.features, self.eps), "uid").select(*keep, "cluster_id")
         seen = prefixed("q_", self.features)
         owners = hot_join(self.core, self.components, ["gid"], rows=self.n_sites).select(
             *[F.col(f).alias(q) for f, q in zip(self.features, seen)], "cluster_id"
         )
         owners = stage(owners, "owners")
-        keep = ["uid", "mult", *self.features, "gid", "core_flag"]
-        rest = self.sites.filter("core_flag = 0").select(*keep)
         dims = search_keys(self.sites, self.features)
         pairs = near(rest, owners, self.features, seen, self.eps, dims, rows=self.n_sites)
         return pairs.groupBy(*keep).agg(F.min("cluster_id").alias("cluster_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from densegrid import ApproxClustering, approx_dbscan, exact_dbscan, fill_labels
 from densegrid.functions.geometry import coin
 from densegrid.operators import halo
+from densegrid.operators.balls import connecting_links, lowest_cluster, within
 from densegrid.operators.components import connected_components, extend_components, is_star, large_star, local_forest, small_star
 from densegrid.operators.grid import Grid, valid_points
 from densegrid.operators.labels import dense_labels
@@ -297,3 +298,46 @@ def test_balls_count_what_all_pairs_count(skewed, rule):
     near = (far <= 0.8) & (~equal if rule == "strict" else True)
     assert found == {i: min(5, int(n)) for i, n in enumerate(near.sum(axis=1))}
     assert report["pairs"] < 0.15 * report["sites"] ** 2
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_within_is_the_distance_of_columns(offset):
+    """Distances that equal the radius, and data far from the origin, are decided as squares summed in order."""
+    rng = np.random.default_rng(4)
+    x = offset + rng.integers(0, 4, size=(200, 9)) * 0.1
+    total = np.zeros((200, 200))
+    for k in range(9):
+        total += (x[:, None, k] - x[None, :, k]) ** 2
+    for radius in (0.3, 0.5, float(np.sqrt(total[0, 1]))):
+        assert np.array_equal(within(x, x, radius), np.sqrt(total) <= radius)
+
+
+def test_links_in_many_dimensions_connect_without_listing_all(spark):
+    """Where every point has many neighbours, few links are made, and they connect what all pairs connect."""
+    rng = np.random.default_rng(12)
+    centers = rng.normal(0, 5, size=(6, 8))
+    x = centers[rng.integers(0, 6, 400)] + rng.normal(0, 0.4, size=(400, 8))
+    x[:30] = rng.uniform(-15, 15, size=(30, 8))
+    points, names, x = points_of(spark, x)
+    eps = 1.6
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= eps
+    placed = stage(points.select(F.col("point_id").alias("uid"), (F.col("point_id") * 7).alias("gid"), *names), "placed")
+    links = connecting_links(placed, names, eps).collect()
+    assert all(near[r["src"] // 7, r["dst"] // 7] for r in links)
+    assert len(links) < 2 * len(x) < near.sum() // 4
+
+    def roots(pairs):
+        root = list(range(len(x)))
+        for _ in range(len(x)):
+            before = list(root)
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+            if root == before:
+                return root
+
+    assert roots([(r["src"] // 7, r["dst"] // 7) for r in links]) == roots(np.argwhere(near).tolist())
+
+    owners = stage(placed.filter("uid % 3 = 0").select("uid", (F.col("uid") % 11).alias("cluster_id"), *names), "owners")
+    found = {r["uid"]: r["cluster_id"] for r in lowest_cluster(placed, owners, names, eps).collect()}
+    assert found == {i: min(c) for i in range(len(x)) if (c := [j % 11 for j in range(0, len(x), 3) if near[i, j]])}
+    assert connecting_links(placed.filter("uid < 0"), names, eps).count() == 0
