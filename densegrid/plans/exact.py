@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densegrid.functions.geometry import cell_index, prefixed
+from densegrid.operators.balls import connecting_links, lowest_cluster
 from densegrid.operators.components import connected_components
 from densegrid.operators.grid import checked_points
 from densegrid.operators.labels import dense_labels
 from densegrid.operators.links import closest_between_cells
-from densegrid.operators.neighbors import core_sites, near, search_keys, search_side, to_points
+from densegrid.operators.neighbors import MAX_BINNED, core_sites, near, search_keys, search_side, to_points
 from densegrid.runtime import hot_join, stage
 
 
@@ -39,7 +40,11 @@ def exact_dbscan(
     names = celled.groupBy(*fine).agg(F.min("uid").alias("gid"))
     core = stage(hot_join(celled, names, fine).drop(*fine), "core")
 
-    edges = closest_between_cells(core.select("gid", "uid", *features), features, eps, eps, settle=eps)
+    many = len(features) > MAX_BINNED
+    if many:
+        edges = connecting_links(core, features, eps)
+    else:
+        edges = closest_between_cells(core.select("gid", "uid", *features), features, eps, eps, settle=eps)
     vertices = core.select(F.col("gid").alias("id")).distinct()
     owners = connected_components(vertices, edges).select(
         F.col("id").alias("gid"), F.col("component").alias("cluster_id")
@@ -52,13 +57,11 @@ def exact_dbscan(
     keep = ["uid", "mult", *features]
     rest = sites.filter("core_flag = 0").select(*keep)
     data = clustered.select(*[F.col(f).alias(q) for f, q in zip(features, seen)], "cluster_id")
-    border = (
-        near(rest, data, features, seen, eps, search_keys(sites, features))
-        .groupBy(*keep)
-        .agg(F.min("cluster_id").alias("cluster_id"))
-        .withColumn("core_flag", F.lit(0))
-        .select(*columns)
-    )
+    if many:
+        touched = rest.join(lowest_cluster(rest, clustered, features, eps), "uid")
+    else:
+        touched = near(rest, data, features, seen, eps, search_keys(sites, features)).groupBy(*keep).agg(F.min("cluster_id").alias("cluster_id"))
+    border = touched.withColumn("core_flag", F.lit(0)).select(*columns)
     found = to_points(points, clustered.unionByName(border), features, base=sites)
     labeled = dense_labels(stage(found.select("point_id", "cluster_id", "core_flag"), "found"), "cluster_id", "cluster_id")
     return points.select("point_id").join(labeled, "point_id", "left").select(
