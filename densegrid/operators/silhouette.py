@@ -5,7 +5,8 @@
    label. Labels that cannot be among the nearest two of a box are dropped, which loses nothing.
 2. For the labels left, distances are added up point by point, exactly, at every size of data: a label's
    points are dealt into tiles of about ``TILE_ROWS``, neighbouring boxes into groups of ``TILE_BOXES``, and one key
-   holds one tile and one group, so no task grows with a label. A tile travels only to the groups that ask for it.
+   holds one tile and one group, so no task grows with a label. A tile travels only to the groups that ask for it, and
+   its distances are taken in blocks of arrays. A mean over all pairs of a label stays quadratic in its points.
 
 ``theta > 0`` asks for the other mode, ``grouped``: a group of more than ``FEW_ROWS`` points that is small
 against its distance (radius at most ``theta`` times the gap) enters as weight, centroid and covariance, the
@@ -18,6 +19,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,11 @@ from densegrid.operators.links import box_key, box_widths
 from densegrid.runtime import hot_join, number_rows, stage, stage_told
 
 BOX_ROWS = 1024
-TILE_ROWS = 4096
+TILE_ROWS = 32768
 TILE_BOXES = 64
+#: Points and sources of one step inside a tile.
+BLOCK = (128, 1024)
+MOST_TASKS = 4096
 NEAR_ROWS = 128
 FEW_ROWS = 8
 GROUPS = 8
@@ -229,12 +235,44 @@ def _routed(sites: DataFrame, pairs: DataFrame, space: _Space) -> tuple[DataFram
     return wanted, dealt.join(demand, ["other", "tile"])
 
 
+def _distances(d: int):
+    def vectors(table: pa.Table) -> list[np.ndarray]:
+        return list(table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, d).T.copy())
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Points and a tile of sources -> the sum of distances of every point to the tile."""
+        x, y, w = vectors(left), vectors(right), right.column("w").to_numpy()
+        far = np.zeros(left.num_rows)
+        for at in range(0, len(far), BLOCK[0]):
+            for to in range(0, len(w), BLOCK[1]):
+                rows, some = slice(at, at + BLOCK[0]), slice(to, to + BLOCK[1])
+                total = None
+                for a, b in zip(x, y):
+                    gap = np.subtract.outer(a[rows], b[some])
+                    gap *= gap
+                    total = gap if total is None else np.add(total, gap, out=total)
+                far[rows] += np.sqrt(total, out=total) @ w[some]
+        return left.select(["uid", "label", "mult", "other", "n_label"]).append_column("far", pa.array(far))
+
+    return run
+
+
 def _exact_sums(sites: DataFrame, members: DataFrame, pairs: DataFrame, space: _Space) -> DataFrame:
     """``(uid, label, mult, other, n_label, far)``: the sum of distances of every point to every label it needs."""
     wanted, sources = _routed(sites, pairs, space)
-    gap = _root_of_squares([f"{f} - c_{f}" for f in space.features])
-    met = members.join(wanted, "tid").join(sources, ["other", "tile", "group"])
-    return met.groupBy("uid", "label", "mult", "other", "n_label").agg(F.sum(F.expr(f"w * {gap}")).alias("far"))
+    keys = ["other", "tile", "group"]
+    tasks = max(1, min(MOST_TASKS, wanted.select(*keys).distinct().count()))
+    kinds = {f.name: f.dataType.simpleString() for f in sites.schema.fields}
+    asking = members.join(wanted, "tid").select(
+        "uid", "label", "mult", "n_label", F.array(*space.features).alias("x"), *[F.col(k).alias(k) for k in keys]
+    )
+    met = sources.select(F.array(*space.names("c_")).alias("x"), "w", *[F.col(k).alias(k) for k in keys])
+    # Few bytes, many comparisons: a task per key, not per amount of data.
+    sums = asking.repartition(tasks, *keys).groupBy(*keys).cogroup(met.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(
+        _distances(len(space.features)),
+        f"uid {kinds['uid']}, label {kinds['label']}, mult bigint, other {kinds['label']}, n_label bigint, far double",
+    )
+    return sums.groupBy("uid", "label", "mult", "other", "n_label").agg(F.sum("far").alias("far"))
 
 
 def _grouped_sums(sites: DataFrame, members: DataFrame, pairs: DataFrame, space: _Space, theta: float) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,16 @@ def test_tiles_travel_where_they_are_wanted(spark, monkeypatch):
     assert moved["rows"] < 0.5 * moved["groups"] * moved["sites"]
 
 
+def test_distances_of_a_tile_are_arrays(spark, monkeypatch):
+    """Points and a tile meet as arrays: what leaves is a row per point and tile, not per pair."""
+    rng = np.random.default_rng(8)
+    x, y, w = rng.normal(size=(300, 3)), rng.normal(size=(2500, 3)), rng.integers(1, 4, 2500).astype(float)
+    left = pa.table({"uid": range(300), "label": [0] * 300, "mult": [1] * 300, "other": [1] * 300, "n_label": [9] * 300, "x": x.tolist()})
+    far = sil._distances(3)(left, pa.table({"x": y.tolist(), "w": w}))
+    wanted = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2)) @ w
+    assert far.num_rows == 300 and np.allclose(far.column("far").to_numpy(), wanted, rtol=1e-13)
+
+
 def test_grouped_silhouette_far_from_the_middle(spark, monkeypatch):
     """Small groups far out: their covariance comes from their own corner, so it does not cancel away."""
     monkeypatch.setattr(sil, "NEAR_ROWS", 10)
