@@ -171,6 +171,9 @@ def to_points(
         return alone
     copies = sites.filter("mult > 1").select(*keys, *carried)
     mine = points.select(*keys, "point_id")
+    if len(features) > MAX_BINNED:
+        # The checks of many features would be inferred anew for every one of as many join keys.
+        mine = stage(mine, "mine")
     cut = hot_cut(setting(points.sparkSession, HOT_ROWS), total)
     if largest < cut:
         joined = mine.join(copies, keys)

@@ -341,3 +341,15 @@ def test_links_in_many_dimensions_connect_without_listing_all(spark):
     found = {r["uid"]: r["cluster_id"] for r in lowest_cluster(placed, owners, names, eps).collect()}
     assert found == {i: min(c) for i in range(len(x)) if (c := [j % 11 for j in range(0, len(x), 3) if near[i, j]])}
     assert connecting_links(placed.filter("uid < 0"), names, eps).count() == 0
+
+
+def test_copies_with_many_features(spark):
+    """Points of an array with copies: the join of copies by all features is planned in moderate time and memory."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 64))
+    x[40:] = x[:20]
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, v array<double>")
+    names = [f"x{k}" for k in range(64)]
+    points = rows.select(F.col("id").alias("point_id"), *[F.col("v")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    found = {r["point_id"]: r["neighbors"] for r in neighbor_counts(points, names, 10.0, 5, stable=True).collect()}
+    assert found == {i: min(5, int(c)) for i, c in enumerate(brute.counts(x, 10.0, "strict"))}
