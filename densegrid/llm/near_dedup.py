@@ -9,9 +9,10 @@ between two of them is missed. Of buckets with the same members one is kept. A p
 link is lost to it. Classes are the connected components of the links.
 
 Texts with the same words are one node, so copies never pair up. In a bucket first one leader, the member that meets
-most others in its buckets, is aligned with all members, which also gives the distances of those linked to it. Then
-every member outside the bucket's largest class becomes a leader (in rounds that grow) and is compared with the members
-of other classes. Before a pair is made, three exact tests must allow a link: the sizes; the distances of both to the
+most others in its buckets, is aligned with all members, which also gives the distances of those linked to it. A leader
+has met its whole bucket and leaves it, and so do buckets whose other members are of one class; in a bucket of two nothing
+is left. Then every member outside the largest class of those left becomes a leader (in rounds that grow) and is compared
+with the members of other classes. Before a pair is made, three exact tests must allow a link: the sizes; the distances of both to the
 first leader (triangle inequality); and the shingles in common, at most what the smaller counts of all ``CELLS``
 classes of shingles add up to, where shingles that no other open text has do not count. Near misses of a group differ in
 shingles of their own, so nearly all of them fall there: a member with a fifth of them cannot have a link at all. A pair
@@ -204,8 +205,13 @@ def _grams(k: int):
 
 
 def _repeated(table: DataFrame, key: str, rows: int) -> DataFrame:
-    """The rows of ``table``, of which there are ``rows``, whose key occurs twice or more. One count finds these keys and the hot ones."""
+    """The rows of ``table``, of which there are ``rows``, whose key occurs twice or more. One count finds these keys and the hot ones.
+
+    Up to ``FEW`` keys are broadcast, and no row of ``table`` moves.
+    """
     counts, told = stage_told(table.groupBy(key).count().filter("count > 1"), "shared", largest=F.max("count"))
+    if told["rows"] <= FEW:
+        return table.join(F.broadcast(counts.select(key)), key, "left_semi")
     cut = hot_cut(setting(table.sparkSession, HOT_ROWS), rows)
     if (told["largest"] or 0) < cut:
         return table.join(counts.select(key), key, "left_semi")
@@ -272,7 +278,7 @@ def _links(buckets: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
     crowds = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("crowd"))
     central = stage(hot_join(buckets, stage(crowds, "crowds"), ["bucket"]).groupBy("node").agg(F.sum("crowd").alias("met")), "central")
     state = hot_join(buckets, central, ["node"]).select(
-        "bucket", "node", "size", "met", F.col("node").alias("class"), F.lit(True).alias("fresh"), F.lit(None).cast("int").alias("gap"),
+        "bucket", "node", "size", "met", F.col("node").alias("class"), F.lit(None).cast("int").alias("gap"),
         F.lit(0).alias("own"), F.lit(None).cast("array<int>").alias("cells"),
     )
     pair = [F.least("node", "l_node").alias("src"), F.greatest("node", "l_node").alias("dst")]
@@ -282,12 +288,12 @@ def _links(buckets: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
         if state.isEmpty():
             break
         first = links is None
-        # Round one: the most central member. Later: fresh members outside the largest class, about ``most`` per bucket.
+        # Round one: the most central member. Later: members outside the largest class, about ``most`` per bucket.
         if first:
             leaders = state.groupBy("bucket").agg(F.max_by(F.struct("node", "size", "class", "gap", "own", "cells"), F.struct("met", "node")).alias("l")).select("bucket", "l.*")
         else:
             chance = F.pmod(F.xxhash64(F.lit(most), "bucket", "node"), F.col("waiting"))
-            leaders = state.filter("fresh and class != largest").filter(chance < most).select("bucket", "node", "size", "class", "gap", "own", "cells")
+            leaders = state.filter("class != largest").filter(chance < most).select("bucket", "node", "size", "class", "gap", "own", "cells")
         leaders = stage(leaders.toDF("bucket", "l_node", "l_size", "l_class", "l_gap", "l_own", "l_cells"), "leaders")
         met = hot_join(state.select("bucket", "node", "size", "class", "gap", "own", "cells"), leaders, ["bucket"])
         fits = F.least("size", "l_size") >= similarity * F.greatest("size", "l_size") - 1e-9
@@ -317,22 +323,23 @@ def _links(buckets: DataFrame, texts: DataFrame, k: int, similarity: float) -> D
             measured = hot_join(state.drop("gap"), leaders.select("bucket", "l_node"), ["bucket"]).select("*", *pair)
             measured = measured.join(aligned.select("src", "dst", "gap"), ["src", "dst"], "left")
             state = measured.withColumn("gap", F.when(F.col("node") == F.col("l_node"), 0).otherwise(F.col("gap"))).drop("src", "dst", "l_node")
-        led = leaders.select("bucket", F.col("l_node").alias("node"), F.lit(True).alias("led"))
-        state = state.select("bucket", "node", "size", "met", "gap", "fresh", "own", "cells").join(classes, "node").join(led, ["bucket", "node"], "left")
-        state = stage(state.withColumn("fresh", F.col("fresh") & F.col("led").isNull()).drop("led"), "members")
-        # Buckets go on while a fresh member is outside the largest class; one row per class and bucket is summed up.
-        per_class = state.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("f"))
-        per_bucket = per_class.groupBy("bucket").agg(
-            F.max_by("class", F.struct("n", "class")).alias("largest"), F.sum("f").alias("all_fresh"), F.max_by("f", F.struct("n", "class")).alias("f_largest")
-        )
-        per_bucket = per_bucket.select("bucket", "largest", (F.col("all_fresh") - F.col("f_largest")).alias("waiting")).filter("waiting > 0")
-        state = hot_join(state, stage(per_bucket, "waiting"), ["bucket"])
+        # A leader has met all members; what may be left are pairs of others in different classes.
+        led = leaders.select("bucket", F.col("l_node").alias("node"))
+        state = state.select("bucket", "node", "size", "met", "gap", "own", "cells").join(led, ["bucket", "node"], "left_anti")
+        state = stage(state.join(classes, "node"), "members")
+        # Buckets go on while a member is outside the largest class; one row per class and bucket is summed up.
+        per_class = state.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"))
+        per_bucket = per_class.groupBy("bucket").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), (F.sum("n") - F.max("n")).alias("waiting"))
+        state = hot_join(state, stage(per_bucket.filter("waiting > 0"), "waiting"), ["bucket"])
         if first:
             # What members share with any other text they may still meet; one with too little has no link left to find.
             state = stage(state, "contested")
-            open_texts = texts.join(state.select("node").distinct(), "node", "left_semi")
+            ids, told = stage_told(state.select("node").distinct(), "open")
+            if not told["rows"]:
+                break
+            open_texts = texts.join(F.broadcast(ids) if told["rows"] <= FEW else ids, "node", "left_semi")
             state = hot_join(state.drop("own", "cells"), stage(shared_shingles(open_texts, k), "own"), ["node"])
-            state = state.withColumn("fresh", F.col("fresh") & (F.col("size") - F.col("own") >= similarity * F.col("size") - 1e-9))
+            state = state.filter(F.col("size") - F.col("own") >= similarity * F.col("size") - 1e-9)
         most *= 64
     return links if links is not None else spark.createDataFrame([], "src long, dst long")
 
@@ -371,7 +378,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     # Words are taken of the rows wanted only.
     source = source.join(F.broadcast(ids), "at", "left_semi") if wanted.count() <= FEW else hot_join(source, stage(ids, "ids"), ["at"], "left_semi")
     source = source.select("at", _joined(F.col("body")).alias("joined")).withColumn("node", F.xxhash64("joined"))
-    texts = source.join(wanted, ["node", "at"]).select("node", "joined")
+    # A node is wanted once: dealt out by node alone, by a range as Spark makes an equality a key, the texts move once.
+    chosen = wanted.select("node", F.col("at").alias("of"))
+    texts = source.join(chosen, "node").filter("at between of and of").select("node", "joined")
     texts = stage(texts.dropDuplicates(["node"]), "texts")
 
     links = stage(_links(buckets, texts, k, similarity), "links")

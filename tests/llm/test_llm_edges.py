@@ -95,6 +95,48 @@ def test_repeated_rows_with_hot_keys(skewed):
     assert sorted((r.row, r.key) for r in found) == [(i, k) for i, k in rows if keys.count(k) > 1]
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_repeated_rows_without_a_shuffle(skewed, monkeypatch, few):
+    """A small set of keys is broadcast however large the table; with more, hot keys still stay in place."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    skewed.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, i if i < 50 else 7 if i < 150 else 1000 + i // 2) for i in range(200)]
+        found = near_dedup._repeated(skewed.createDataFrame(rows, "row long, key long"), "key", len(rows))
+        keys = [k for _, k in rows]
+        assert sorted((r.row, r.key) for r in found.collect()) == [(i, k) for i, k in rows if keys.count(k) > 1]
+        assert ("SortMergeJoin" in found._jdf.queryExecution().toString()) == (few == 0)
+    finally:
+        skewed.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_buckets_of_two_end_with_their_leader(spark, monkeypatch):
+    """Pairs of near misses that meet in buckets of two: aligned once, nothing is left open; texts move once."""
+    staged = {}
+
+    def seen(df, name):
+        staged.setdefault(name, [df._jdf.queryExecution().executedPlan().toString()])
+        out = near_dedup_stage(df, name)
+        staged[name].append(out.count())
+        return out
+
+    near_dedup_stage = near_dedup.stage
+    monkeypatch.setattr(near_dedup, "stage", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = []
+        for i in range(30):
+            base = prose(100 + i, 200).split()
+            texts += [" ".join(base), " ".join("zzz" if k % 24 == 8 else w for k, w in enumerate(base))]
+        found = near_dedup.classes(make(spark, [(i, t, None, None, 1) for i, t in enumerate(texts)])).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r.doc_id: r.class_id for r in found} == {i: i for i in range(60)}
+    assert staged["pairs"][1:] == [staged["pairs"][1]] and staged["pairs"][1] >= 25
+    assert staged["contested"][1:] == [0]
+    assert staged["texts"][0].count("Exchange hashpartitioning(node") == 2
+
+
 def test_chain_of_links_is_one_class(spark):
     """No leader is similar to everything: every text is near its neighbours only."""
     base = prose(4, 400).split()
